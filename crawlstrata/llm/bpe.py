@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import table, utf8
+from crawlstrata.llm.common import map_arrow, table, utf8
 
 #: Stands for the end-of-word suffix; no token holds a line feed, as byte-level alphabets write it as another character.
 END = "\n"
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out = [batch.column(0), pa.array(n, pa.int64())] + [pa.array(coded, pa.binary())] * ids + [pa.array(sums, pa.string()), pa.array(back, pa.string())] * digests
             yield pa.RecordBatch.from_arrays(out, [f"c{k}" for k in range(len(out))])
 
-    return docs.select(id_col, utf8(text_col).alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, utf8(text_col).alias("_text")), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -206,7 +206,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x.as_py() or b"").decode() for x in batch.column(1)], pa.string())], ["id", "decoded"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, schema)
+    return map_arrow(encoded.select(id_col, ids_col), run, schema)
 
 
 def op9_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

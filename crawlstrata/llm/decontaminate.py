@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import stash, table, utf8
+from crawlstrata.llm.common import map_arrow, stash, table, utf8
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space; bytes from 0x80 on stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -168,7 +168,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     names.append(sorted({automaton.names[k] for k in found}))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(names, pa.list_(pa.string()))], ["_id", "_row", "n_words", "spans", "items"])
 
-        parts.append(rows.mapInArrow(scan, schema))
+        parts.append(map_arrow(rows, scan, schema))
     out = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:

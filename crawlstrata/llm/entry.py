@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crawlstrata.llm import bpe, decontaminate, sharding, simhash
+from crawlstrata.llm import bpe, decontaminate, quality, sharding, simhash, toxicity, urltree
 
-MODULES = (sharding, decontaminate, bpe, simhash)
+MODULES = (sharding, toxicity, urltree, quality, decontaminate, bpe, simhash)
 
 
 def queries() -> dict:

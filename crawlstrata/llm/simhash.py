@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import stash, table, utf8
+from crawlstrata.llm.common import map_arrow, stash, table, utf8
 
 #: Shingles counted at once, so a very long text takes bounded memory.
 BLOCK = 1 << 16
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py(), size) for x in batch.column(1)], pa.int64())], ["id", "fp"])
 
-    return docs.select(id_col, utf8(text_col).alias("_text")).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return map_arrow(docs.select(id_col, utf8(text_col).alias("_text")), run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def ball(bits: int, radius: int) -> list[int]:
