@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crawlstrata.llm import bpe, decontaminate, linecrf, quality, sharding, simhash, toxicity, urltree
+from crawlstrata.llm import bpe, contextmix, decontaminate, linecrf, quality, sharding, simhash, toxicity, urltree
 
-MODULES = (sharding, linecrf, toxicity, urltree, quality, decontaminate, bpe, simhash)
+MODULES = (sharding, linecrf, toxicity, urltree, quality, contextmix, decontaminate, bpe, simhash)
 
 
 def queries() -> dict:
