@@ -195,17 +195,31 @@ def hit_words():
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
+def verdict(found: DataFrame, share: int = 20) -> DataFrame:
+    """Add n_hit and contaminated: at least one word is hit, and one in ``share`` or more."""
+    hit = found.withColumn("n_hit", hit_words())
+    return hit.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20) -> DataFrame:
+    """The rows of docs, with all columns, whose share of hit words stays below the limit."""
+    number = "__row__"
+    numbered = stash(docs.withColumn(number, F.monotonically_increasing_id()))
+    bad = verdict(contamination(numbered, items, number, text_col, item_id, item_text, window), share).where("contaminated").select(number)
+    return numbered.join(bad, number, "left_anti").select(*docs.columns)
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document; contaminated if a twentieth of its words or more is hit."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    hit = found.withColumn("n_hit", hit_words())
+    hit = verdict(found)
     return hit.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
     )
 
 

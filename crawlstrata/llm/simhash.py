@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from crawlstrata.llm.common import map_arrow, stash, table, utf8
 
@@ -125,6 +126,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
+    """The rows of docs, with all columns, that stay: of each component the one of the smallest id (null ids last), and of repeated rows one.
+
+    Rows get a number that is written down, so the choice of a row does not depend on how Spark deals the input.
+    """
+    number, fp = "__row__", "__fp__"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+            yield batch.append_column(fp, pa.array([fingerprint(x.as_py() or b"", size) for x in texts], pa.int64()))
+
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    marked = stash(map_arrow(numbered, run, StructType([*numbered.schema.fields, StructField(fp, LongType())])))
+    best = F.min(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col(number).alias("row"))).alias("best")
+    nodes = stash(marked.groupBy(F.col(fp).alias("fp")).agg(best))
+    roots = components(links(nodes, radius=radius, segments=segments)).withColumnRenamed("node", "fp")
+    chosen = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(number))
+    return marked.join(chosen, number, "left_semi").select(*docs.columns)
+
+
 def op10_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -330,6 +330,36 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     return map_arrow(rows.join(spans, "key", "left").select("_id", "_text", "whole", "spans"), apply, schema)
 
 
+def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = 64) -> DataFrame:
+    """The rows of docs, with all columns, without repeated passages in the text; rows whose whole text went are dropped.
+
+    A character of which a part was removed goes as a whole. A column n_chars, where there is one, is counted anew for changed texts.
+    """
+    spans = repeated_spans(docs, text_col, length, gram).select(F.col("key").alias("__key__"), F.col("whole").alias("__whole__"), F.col("spans").alias("__spans__"))
+    at = docs.columns.index(text_col)
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-2]
+            texts, stay = columns[at].to_pylist(), []
+            sizes = columns[counted].to_pylist() if counted is not None else []
+            for k, (whole, found) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)):
+                if whole or found:
+                    kept = cut_spans(texts[k].encode(), bool(whole), found or [])[0]
+                    texts[k] = kept.decode("utf-8", "ignore")
+                    if sizes:
+                        sizes[k] = len(texts[k])
+                stay.append(not (whole or found) or texts[k] != "")
+            columns[at] = pa.array(texts, columns[at].type)
+            if counted is not None:
+                columns[counted] = pa.array(sizes, columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2]).filter(pa.array(stay, pa.bool_()))
+
+    keyed = docs.withColumn("__key__", F.unhex(F.sha2(utf8(text_col), 256))).join(spans, "__key__", "left").select(*docs.columns, "__whole__", "__spans__")
+    return map_arrow(keyed, apply, docs.schema)
+
+
 def op6_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 400-byte strings of all documents, removed."""
     return dedup(table(spark, sf_dir, "documents"), text=False)
