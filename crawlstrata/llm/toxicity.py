@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link (proportional-odds) ordinal regression over sparse word features.
 
-P(grade > k) = sigmoid(w.x - threshold_k): all thresholds share the weights. x marks which selected words a text
-holds. The expected severity is the sum over k of P(grade > k).
+P(grade > k) = sigmoid(w.x - threshold_k): all thresholds share the weights. x marks which selected words and
+word beginnings a text holds. The expected severity is the sum over k of P(grade > k).
 
 Training reads a bounded sample of labelled rows (``sample`` rows, the least by a hash of the id, so the same at every
 run); scoring reads whole texts. The labels say only toxic or not, so the query grades toxic rows by evidence: grade 1
@@ -27,8 +27,14 @@ from crawlstrata.llm.common import map_arrow, table, utf8
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 or c == 39 else 32 for c in range(256))
 
 
+#: Lengths of the word beginnings that are features, in bytes: they meet inflected forms of a stem.
+STEMS = (4, 5, 6)
+
+
 def features(text: bytes) -> set[bytes]:
-    return set(text.translate(FOLD).split())
+    """The distinct words of a text, and their beginnings, marked by an asterisk."""
+    words = set(text.translate(FOLD).split())
+    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STEMS))
 
 
 @dataclass
@@ -42,37 +48,38 @@ class OrdinalModel:
         return [1 / (1 + np.exp(t - eta)) if t - eta < 700 else 0.0 for t in self.thresholds]
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, l1: float = 2e-4, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing thresholds by accelerated proximal gradient on the mean log-likelihood with an L1 penalty."""
-    k_most = int(grades.max())
-    n = len(rows)
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, l1: float = 1e-5, steps: int = 600, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing thresholds: Adam on the mean log-likelihood with an L1 penalty, at a falling rate.
+
+    Thresholds are the first one and the logarithms of the gaps above it, so they stay in order.
+    """
+    k_most, n = int(grades.max()), len(rows)
     where = np.repeat(np.arange(n), [len(r) for r in rows])
     cols = np.concatenate(rows) if len(where) else np.zeros(0, np.int64)
     share = np.array([np.clip((grades > k).mean(), 1e-6, 1 - 1e-6) for k in range(k_most)])
-    theta = -np.log(share / (1 - share))
-    w = np.zeros(n_features)
-    step = 4.0 / max(1.0, np.bincount(cols, minlength=n_features).max(initial=1) / n * max(1.0, len(cols) / n) + 1)
-    look, look_t, momentum = w.copy(), theta.copy(), 1.0
-    for _ in range(steps):
-        eta = np.bincount(where, look[cols], n)
-        p = 1 / (1 + np.exp(np.clip(look_t[:, None] - eta[None, :], -40, 40)))
-        edges = np.vstack((np.ones(n), p, np.zeros(n)))
-        up, down = edges[grades, np.arange(n)], edges[grades + 1, np.arange(n)]
-        slope = 1 - up - down
-        gap = np.maximum(up - down, 1e-9)
-        g_w = np.bincount(cols, slope[where], n_features) / n
-        g_t = np.array([((grades == k) * p[k] * (1 - p[k]) / gap - (grades == k + 1) * p[k] * (1 - p[k]) / gap).mean() for k in range(k_most)])
-        new = look + step * g_w
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        new_t = np.maximum.accumulate(look_t + step * g_t)
-        m = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        look, look_t = new + (momentum - 1) / m * (new - w), np.maximum.accumulate(new_t + (momentum - 1) / m * (new_t - theta))
-        w, theta, momentum = new, new_t, m
-    return w, theta
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12000, n_features: int = 2048) -> OrdinalModel:
-    """Fit on at most ``sample`` labelled rows; these ids (16 bytes each) are broadcast, and at most ``n_features`` words reach the driver."""
+    first = -np.log(share / (1 - share))
+    x = np.concatenate((np.zeros(n_features), first[:1], np.log(np.maximum(np.diff(first), 1e-2))))
+    m, v = np.zeros_like(x), np.zeros_like(x)
+    every = np.arange(n)
+    thresholds = lambda x: x[n_features] + np.concatenate(([0.0], np.cumsum(np.exp(x[n_features + 1 :]))))
+    for step in range(1, steps + 1):
+        w, theta = x[:n_features], thresholds(x)
+        eta = np.bincount(where, w[cols], n)
+        p = 1 / (1 + np.exp(np.clip(theta[:, None] - eta[None, :], -40, 40)))
+        e = np.vstack((np.ones(n), p, np.zeros(n)))
+        up, down = e[grades, every], e[grades + 1, every]
+        bend = p * (1 - p) / np.maximum(up - down, 1e-9)
+        of_theta = np.array([(bend[k] * ((grades == k) * 1.0 - (grades == k + 1))).mean() for k in range(k_most)])
+        of_gaps = np.cumsum(of_theta[::-1])[::-1][1:] * np.exp(x[n_features + 1 :])
+        g = np.concatenate((np.bincount(cols, (1 - up - down)[where], n_features) / n - l1 * np.sign(w), [of_theta.sum()], of_gaps))
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x = x + rate * 0.5 * (1 + np.cos(np.pi * step / steps)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    w = x[:n_features]
+    return np.where(np.abs(w) < 0.05, 0.0, w), thresholds(x)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12000, n_features: int = 2048, least_evidence: float = 5.4) -> OrdinalModel:
+    """Fit on at most ``sample`` labelled rows; these ids (16 bytes each) are broadcast, and at most ``n_features`` words, those whose log-likelihood ratio exceeds ``least_evidence``, reach the driver."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_toxic"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, utf8(text_col).alias("_text")).join(F.broadcast(chosen), id_col).select("_toxic", "_text")
@@ -92,9 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         n = bad + good
         term = lambda seen, of: F.when(seen > 0, seen * F.log(seen * F.lit(float(n)) / ((F.col("b") + F.col("g")) * F.lit(float(of))))).otherwise(0.0)
         score = term(F.col("b"), bad) + term(F.col("g"), good)
-        best = counts.where("b + g > 1").withColumn("score", score).orderBy(F.desc("score"), "word").limit(n_features).collect()
+        best = counts.where("b + g > 1").withColumn("score", score).where(F.col("score") > least_evidence).orderBy(F.desc("score"), "word").limit(n_features).collect()
         place = {bytes(r["word"]): k for k, r in enumerate(best)}
-        marker = np.array([r["b"] >= 2 and r["b"] / bad > 10 * (r["g"] + 0.5) / good for r in best], bool)
+        marker = np.array([r["word"][-1:] != b"*" and r["b"] >= 2 and r["b"] / bad > 10 * (r["g"] + 0.5) / good for r in best], bool)
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
