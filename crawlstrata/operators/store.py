@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +52,6 @@ def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def repair_utf8(df: DataFrame, columns: list[str]) -> DataFrame:
     """Binary or string columns as valid UTF-8: bytes that are none are dropped. Only rows that fail the check reach Python."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def repaired(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
