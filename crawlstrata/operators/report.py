@@ -67,7 +67,7 @@ def report_data(captures: DataFrame, suffixes: DataFrame) -> DataFrame:
     hosts = pages.groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("urls"), F.sum(F.when(F.col("path") == "/", F.col("n")).otherwise(0)).alias("roots"), *[F.sum(c).alias(c) for c in SUMS.values()])
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     whole = with_target(hosts, suffixes).agg(zero("n").alias("records"), F.count("*").alias("domains"), F.count_distinct("target").alias("targets"), zero("roots").alias("target_captures"), zero("urls").alias("urls"), *[zero(c).alias(k) for k, c in SUMS.items()])
-    return whole.join(F.broadcast(joined), F.lit(True))
+    return whole.withColumn("_one", F.lit(1)).join(joined.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def report(captures: DataFrame, request: SearchRequest, suffixes: DataFrame, id: str | None = None) -> DataFrame:

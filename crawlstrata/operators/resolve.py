@@ -55,13 +55,22 @@ def closest(requests: DataFrame, captures: DataFrame, verbatim: bool = False, an
 
 
 def closest_k(requests: DataFrame, captures: DataFrame, k: int, verbatim: bool = False) -> DataFrame:
-    """The k nearest captures of each request, with ``rank`` from 1. Requests have a column ``request``."""
+    """The k nearest captures of each request, with ``rank`` from 1. Requests have a column ``request``.
+
+    Captures of a URL are numbered in time; a request between two of them can only want the k numbers on either side, so
+    it is joined with 2k captures at most, however many its URL has.
+    """
     scope = ["host", "path", *(["psu"] if verbatim else [])]
-    # Of the captures of a URL, a request needs at most k on either side; the join is cut per request by rank.
-    joined = requests.select("request", "at", *scope).join(captures.select(*scope, "key", "rid", "unix"), scope)
+    asked = requests.select(*scope, F.col("at").alias("_t"), F.lit(0).alias("_side"), F.lit("").alias("_key"), "request")
+    held = captures.select(*scope, F.col("unix").alias("_t"), F.lit(1).alias("_side"), F.col("key").alias("_key"), "rid")
+    order = Window.partitionBy(*scope).orderBy("_t", "_side", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(held, allowMissingColumns=True).withColumn("_number", F.sum("_side").over(order))
+    numbers = F.sequence(F.greatest(F.col("_number") - (k - 1), F.lit(1)), F.col("_number") + k)
+    wanted = both.where("_side = 0").select(*scope, "request", F.col("_t").alias("at"), F.explode(numbers).alias("_number"))
+    found = wanted.join(both.where("_side = 1").select(*scope, "_number", F.col("_t").alias("unix"), F.col("_key").alias("key"), "rid"), [*scope, "_number"])
     later = F.col("unix") >= F.col("at")
-    order = Window.partitionBy("request").orderBy(F.abs(F.col("unix") - F.col("at")), later, F.when(later, F.col("key")).asc(), F.when(~later, F.col("key")).desc())
-    return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("request", "rank", "rid", "key")
+    nearest = Window.partitionBy("request").orderBy(F.abs(F.col("unix") - F.col("at")), later, F.when(later, F.col("key")).asc(), F.when(~later, F.col("key")).desc())
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("request", "rank", "rid", "key")
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
