@@ -13,6 +13,9 @@ sorted at a time:
    beforehand for a difference-cover sample of the block (Kärkkäinen, 2007): for any two suffixes some shift below the
    period leads both to sample positions, whose ranks compare the rest.
 
+A bucket with far more suffixes than a task should sort (at most ``HOT_BUCKETS`` can be so large) is split window by window:
+the digests of its windows are counted in Spark, with partial sums before the shuffle, which is exact and has no hot task.
+
 Texts that are equal as a whole are analysed once; where they are long enough, every copy is repeated elsewhere and goes
 completely.
 
@@ -40,6 +43,10 @@ MIX = np.uint64(0xD1B54A32D192ED03)
 #: Windows handled at once in a text, and bytes of a block of buckets.
 STRETCH = 1 << 18
 BLOCK = 1 << 20
+#: Most buckets that can be hot: those with more than one in HOT_BUCKETS of all suffixes' buckets, and LEAST_HOT at least.
+HOT_BUCKETS, LEAST_HOT = 500, 20_000
+#: Bytes of stretches that a mapper holds at most to find equal ones.
+HELD = 16 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -220,7 +227,21 @@ def _settle(rows: list[tuple], length: int) -> Iterator[tuple[bytes, list[dict]]
             yield m[2], [{"a": m[3] + a, "b": m[3] + b - 1 + length} for a, b in runs]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = 64) -> DataFrame:
+def _pieces(rows: dict[tuple[int, bytes], list], rest: list[tuple], length: int) -> pa.RecordBatch:
+    """Stretches of ordinary buckets with their bytes, those of hot buckets as digests of their windows, and settled ones with their size."""
+    out = list(rest)
+    for name, copies, key, first, anchor, stretch, hot in rows.values():
+        if hot:
+            digests = [hashlib.blake2b(stretch[k : k + length], digest_size=16).digest() for k in range(len(stretch) - length + 1)]
+            out.append((name, copies, key, first, anchor, None, len(stretch), digests))
+        else:
+            out.append((name, copies, key, first, anchor, stretch, len(stretch), None))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary()))
+    columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "copies", "key", "first", "anchor", "body", "size", "digests"])
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = 64, least_hot: int = LEAST_HOT) -> DataFrame:
     """Columns: key (sha256 of the text), whole (all of it is repeated), spans (array of [a, b) in bytes, unordered): texts with repeated bytes only."""
     texts = docs.select(utf8(text_col).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("key"), "text")
 
@@ -232,39 +253,47 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
     marks = stash(map_arrow(texts, mark, "key binary, n long, names array<long>"))
     distinct = stash(marks.groupBy("key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("names").alias("names")))
     named = distinct.where(F.size("names") > 0)
-    shared = named.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("m")).where("m > 1").select("name")
-    places = named.select("key", "copies", F.posexplode("names").alias("k", "name")).join(shared, "name")
-    wanted = stash(places.groupBy("key").agg(F.first("copies").alias("copies"), F.collect_list("k").alias("wanted")))
-    # One row for each distinct text: the rows of a key lie together after the join, and the mapper takes the first.
+    total = named.agg(F.coalesce(F.sum(F.size("names")), F.lit(0))).first()[0]
+    limit = max(least_hot, total // HOT_BUCKETS)
+    counts = stash(named.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("m")).where("m > 1"))
+    hot = F.broadcast(counts.where(F.col("m") > limit).select("name"))  # at most HOT_BUCKETS rows
+    places = named.select("key", "copies", F.posexplode("names").alias("k", "name"))
+    cold = places.join(hot, "name", "left_anti").join(counts.where(F.col("m") <= limit).select("name"), "name").withColumn("hot", F.lit(False))
+    both = cold.unionByName(places.join(hot, "name").withColumn("hot", F.lit(True)))
+    wanted = stash(both.groupBy("key").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("k", "hot")).alias("wanted")))
+    # One row for each distinct text: the rows of a key lie together after the join.
     found = texts.join(wanted, "key").dropDuplicates(["key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The stretches of all wanted buckets, equal ones of this batch once. A stretch cut out twice counts its copies."""
+        """The stretches of all wanted buckets. Those that are equal and held at the same time are sent once, and the others are settled."""
         for batch in batches:
             rows: dict[tuple[int, bytes], list] = {}
-            extra: list[tuple] = []
+            rest: list[tuple] = []
+            size = 0
             for key, text, copies, which in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("copies").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 body = text.as_py()
                 whole = buckets(body, length, gram)
-                for k in which:
-                    name, first, last, place = whole[k]
+                for w in which:
+                    name, first, last, place = whole[w["k"]]
                     stretch = body[first : last + length]
                     known = rows.get((name, stretch))
                     if known is None:
-                        rows[name, stretch] = [name, copies, key, first, place - first, stretch]
+                        rows[name, stretch] = [name, copies, key, first, place - first, stretch, w["hot"]]
+                        size += len(stretch)
                     else:
                         known[1] += copies
-                        extra.append((name, 0, key, first, 0, None, len(stretch)))
-            columns = [*rows.values()]
-            yield _batch([(*r, 0) for r in columns] + extra)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "copies", "key", "first", "anchor", "body", "size"])
-
-    pieces = stash(map_arrow(found.select("key", "text", "copies", "wanted"), cut, "name long, copies long, key binary, first long, anchor long, body binary, size long"))
-    settled = pieces.where("body is null").select("key", F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("size")).alias("b"))).alias("spans"))
+                        rest.append((name, 0, key, first, 0, None, len(stretch), None))
+                if size > HELD:
+                    yield _pieces(rows, rest, length)
+                    rows, rest, size = {}, [], 0
+            yield _pieces(rows, rest, length)
+
+    pieces = stash(map_arrow(found.select("key", "text", "copies", "wanted"), cut, "name long, copies long, key binary, first long, anchor long, body binary, size long, digests array<binary>"))
+    run = lambda a, n: F.struct(F.col(a).alias("a"), (F.col(a) + n).alias("b"))
+    settled = pieces.where("body is null and digests is null").select("key", F.array(run("first", F.col("size"))).alias("spans"))
+    windows = pieces.where("digests is not null").select("key", "first", "copies", F.posexplode("digests").alias("k", "digest"))
+    often = windows.groupBy("digest").agg(F.sum("copies").alias("m")).where("m > 1").select("digest")
+    split = windows.join(often, "digest").withColumn("at", F.col("first") + F.col("k")).groupBy("key").agg(F.collect_list(run("at", length)).alias("spans"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -283,9 +312,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
         if rows:
             yield out(rows)
 
-    blocks = pieces.where("body is not null").drop("size").repartition("name").sortWithinPartitions("name")
+    blocks = pieces.where("body is not null").repartition("name").sortWithinPartitions("name")
     sorted_ = map_arrow(blocks.select("name", "copies", "key", "first", "anchor", "body"), sort, "key binary, spans array<struct<a:long,b:long>>")
-    spans = sorted_.unionByName(settled).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = sorted_.unionByName(settled).unionByName(split).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = distinct.where((F.col("copies") > 1) & (F.col("n") >= length)).select("key", F.lit(True).alias("whole"))
     return stash(spans.join(whole, "key", "full").select("key", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans")))
 
