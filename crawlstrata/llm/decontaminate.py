@@ -226,3 +226,19 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_suffix_automaton": op8_suffix_automaton}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = {
+    "op8_suffix_automaton": f"""with d as (select doc_id, row_number() over () as r, {_WORDS} as ws from documents),
+i as (select cast(item_id as varchar) as item, {_WORDS} as ws from benchmark),
+iw as (select distinct item, least(13, len(ws)) as m, list_slice(ws, k, k + least(13, len(ws)) - 1) as win
+ from (select item, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) as k from i where len(ws) > 0)),
+sizes as (select distinct m from iw),
+dw as (select r, m, k, list_slice(ws, k, k + m - 1) as win from (select r, ws, m, unnest(range(1, len(ws) - m + 2)) as k from d cross join sizes)),
+hits as (select dw.r, dw.k, dw.m, iw.item from dw join iw on dw.m = iw.m and dw.win = iw.win),
+hit as (select r, count(*) as n from (select distinct r, unnest(range(k, k + m)) as p from hits) group by r),
+items as (select r, count(*) as n, string_agg(item, ',' order by item) as s from (select distinct r, item from hits) group by r)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(items.n, 0) as n_items, sha256(coalesce(items.s, '')) as items_sha256,
+ coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(ws) as contaminated
+from d left join hit on hit.r = d.r left join items on items.r = d.r""",
+}

@@ -111,3 +111,20 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> Dat
 
 
 QUERIES = {"op1_jump_sharding": op1_jump_sharding}
+
+#: The query in SQL; crc32 by its definition, byte after byte.
+ORACLE_SQL = {
+    "op1_jump_sharding": f"""with recursive rounds as (select i as entry, i as v, 0 as step from range(256) t(i)
+ union all select entry, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, step + 1 from rounds where step < 8),
+crc as (select list(cast(v as bigint) order by entry) as entries from rounds where step = 8),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as bytes from documents),
+summed as (select r, doc_id, cast(len(bytes) + 8 as bigint) as size,
+ xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(bytes, lambda x: cast('0x' || x as bigint))), lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1])), 4294967295) as text_crc32
+ from d, crc),
+jumps as (select r, cast(coalesce(doc_id, 0) as hugeint) as key, cast(-1 as bigint) as b, cast(0 as bigint) as j from d
+ union all select r, k, j, cast(floor((j + 1) * (2147483648.0::double / cast((k >> 33) + 1 as double))) as bigint)
+ from (select r, j, (key * {MULTIPLIER} + 1) % 18446744073709551616 as k from jumps where j < 24)),
+placed as (select r, cast(arg_max(b, j) as int) as shard, cast(case when max(j) = 24 then 24 else arg_max(b, j) end as int) as grown_shard from jumps group by r)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard
+from summed join placed using (r)""",
+}

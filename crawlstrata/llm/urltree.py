@@ -94,8 +94,8 @@ def purity(rows: DataFrame, weight: float = 10.0, alike: float = 1.96) -> DataFr
     nodes = nodes.withColumn("branch", F.coalesce(branch, F.lit("")))
     merged = nodes.groupBy("host", "family", "branch").agg(F.sum("n").alias("n"), F.sum("good").alias("n_good"), F.sum("pages").alias("pages"))
     hosts = nodes.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hg"))
-    everything = nodes.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("prior"))
-    host_share = hosts.crossJoin(F.broadcast(everything)).select("host", ((F.col("hg") + weight * F.col("prior")) / (F.col("hn") + weight)).alias("host_share"))
+    prior = nodes.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("prior")).first()[0]
+    host_share = hosts.select("host", ((F.col("hg") + weight * F.lit(prior)) / (F.col("hn") + weight)).alias("host_share"))
     merged = merged.join(host_share, "host").withColumn("purity", (F.col("n_good") + weight * F.col("host_share")) / (F.col("n") + weight))
     return nodes.select("host", "template", "family", "branch").join(merged, ["host", "family", "branch"]).select("host", "template", "branch", "pages", "n", "n_good", "purity")
 
@@ -124,3 +124,40 @@ def op4_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_path_template_tree": op4_path_template_tree}
+
+
+def _oracle(max_depth: int = 8) -> str:
+    """The query in SQL, with one round of statements for each level of the tree."""
+    seg = "t.segs[{k}]"
+    shape_sql = "case when regexp_matches({s}, '^[0-9]+$') then '{{number}}' when regexp_matches({s}, '^[0-9a-fA-F-]{{8,}}$') then '{{hex}}' else '{{word}}' end || regexp_extract({seg}, '(\\.[A-Za-z]{{1,5}})$', 1)"
+    levels = []
+    for k in range(1, max_depth + 1):
+        here = seg.format(k=k)
+        wild = shape_sql.format(s=f"regexp_replace({here}, '\\.[A-Za-z]{{1,5}}$', '')", seg=here)
+        levels.append(f"""c{k} as (select host, template, segs[{k}] as seg, count(*) as n from t{k - 1} where len(segs) >= {k} group by all),
+f{k} as (select c.host, c.template, c.seg from c{k} c join (select host, template, sum(n) as total from c{k} group by all) s on s.host = c.host and s.template = c.template where c.n >= 8 and c.n >= s.total * 0.02),
+t{k} as (select t.page_id, t.host, t.path, t.good, t.segs, case when len(t.segs) >= {k} then list_append(t.template, case when f.seg is not null then {here} else {wild} end) else t.template end as template
+ from t{k - 1} t left join f{k} f on f.host = t.host and f.template = t.template and f.seg = {here})""")
+    fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then " for h, p, _ in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
+    rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = "case " + " ".join(f"{f}'{h}{p}'" for f, (h, p, _) in zip(fits, rules, strict=True)) + " end"
+    verdict = "case " + " ".join(f"{f}'{v}'" for f, (*_, v) in zip(fits, rules, strict=True)) + " end"
+    return f"""with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) as path from pages),
+known as (select doc_id as doc, min(case when quality = 1 and toxic = 0 then 1 else 0 end) as good from labels where quality is not null and toxic is not null and doc_id is not null group by doc_id),
+s as (select u.*, known.good, list_filter(string_split(path, '/'), lambda x: x <> '') as every from u left join known on known.doc = try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})(?:\\.[A-Za-z]{{1,5}})?/?$', 1), '') as bigint)),
+t0 as (select page_id, host, path, good, case when len(every) > {max_depth} then list_append(every[1:{max_depth - 1}], array_to_string(every[{max_depth}:], '/')) else every end as segs, cast([] as varchar[]) as template from s),
+{(","+chr(10)).join(levels)},
+nodes as (select host, template, count(good) as n, coalesce(sum(good), 0) as g,
+ array_to_string(list_transform(template, lambda x, i: case when i = greatest(len(template) - 1, 1) then '*' else x end), '/') as family,
+ template[greatest(len(template) - 1, 1)] as leaf from t{max_depth} group by host, template),
+pooled as (select host, family, sum(n) as fn, sum(g) as fg from nodes group by all),
+tested as (select a.*, fn, fg, fg / nullif(fn, 0) as p, fn - n as o, fg - g as og from nodes a join pooled b on b.host = a.host and b.family = a.family),
+branched as (select *, case when coalesce(abs((g / nullif(n, 0) - og / nullif(o, 0)) / nullif(sqrt(p * (1 - p) * (1 / nullif(n, 0) + 1 / nullif(o, 0))), 0)) < 1.96, true) then '' else coalesce(leaf, '') end as branch from tested),
+merged as (select host, family, branch, sum(n) as n, sum(g) as g from branched group by all),
+hosts as (select host, (sum(g) + 10.0 * (select (coalesce(sum(g), 0) + 1) / (coalesce(sum(n), 0) + 1) from nodes)) / (sum(n) + 10.0) as share from nodes group by host),
+pure as (select b.host, b.template, (m.g + 10.0 * h.share) / (m.n + 10.0) as purity from branched b join merged m on m.host = b.host and m.family = b.family and m.branch = b.branch join hosts h on h.host = b.host)
+select t.page_id, t.host, t.path, rule, coalesce(ruled, case when purity < 0.5 then 'block' else 'allow' end) as verdict
+from (select page_id, host, path, template, {rule} as rule, {verdict} as ruled from t{max_depth}) t join pure on pure.host = t.host and pure.template = t.template"""
+
+
+ORACLE_SQL = {"op4_path_template_tree": _oracle()}
