@@ -63,11 +63,13 @@ def ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << k for k in which) for r in range(radius + 1) for which in combinations(range(bits), r)]
 
 
-def links(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2, bits: int = 64) -> DataFrame:
+def links(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2, bits: int = 64, crowded: int = 4000) -> DataFrame:
     """Columns a < b: distinct fingerprints at most ``radius`` bits apart. ``nodes`` holds each fingerprint once.
 
     With radius = m * q + r for m segments, of two near fingerprints one of the first r + 1 segments is within q bits,
-    or one of the others is within q - 1.
+    or one of the others is within q - 1. Comparing all that meet at a segment value would grow with the square of a
+    crowd of near copies; so fingerprints at a value that more than ``crowded`` share enumerate their whole ball instead,
+    whose size does not depend on the crowd.
     """
     q, r = divmod(radius, segments)
     cuts = [bits * k // segments for k in range(segments + 1)]
@@ -83,7 +85,15 @@ def links(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2,
     index = nodes.select(F.col(fp).alias("a"), F.explode(F.array(*keys)).alias("at")).select("a", "at.segment", "at.value")
     asked = nodes.select(F.col(fp).alias("b"), F.explode(F.concat(*probes)).alias("at")).select("b", "at.segment", "at.value")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return index.join(asked, ["segment", "value"]).where(near).select("a", "b").distinct()
+    crowds = stash(index.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("segment", "value"))
+    if crowds.isEmpty():
+        return index.join(asked, ["segment", "value"]).where(near).select("a", "b").distinct()
+    found = index.join(crowds, ["segment", "value"], "left_anti").join(asked, ["segment", "value"]).where(near).select("a", "b")
+    inside = index.join(crowds, ["segment", "value"], "left_semi").select("a").distinct()
+    masks = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in ball(bits, radius)[1:]])
+    reached = inside.select("a", F.explode(masks).alias("mask")).select("a", F.col("a").bitwiseXOR(F.col("mask")).alias("b"))
+    more = reached.join(nodes.select(F.col(fp).alias("b")), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.unionByName(more).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

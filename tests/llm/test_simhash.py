@@ -48,8 +48,9 @@ def test_links_and_chains(spark):
     fps = [(k, base ^ m) for k, m in enumerate(masks)]
     df = spark.createDataFrame([(f,) for _, f in fps], "fp long")
     for radius, segments in ((2, 2), (2, 3), (3, 2), (1, 4)):
-        got = {(r["a"], r["b"]) for r in simhash.links(df, radius=radius, segments=segments).collect()}
-        assert got == {(a, b) for _, a in fps for _, b in fps if a < b and (a ^ b).bit_count() <= radius}
+        want = {(a, b) for _, a in fps for _, b in fps if a < b and (a ^ b).bit_count() <= radius}
+        for crowded in (4000, 1):
+            assert {(r["a"], r["b"]) for r in simhash.links(df, radius=radius, segments=segments, crowded=crowded).collect()} == want
     roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
     want = brute_components([(f, f) for _, f in fps])
     assert {f: roots.get(f, f) for _, f in fps} == dict(zip([f for _, f in fps], want, strict=True))
