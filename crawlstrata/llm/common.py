@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from crawlstrata.scratch import checkpoint_dir
 from crawlstrata.shipping import ship
 
 
@@ -18,21 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet below the shared checkpoint folder and read it again: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,3 +40,15 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """mapInArrow on workers that have this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def bounded_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """At most ``size`` rows, those of the least hash of a key: the same at every run, whatever the partitions.
+
+    A filter by hash comes before the sort, so that a task sends little more than its share of the sample.
+    """
+    total = rows.count()
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    if total > 2 * size:
+        rows = rows.where(place < int((1.2 * size + 100) / total * (1 << 30)))
+    return rows.orderBy(place, key).limit(size)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import map_arrow, table, utf8
+from crawlstrata.llm.common import bounded_sample, map_arrow, table, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -159,7 +159,7 @@ def fit(sequences: list[list[list[int]]], labels: list[int], steps: int = 100, r
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 800, chunk: int = 64) -> LineCrf:
     """Fit on at most 2 * ``per_class`` documents; features of their lines, not texts, reach the driver."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_good"))
-    of = lambda y: known.where(F.col("_good") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
+    of = lambda y: bounded_sample(known.where(F.col("_good") == y), id_col, per_class)
     rows = docs.select(id_col, utf8(text_col).alias("_text")).join(F.broadcast(of(0).unionByName(of(1))), id_col).select("_good", F.xxhash64(id_col).alias("_order"), "_text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import id_crc32, map_arrow, table, utf8
+from crawlstrata.llm.common import bounded_sample, id_crc32, map_arrow, table, utf8
 
 
 @dataclass
@@ -76,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy(id_col).agg(F.min(label_col).cast("int").alias("_good"))
-    of = lambda y: known.where(F.col("_good") == y).orderBy(F.xxhash64(id_col), id_col).limit(2 * per_class)
+    of = lambda y: bounded_sample(known.where(F.col("_good") == y), id_col, 2 * per_class)
     chosen = of(0).unionByName(of(1))
     rows = docs.select(id_col, utf8(text_col).alias("_text")).join(F.broadcast(chosen), id_col).select("_good", F.xxhash64(id_col).alias("_order"), "_text").toArrow()
     order = np.lexsort((rows["_order"].to_numpy(),))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import map_arrow, table, utf8
+from crawlstrata.llm.common import bounded_sample, map_arrow, table, utf8
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 or c == 39 else 32 for c in range(256))
 
@@ -81,7 +81,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, l1:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12000, n_features: int = 2048, least_evidence: float = 5.4) -> OrdinalModel:
     """Fit on at most ``sample`` labelled rows; these ids (16 bytes each) are broadcast, and at most ``n_features`` words, those whose log-likelihood ratio exceeds ``least_evidence``, reach the driver."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_toxic"))
-    chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    chosen = bounded_sample(chosen, id_col, sample)
     rows = docs.select(id_col, utf8(text_col).alias("_text")).join(F.broadcast(chosen), id_col).select("_toxic", "_text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
