@@ -38,18 +38,18 @@ def url_parts(url: Column | str) -> Column:
     return F.when(F.size(raw) == len(PARTS), F.transform(F.array(raw), normal)[0])
 
 
-def url_ok(url: Column | str) -> Column:
-    """Whether the column forms below cover a URL: false for hosts that are not ASCII, backslashes, and encoded dots."""
-    u = _column(url)
-    parts = url_parts(u)
-    return F.coalesce(parts.isNotNull() & ~u.rlike(r"[\\\t\n\r]|%2[eE]") & parts[2].rlike(r"^[\x21-\x7e]*$"), F.lit(False))
-
-
 def _let(value: Column, body) -> Column:
     """body(value), with the value computed once."""
     return F.transform(F.array(value), body)[0]
 
 
+def url_ok(url: Column | str) -> Column:
+    """Whether the column forms below cover a URL: false for hosts that are not ASCII, backslashes, and encoded dots."""
+    u = _column(url)
+    plain = _let(url_parts(u), lambda p: p.isNotNull() & p[2].rlike(r"^[\x21-\x7e]*$"))
+    return F.coalesce(~u.rlike(r"[\\\t\n\r]|%2[eE]") & plain, F.lit(False))
+
+
 def _reversed(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
 
@@ -88,14 +88,19 @@ def surt(url: Column | str, include_scheme: bool = False) -> Column:
 
 def split_ssurt(key: Column | str) -> Column:
     """struct<host, psu, path> of a sortable key; psu is port, scheme and userinfo with their colons."""
-    k = _column(key)
-    at = F.locate("//", k)
-    rest = F.substring(k, at + 2, F.length(k))
-    slash = F.locate("/", rest)
-    host = F.when(at > 0, F.substring(k, F.lit(1), at - 1)).otherwise(k)
-    psu = F.when(at == 0, "").when(slash > 0, F.substring(rest, F.lit(1), slash - 1)).otherwise(rest)
-    path = F.when(at == 0, "").when(rest == "", "/").when(slash > 0, F.substring(rest, slash, F.length(rest))).otherwise("")
-    return F.struct(host.alias("host"), psu.alias("psu"), path.alias("path"))
+
+    def cut(s: Column) -> Column:
+        whole, at, rest, slash = s["k"], s["at"], s["rest"], F.locate("/", s["rest"])
+        host = F.when(at > 0, F.substring(whole, F.lit(1), at - 1)).otherwise(whole)
+        psu = F.when(at == 0, "").when(slash > 0, F.substring(rest, F.lit(1), slash - 1)).otherwise(rest)
+        path = F.when(at == 0, "").when(rest == "", "/").when(slash > 0, F.substring(rest, slash, F.length(rest))).otherwise("")
+        return F.struct(host.alias("host"), psu.alias("psu"), path.alias("path"))
+
+    def mark(k: Column) -> Column:
+        at = F.locate("//", k)
+        return F.struct(k.alias("k"), at.alias("at"), F.substring(k, at + 2, F.length(k)).alias("rest"))
+
+    return _let(_let(_column(key), mark), cut)
 
 
 def desurt_domain(host: Column | str) -> Column:

@@ -70,12 +70,11 @@ def _values(spark: SparkSession, **columns: Column) -> dict[str, object]:
 def url_scope(spark: SparkSession, url: str) -> dict[str, str]:
     """host, psu and path of a request's URL, and path0: the path without query and fragment."""
     full = urls.with_default_scheme(F.lit(url))
-    parts = urls.split_ssurt(urls.ssurt(full))
-    cut = urls.split_ssurt(urls.ssurt(F.regexp_replace(full, r"[?#].*$", "")))
-    found = _values(spark, ok=urls.url_ok(full), host=parts["host"], psu=parts["psu"], path=parts["path"], path0=cut["path"])
+    cut = F.regexp_replace(full, r"[?#].*$", "")
+    found = _values(spark, ok=urls.url_ok(full), whole=urls.split_ssurt(urls.ssurt(full)), cut=urls.split_ssurt(urls.ssurt(cut)))
     if not found["ok"]:
         raise ValueError(f"not a URL: {url!r}")
-    return found
+    return {**found["whole"].asDict(), "path0": found["cut"]["path"]}
 
 
 def match(captures: DataFrame, url: str | None, match_type: str = "exact") -> Column:
