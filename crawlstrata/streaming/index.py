@@ -1,7 +1,9 @@
 """Continuous indexing: a stream of WARC paths into the tables captures, ids and files, and a streaming table of contents.
 
-Tables are folders of versions below a base path. A batch writes the next version and then names it in ``current``; a batch
-that is delivered again finds its files indexed and changes nothing.
+A batch writes its own captures, sorted by key, and the file table below the next number, and then a file ``current-<number>``
+that makes them count; what is there already is not written again. Readers merge the batches by key, the last write winning;
+``compact`` writes the merged table, so that few batches are left to merge. A batch that is delivered again finds its files
+indexed and changes nothing.
 """
 
 from __future__ import annotations
@@ -14,26 +16,51 @@ from crawlstrata.functions.keys import with_keys
 from crawlstrata.operators import lists, store
 from crawlstrata.sources.warc import http_records, read_warc, to_captures
 
-TABLES = ("captures", "ids", "files")
-
 
 def _hadoop(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def current(spark: SparkSession, base: str) -> int:
-    """Number of the current version; 0 if there is none."""
+def _numbers(spark: SparkSession, base: str, mark: str) -> list[int]:
     p, system = _hadoop(spark, base)
     if not system.exists(p):
-        return 0
+        return []
     names = [s.getPath().getName() for s in system.listStatus(p)]
-    return max([int(n[8:]) for n in names if n.startswith("current-")], default=0)
+    return [int(n[len(mark) + 1 :]) for n in names if n.startswith(f"{mark}-")]
+
+
+def _mark(spark: SparkSession, base: str, mark: str, n: int) -> None:
+    p, system = _hadoop(spark, f"{base}/{mark}-{n}")
+    system.create(p, True).close()
+
+
+def current(spark: SparkSession, base: str) -> int:
+    """Number of the last batch; 0 if there is none."""
+    return max(_numbers(spark, base, "current"), default=0)
 
 
 def load(spark: SparkSession, base: str, table: str) -> DataFrame | None:
+    """The table captures, ids or files as of the last batch; None before the first."""
     n = current(spark, base)
-    return spark.read.parquet(f"{base}/v{n}/{table}") if n else None
+    if not n:
+        return None
+    if table == "files":
+        return spark.read.parquet(f"{base}/v{n}/files")
+    whole = max((k for k in _numbers(spark, base, "compacted") if k <= n), default=0)
+    paths = [f"{base}/v{whole}/compacted"] * (whole > 0) + [f"{base}/v{k}/captures" for k in range(whole + 1, n + 1)]
+    rows = spark.read.parquet(*paths)
+    if len(paths) > 1:
+        rows = store.upsert_captures(rows.limit(0), rows)
+    return lists.ids(rows) if table == "ids" else rows
+
+
+def compact(spark: SparkSession, base: str, files: int = 8) -> None:
+    """Write the merged captures as one table sorted by key."""
+    n, rows = current(spark, base), load(spark, base, "captures")
+    if rows is not None and n not in _numbers(spark, base, "compacted"):
+        store.write_captures(rows, f"{base}/v{n}/compacted", files)
+        _mark(spark, base, "compacted", n)
 
 
 def file_info(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -58,18 +85,19 @@ def index_files(spark: SparkSession, base: str, paths: list[str], includes: list
     fresh = files.where(F.col("path").isin(todo))
     times = fresh.select(F.col("name").alias("filename"), F.col("last_modified").alias("file_time"))
     rows = with_keys(to_captures(http_records(read_warc(spark, todo)))).join(F.broadcast(times), "filename")
-    old = load(spark, base, "captures")
-    if old is not None and replace_file:
-        old = old.join(times.select("filename"), "filename", "left_anti").select(*old.columns)
-    new = rows if old is None else rows.select(*old.columns)
     n = current(spark, base) + 1
     at = f"{base}/v{n}"
-    store.write_captures(store.upsert_captures(new.limit(0) if old is None else old, new, max_key_bytes), f"{at}/captures")
-    written = spark.read.parquet(f"{at}/captures")
-    store.upsert_ids(written.select("rid", "ref").limit(0), lists.ids(written)).write.mode("overwrite").parquet(f"{at}/ids")
+    old = load(spark, base, "captures") if replace_file else None
+    if old is not None:
+        # Other rows of these files go, so what is left is written whole.
+        kept = old.join(times.select("filename"), "filename", "left_anti").select(*old.columns)
+        store.write_captures(store.upsert_captures(kept, rows.select(*old.columns), max_key_bytes), f"{at}/compacted")
+    else:
+        store.write_captures(store.upsert_captures(rows.limit(0), rows, max_key_bytes), f"{at}/captures")
     (fresh if known is None else store.upsert_files(known, fresh)).write.mode("overwrite").parquet(f"{at}/files")
-    p, system = _hadoop(spark, f"{base}/current-{n}")
-    system.create(p, True).close()
+    if old is not None:
+        _mark(spark, base, "compacted", n)
+    _mark(spark, base, "current", n)
     return len(todo)
 
 

@@ -6,7 +6,7 @@ from crawlstrata.operators import resolve
 from crawlstrata.operators.store import reset
 from crawlstrata.sources.files import discover, path_stream, text_path_stream
 from crawlstrata.sources.warc import extract_records, http_records, read_warc, to_captures
-from crawlstrata.streaming.index import index_files, load, start_indexing, toc_stream
+from crawlstrata.streaming.index import compact, index_files, load, start_indexing, toc_stream
 
 
 def record(kind, block, rid, uri="http://example.com/", date="2020-04-01T22:22:00Z", content="application/http; msgtype=response", extra=""):
@@ -111,6 +111,13 @@ def test_index_stream(spark, warcs, tmp_path):
     assert load(spark, base, "captures").count() == 4
     assert load(spark, base, "files").count() == 2
     assert index_files(spark, base, [str(warcs / "packed.warc.gz")]) == 0
+    before = sorted((r["key"], r["ref"]) for r in load(spark, base, "captures").collect())
+    compact(spark, base)
+    compact(spark, base)
+    assert sorted((r["key"], r["ref"]) for r in load(spark, base, "captures").collect()) == before
+    (tmp_path / "plain.warc").write_bytes(RECORDS[1])
+    assert index_files(spark, base, [str(tmp_path / "plain.warc")], replace_file=True) == 1
+    assert load(spark, base, "captures").count() == 4 and load(spark, base, "files").count() == 2
     path = str(tmp_path / "toc")
     load(spark, base, "captures").select("host", "sts").write.parquet(path)
     out = toc_stream(spark.readStream.schema("host string, sts timestamp").parquet(path)).writeStream.format("memory").queryName("toc_out").trigger(availableNow=True).start()
