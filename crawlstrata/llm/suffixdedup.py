@@ -13,8 +13,9 @@ sorted at a time:
    beforehand for a difference-cover sample of the block (Kärkkäinen, 2007): for any two suffixes some shift below the
    period leads both to sample positions, whose ranks compare the rest.
 
-A bucket with far more suffixes than a task should sort (at most ``HOT_BUCKETS`` can be so large) is split window by window:
-the digests of its windows are counted in Spark, with partial sums before the shuffle, which is exact and has no hot task.
+A bucket with more suffixes than a task should sort (``LEAST_HOT``, whatever the size of the corpus) is split window by
+window: the digests of its windows are counted in Spark, with partial sums before the shuffle, which is exact and has no hot
+task.
 
 Texts that are equal as a whole are analysed once; where they are long enough, every copy is repeated elsewhere and goes
 completely.
@@ -43,8 +44,8 @@ MIX = np.uint64(0xD1B54A32D192ED03)
 #: Windows handled at once in a text, and bytes of a block of buckets.
 STRETCH = 1 << 18
 BLOCK = 1 << 20
-#: Most buckets that can be hot: those with more than one in HOT_BUCKETS of all suffixes' buckets, and LEAST_HOT at least.
-HOT_BUCKETS, LEAST_HOT = 500, 20_000
+#: Most suffixes of a bucket that a task sorts.
+LEAST_HOT = 20_000
 #: Bytes of stretches that a mapper holds at most to find equal ones.
 HELD = 16 << 20
 _powers: list[np.ndarray] = []
@@ -241,6 +242,15 @@ def _pieces(rows: dict[tuple[int, bytes], list], rest: list[tuple], length: int)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "copies", "key", "first", "anchor", "body", "size", "digests"])
 
 
+def _places(named: DataFrame, least_hot: int) -> DataFrame:
+    """Columns: key, copies, k (place in names), name, hot (its bucket is to be split), for buckets of several suffixes. named: key, copies, names."""
+    counts = stash(named.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("m")).where("m > 1"))
+    hot = counts.where(F.col("m") > least_hot).select("name")
+    places = named.select("key", "copies", F.posexplode("names").alias("k", "name"))
+    cold = places.join(counts.where(F.col("m") <= least_hot).select("name"), "name").withColumn("hot", F.lit(False))
+    return cold.unionByName(places.join(hot, "name").withColumn("hot", F.lit(True)))
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = 64, least_hot: int = LEAST_HOT) -> DataFrame:
     """Columns: key (sha256 of the text), whole (all of it is repeated), spans (array of [a, b) in bytes, unordered): texts with repeated bytes only."""
     texts = docs.select(utf8(text_col).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("key"), "text")
@@ -253,16 +263,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
     marks = stash(map_arrow(texts, mark, "key binary, n long, names array<long>"))
     distinct = stash(marks.groupBy("key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("names").alias("names")))
     named = distinct.where(F.size("names") > 0)
-    total = named.agg(F.coalesce(F.sum(F.size("names")), F.lit(0))).first()[0]
-    limit = max(least_hot, total // HOT_BUCKETS)
-    counts = stash(named.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("m")).where("m > 1"))
-    hot = F.broadcast(counts.where(F.col("m") > limit).select("name"))  # at most HOT_BUCKETS rows
-    places = named.select("key", "copies", F.posexplode("names").alias("k", "name"))
-    cold = places.join(hot, "name", "left_anti").join(counts.where(F.col("m") <= limit).select("name"), "name").withColumn("hot", F.lit(False))
-    both = cold.unionByName(places.join(hot, "name").withColumn("hot", F.lit(True)))
-    wanted = stash(both.groupBy("key").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("k", "hot")).alias("wanted")))
-    # One row for each distinct text: the rows of a key lie together after the join.
-    found = texts.join(wanted, "key").dropDuplicates(["key"])
+    wanted = stash(_places(named, least_hot).groupBy("key").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("k", "hot")).alias("wanted")))
+    # One row for each distinct text: copies go before the shuffle already.
+    found = texts.dropDuplicates(["key"]).join(wanted, "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The stretches of all wanted buckets. Those that are equal and held at the same time are sent once, and the others are settled."""

@@ -90,3 +90,22 @@ def test_characters_stay_whole(spark):
     df = spark.createDataFrame([(1, "é1" + p + "2é", 0), (2, "è3" + p + "4ë", 0)], "doc_id int, text string, n_chars int")
     rows = {r["doc_id"]: r for r in S.strip_repeats(df).collect()}
     assert rows[1]["text"] == "é12é" and rows[2]["text"] == "è34ë" and rows[1]["n_chars"] == 4
+
+
+def test_split_bound_does_not_grow(spark, monkeypatch):
+    """A bucket just below a 500th of all suffixes is split like any other above the bound, with the same results."""
+    r = random.Random(9)
+    rnd = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = rnd(450)
+    texts = [rnd(40_000) for _ in range(30)] + [rnd(60) + passage + rnd(500) for _ in range(10)]
+    sent = []
+    places = S._places
+    monkeypatch.setattr(S, "_places", lambda *a: sent.append(places(*a)) or sent[-1])
+    monkeypatch.setattr(S.repeated_spans, "__defaults__", ("text", 400, 64, 5))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in S.dedup(df, text=False).collect()}
+    assert got == dict(enumerate(expected([t.encode() for t in texts])))
+    total = sum(len(S.buckets(t.encode(), 400, 64)) for t in texts)
+    sizes = Counter((x["name"], x["hot"]) for x in sent[0].collect())
+    assert 5 < max(sizes.values()) < total // 500
+    assert all(hot == (n > 5) for (_, hot), n in sizes.items())
