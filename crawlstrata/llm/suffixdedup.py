@@ -27,12 +27,15 @@ an empty table gives none. Removal is judged on the input, not on what is left.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from crawlstrata.llm.common import map_arrow, stash, table, utf8
 
@@ -392,6 +395,83 @@ def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, gr
     return map_arrow(keyed, apply, docs.schema)
 
 
+def word_codes(text: bytes) -> bytes:
+    """Four bytes for each word (of ASCII whitespace), so that runs of words are strings of a fixed length."""
+    return np.array([xxhash.xxh32_intdigest(w) for w in text.split()], "<u4").tobytes()
+
+
+def word_spans(whole: bool, spans: list[dict], n_bytes: int, length: int) -> list[tuple[int, int]]:
+    """Disjoint runs [a, b) of words that whole windows of codes cover. Windows that begin within a code do not count."""
+    if whole:
+        return [(0, n_bytes // 4)]
+    runs: list[tuple[int, int]] = []
+    for s in sorted(spans, key=lambda s: s["a"]):
+        first, last = -(-s["a"] // 4), (s["b"] - length) // 4
+        if first > last:
+            continue
+        if runs and first <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], last + length // 4))
+        else:
+            runs.append((first, last + length // 4))
+    return runs
+
+
+def cut_words(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """Text without these runs of words; whitespace around them stays."""
+    places = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", text)]
+    left, at = [], 0
+    for a, b in runs:
+        left.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    left.append(text[at:])
+    return b"".join(left)
+
+
+def strip_repeated_words(docs: DataFrame, text_col: str = "text", words: int = 51) -> DataFrame:
+    """The rows of docs, with all columns, without runs of ``words`` or more words that occur more than once; rows of which only whitespace is left are dropped.
+
+    The search of ``repeated_spans`` runs over word codes. A column n_chars, where there is one, is counted anew for changed texts.
+    """
+    length, key, whole_col, spans_col = 4 * words, "__key__", "__whole__", "__spans__"
+    at = docs.columns.index(text_col)
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_codes(x.as_py()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f in found if len(f) >= length], pa.binary())], ["code"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            yield batch.append_column(key, pa.array([hashlib.sha256(word_codes(x.as_py() or b"")).digest() for x in texts], pa.binary()))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-2]
+            texts, stay = columns[at].to_pylist(), []
+            sizes = columns[counted].to_pylist() if counted is not None else []
+            for k, (whole, found) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)):
+                runs = []
+                if whole or found:
+                    body = texts[k].encode()
+                    runs = word_spans(bool(whole), found or [], 4 * len(body.split()), length)
+                if runs:
+                    texts[k] = cut_words(body, runs).decode()
+                    if sizes:
+                        sizes[k] = len(texts[k])
+                stay.append(not runs or texts[k].strip() != "")
+            columns[at] = pa.array(texts, columns[at].type)
+            if counted is not None:
+                columns[counted] = pa.array(sizes, columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2]).filter(pa.array(stay, pa.bool_()))
+
+    codes = stash(map_arrow(docs.select(utf8(text_col).alias("_text")), code, "code binary"))
+    spans = repeated_spans(codes, "code", length, 32).select(F.col("key").alias(key), F.col("whole").alias(whole_col), F.col("spans").alias(spans_col))
+    keyed = map_arrow(docs, sign, StructType([*docs.schema.fields, StructField(key, BinaryType())]))
+    return map_arrow(keyed.join(spans, key, "left").select(*docs.columns, whole_col, spans_col), apply, docs.schema)
+
+
 def op6_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 400-byte strings of all documents, removed."""
     return dedup(table(spark, sf_dir, "documents"), text=False)
