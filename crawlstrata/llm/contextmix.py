@@ -1,31 +1,36 @@
-"""Language-model scoring by logistic mixing of hashed-context bit predictors.
-
-A token is coded byte by byte and bit by bit, closed by a space. For each bit, several contexts (the last one to four
-bytes of the token, and all of it so far) are hashed to slots that hold how often the bit was 0 and 1 in the training
-corpus's tokens. The slots' predictions are combined in the logistic domain by weights that a gate selects (the evidence behind
-the two longest contexts, and the place in the token); an adaptive probability map refines the result. Weights and map
-are trained online, in passes over a bounded sample of training tokens whose own counts are taken out first. A text's
-score is the sum over its tokens, and over its bits, of the log probability.
-
-A known token is also predicted as a whole, by its count; the share of counts that are one says how much is left to
-new tokens, which the bit predictors spell. Texts come in classes (languages, say; one class where none is named): each
-has token counts of its own, and a text's probability is the mixture over the classes, whose weights thereby adapt
-to the text as it is read. The class of a text is used in training alone, never in scoring.
-
-The bit counts come from all distinct training tokens, the token counts from all training documents. A token's
-probability in a class depends on the token alone, so each distinct token is scored once, in Spark, and joined back. The
-most frequent tokens (at most ``frequent``) are looked up from a broadcast of that bound, so the join has no hot key.
-
-Defined results: a null or empty text has one token, its end; repeated rows count each in training and get equal scores;
-without training documents all counts are 0 and tokens are spelled with bits of probability 1/2; an empty table gives none.
+"""Language-model scoring by online logistic mixing of hashed-context bit predictors.
+
+A text is coded in order, word after word. Each word of the vocabulary has a binary code (Huffman's, of the training
+counts), so a word is a short path of bit decisions; ``coded`` holds the words of each text as numbers. Each decision
+is predicted by several contexts, all of which reach across words:
+
+* the class (language, say) that most of the last words are at home in,
+* the last word, hashed,
+* a match: the word that followed the last six words elsewhere in the training corpus.
+
+The first two look up how often the bit was 0 and 1 in that context in all training texts. A match is found through
+anchors, places that the content of the six words chooses (one in ``EVERY``): an anchor that occurs in another training
+text brings the words that follow there, up to its next anchor. The anchors are a Spark table that grows with the corpus.
+The predictions are added in the logistic domain with weights that a gate selects (evidence behind the hashed context,
+length of the match, depth in the code); an adaptive map refines the result. Weights and map learn online from the
+decisions of all training texts; a decision's own count is taken out wherever a training text is learned from or
+scored. The score is the sum of the log probabilities of all decisions.
+
+Words outside the (bounded) vocabulary are coded as the escape, then by what is joined from the table of all counts: the class of
+their count and equally likely members of it, or, for a word that no other text has, the word spelled by a second mixer of the
+same kind, whose contexts are the last two and the last four bytes.
+
+Defined results: a null or empty text has one token, its end; repeated rows count each in training and get equal scores
+if none of them is learned from; texts of any length are coded whole, in stretches of words; without training documents all counts are 0
+and words are spelled with bits of probability 1/2; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,316 +39,576 @@ from pyspark.sql import functions as F
 
 from crawlstrata.llm.common import id_crc32, map_arrow, stash, table, utf8
 
-ORDERS = 5
-SLOT_BITS = 19
-BLOCK = 1 << 12
-PAD = b"\1\1\1\1"
-END = b" "
-MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-INVERSE = np.uint64(pow(int(MIX1), -1, 1 << 64))
-#: Bytes coded at once: bounds the memory of all arrays below.
-CHUNK = 1 << 15
-LEVELS = 6
-MAP_STEPS = 33
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+N1, N2, N3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+#: Numbers of the end of a text and of the escape; words follow, the most frequent first.
+END, RARE = 0, 1
+#: Words handled at once, and words that vote for a class.
+CHUNK, VOTERS = 1 << 12, 16
+#: Words of an anchor, and the share of places that are anchors.
+GRAM, EVERY = 6, 16
+#: Copies of an anchor's row in joins, so that the places of one anchor are dealt over several tasks.
+SALTS = 16
+#: Range of stretched predictions, and steps of the adaptive map over it.
+LIMIT, STEPS = 10, 41
+BLOCK = 1 << 13
+PRIOR, EXACT = 0.1, 14
+N_EXACT = (EXACT + 1) * (EXACT + 2) // 2
+_deep = np.minimum(np.arange(256) // 4, 2)
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def bits_of(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For chunks of words: word number, place in the word, node and value of each bit, and its slot in each order."""
-    at = 0
-    while at < len(words):
-        size, to = 0, at
-        while to < len(words) and (size == 0 or size + len(words[to]) < CHUNK):
-            size += len(words[to]) + 1
-            to += 1
-        part = words[at:to]
-        buffer = np.frombuffer(b"".join([PAD + w + END for w in part]), np.uint8).astype(np.uint64)
-        lengths = np.array([len(w) + 1 for w in part])
-        starts = np.cumsum(lengths + len(PAD)) - lengths
-        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        index = np.repeat(starts, lengths) + place
-        byte = buffer[index]
-        contexts, packed = [], np.zeros(len(index), np.uint64)
-        for k in range(4):
-            packed = packed << np.uint64(8) | buffer[index - 1 - k]
-            contexts.append(packed)
-        # Hash of all bytes before this one in the word: a difference of running sums, brought to a common power.
-        power = np.cumprod(np.full(len(buffer) + 1, MIX1))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((buffer + np.uint64(1)) * power[:-1])))
-        first = np.repeat(starts, lengths)
-        contexts.append((sums[index] - sums[first]) * np.cumprod(np.full(len(buffer) + 1, INVERSE))[first])
-        j = np.arange(8, dtype=np.uint64)
-        node = (np.uint64(1) << j)[None, :] | byte[:, None] >> (np.uint64(8) - j)[None, :]
-        bit = byte[:, None] >> (np.uint64(7) - j)[None, :] & np.uint64(1)
-        slots = np.empty((ORDERS, len(index), 8), np.int64)
-        for k, c in enumerate(contexts):
-            h = (c * MIX1 + np.uint64(k + 1))[:, None] * MIX2 + node * MIX1
-            h ^= h >> np.uint64(29)
-            slots[k] = h * MIX2 >> np.uint64(64 - SLOT_BITS)
-        number = np.repeat(np.arange(at, to), lengths)
-        yield np.repeat(number, 8), np.repeat(np.minimum(place, 1), 8), node.reshape(-1).astype(np.int64), bit.reshape(-1).astype(np.int64), slots.reshape(ORDERS, -1)
-        at = to
-
-
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+def pack(ids: np.ndarray) -> bytes:
+    """Numbers below 1,114,112 in one to four bytes each."""
+    return ids.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-@dataclass
-class ContextMixer:
-    """counts[bit, order, slot]; weights[gate, order]; refinement[node, step]."""
-
-    counts: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.full((2 * LEVELS * LEVELS, ORDERS), 0.3))
-    refinement: np.ndarray = field(default_factory=lambda: np.tile(squash(np.linspace(-8, 8, MAP_STEPS)), (256, 1)))
-
-    def _inputs(self, place: np.ndarray, slots: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions of the orders, and the gate. ``own``: bits whose one occurrence is taken out of the counts."""
-        zero = np.stack([self.counts[0, k][slots[k]] for k in range(ORDERS)]).astype(np.float64)
-        one = np.stack([self.counts[1, k][slots[k]] for k in range(ORDERS)]).astype(np.float64)
-        if own is not None:
-            zero = np.maximum(zero - (own == 0), 0)
-            one = np.maximum(one - (own == 1), 0)
-        seen = zero + one
-        level = np.minimum(np.log2(1 + seen[-2:]) / 2.5, LEVELS - 1).astype(np.int64)
-        return stretch((one + 0.05) / (seen + 0.1)), (place * LEVELS + level[0]) * LEVELS + level[1]
-
-    def _refined(self, node: np.ndarray, dot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        step = (np.clip(dot, -7.999, 7.999) + 8) / 16 * (MAP_STEPS - 1)
-        low = step.astype(np.int64)
-        part = step - low
-        return low, self.refinement[node, low] * (1 - part) + self.refinement[node, low + 1] * part
-
-    def predict(self, place: np.ndarray, node: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Probability that each bit is 1."""
-        x, gate = self._inputs(place, slots)
-        dot = (x * self.weights[gate].T).sum(axis=0)
-        return np.clip((squash(dot) + self._refined(node, dot)[1]) / 2, 1e-9, 1 - 1e-9)
-
-    def learn(self, words: list[bytes], weight: np.ndarray, passes: int = 3, batch: int = 512) -> None:
-        """Online updates of weights and refinement, batch after batch."""
-        order = np.random.default_rng(7).permutation(len(words))
-        for round_ in range(passes):
-            rate = 0.5 / (1 + round_)
-            for a in range(0, len(order), batch):
-                some = [words[k] for k in order[a : a + batch]]
-                w_of = weight[order[a : a + batch]]
-                for number, place, node, bit, slots in bits_of(some):
-                    w = w_of[number]
-                    x, gate = self._inputs(place, slots, bit)
-                    dot = (x * self.weights[gate].T).sum(axis=0)
-                    error = (bit - squash(dot)) * w
-                    mass = np.bincount(gate, w, len(self.weights)) + 20.0
-                    for k in range(ORDERS):
-                        self.weights[:, k] += rate * np.bincount(gate, error * x[k], len(self.weights)) / mass * 2
-                    low, _ = self._refined(node, dot)
-                    cell = node * MAP_STEPS + low
-                    n = np.bincount(cell, w, 256 * MAP_STEPS)
-                    ones = np.bincount(cell, w * bit, 256 * MAP_STEPS)
-                    flat = self.refinement.reshape(-1)
-                    flat += (ones - n * flat) / (n + 60.0)
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its closing space."""
-        out = np.zeros(len(words))
-        for number, place, node, bit, slots in bits_of(words):
-            p = self.predict(place, node, slots)
-            out += np.bincount(number, np.log10(np.where(bit == 1, p, 1 - p)), len(words))
+    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+
+
+class Code:
+    """Huffman's code of symbols 0 to n - 1: each is a path of (node, bit) decisions."""
+
+    def __init__(self, counts: list[int]) -> None:
+        n = len(counts)
+        heap = [(c, k) for k, c in enumerate(counts)]
+        heapq.heapify(heap)
+        parent, side = np.full(2 * n - 1, -1), np.zeros(2 * n - 1, np.uint8)
+        for node in range(n, 2 * n - 1):
+            for bit in (0, 1):
+                c, k = heapq.heappop(heap)
+                parent[k], side[k] = node, bit
+                total = c if bit == 0 else total + c
+            heapq.heappush(heap, (total, node))
+        self.n_nodes = n - 1
+        climb, paths = np.arange(n), []
+        while (parent[climb] >= 0).any():
+            paths.append((np.where(parent[climb] >= 0, parent[climb] - n, -1), side[climb]))
+            climb = np.where(parent[climb] >= 0, parent[climb], climb)
+        nodes = np.stack([p for p, _ in paths[::-1]], axis=1)
+        bits = np.stack([b for _, b in paths[::-1]], axis=1)
+        real = nodes >= 0
+        self.length = real.sum(axis=1)
+        self.offset = np.cumsum(self.length) - self.length
+        bits, depth = bits[real].astype(np.int64), np.broadcast_to(np.arange(real.shape[1]), real.shape)[real] - np.repeat(real.shape[1] - self.length, self.length)
+        #: For each decision of each symbol: node << 8 | depth << 1 | bit. And each symbol's bits, from the highest of 64 on.
+        self.steps = nodes[real] << 8 | depth << 1 | bits
+        self.left = np.zeros(n, np.uint64)
+        np.bitwise_or.at(self.left, np.repeat(np.arange(n), self.length), bits.astype(np.uint64) << (63 - depth).astype(np.uint64))
+
+
+def evidence(counts: np.ndarray) -> np.ndarray:
+    """One byte for each (zeros, ones): up to ``EXACT`` observations as they are, more as a rounded stretched prediction."""
+    zero, one = counts[:, 0], counts[:, 1]
+    n = zero + one
+    some = np.log((one + PRIOR) / (zero + PRIOR))
+    many = N_EXACT + np.clip(np.rint((some + LIMIT) / (2 * LIMIT) * (255 - N_EXACT)), 0, 255 - N_EXACT)
+    return np.where(n <= EXACT, n * (n + 1) // 2 + one, many).astype(np.uint8)
+
+
+def _meanings() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of evidence with a 0 or a 1 taken out, or nothing: stretched prediction, level of evidence."""
+    x = np.tile(np.linspace(-LIMIT, LIMIT, 256 - N_EXACT), (3, 1))
+    pairs = np.array([(n - k, k) for n in range(EXACT + 1) for k in range(n + 1)])
+    less = [np.maximum(pairs - own, 0) for own in ([1, 0], [0, 1], [0, 0])]
+    x = np.hstack([np.log((np.array([q[:, 1] for q in less]) + PRIOR) / (np.array([q[:, 0] for q in less]) + PRIOR)), x])
+    n = np.hstack([np.array([q.sum(axis=1) for q in less]), np.full((3, 256 - N_EXACT), EXACT + 1)])
+    return x, np.searchsorted([0, 3, EXACT], n)
+
+
+STRETCHED, LEVEL = _meanings()
+
+
+class Mixer:
+    """Two counted contexts and a match, mixed by gated weights[input, gate] and refined by map[row, step].
+
+    ``seen`` has a byte of evidence for each slot of the contexts. What a decision brings to learning, and what its
+    probability depends on, is its cell: both bytes of evidence, the row (what else the gate looks at), the bit that the
+    match expects, and the bit itself. So all decisions of all training texts are counted by cell, in Spark, and weights
+    and map learn online from the cells; no text is left out.
+    """
+
+    def __init__(self, n_rows: int, match: bool = True) -> None:
+        self.n_rows, self.n_expected = n_rows, 3 if match else 1
+        self.n_cells = (n_rows * self.n_expected * 2) << 16
+        self.seen = np.zeros(0, np.uint8)
+        self.weights = np.full((4, 4 * n_rows), 0.4)
+        self.weights[3] = 0
+        self.map = np.tile(squash(np.linspace(-LIMIT, LIMIT, STEPS)), (n_rows, 1))
+        self.tables: np.ndarray | None = None
+
+    def cells(self, slots: list[np.ndarray], bit: np.ndarray, row: np.ndarray, expected: np.ndarray | int) -> np.ndarray:
+        cell = self.seen[slots[0]].astype(np.int64) << 8 | self.seen[slots[1]]
+        cell *= self.n_rows
+        cell += row
+        cell *= self.n_expected
+        cell += expected + self.n_expected // 2
+        cell <<= 1
+        cell |= bit
+        return cell
+
+    def _mixed(self, cell: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, gate, row, bit and stretched mixture of cells; ``own``: the decision's own bit is taken out of the evidence."""
+        bit, rest = cell & 1, cell >> 1
+        expected, rest = rest % self.n_expected - self.n_expected // 2, rest // self.n_expected
+        row, rest = rest % self.n_rows, rest // self.n_rows
+        taken = bit if own else np.full(len(cell), 2)
+        x = np.stack([STRETCHED[taken, rest >> 8], STRETCHED[taken, rest & 255], 4.0 * expected, np.ones(len(cell))])
+        gate = LEVEL[taken, rest & 255] * self.n_rows + row
+        return x, gate, row, bit, (x * self.weights[:, gate]).sum(axis=0)
+
+    def learn(self, counts: np.ndarray, passes: int = 30, batch: int = 1 << 13) -> None:
+        """Online steps over the cells that occur, batch by batch in a mixed order; then the map, from where the mixtures lie."""
+        occur = np.flatnonzero(counts)
+        if not len(occur):
+            passes = 0
+        order = np.random.default_rng(5)
+        squares = np.full(self.weights.shape, 1e-6)
+        for k in range(passes):
+            for some in np.array_split(order.permutation(occur), max(1, len(occur) // batch)):
+                x, gate, _, bit, dot = self._mixed(some, True)
+                error = (bit - squash(dot)) * counts[some] / max(1.0, counts.sum() / len(occur))
+                for i, g in enumerate(np.stack([np.bincount(gate, error * x[i], self.weights.shape[1]) for i in range(4)])):
+                    squares[i] += g * g
+                    self.weights[i] += 0.2 * g / np.sqrt(squares[i])
+        _, _, row, bit, dot = self._mixed(occur, True)
+        step = row * STEPS + np.rint((np.clip(dot, -LIMIT, LIMIT) + LIMIT) / (2 * LIMIT) * (STEPS - 1)).astype(np.int64)
+        n = np.bincount(step, counts[occur], self.map.size).reshape(self.map.shape)
+        ones = np.bincount(step, counts[occur] * bit, self.map.size).reshape(self.map.shape)
+        self.map += (ones - n * self.map) / (n + 60)
+        self.tables = np.stack([self._table(own) for own in (False, True)])
+
+    def _table(self, own: bool) -> np.ndarray:
+        """log10 of the probability of each cell's bit: the mean of the mixture and its refinement."""
+        out = np.empty(self.n_cells, np.float32)
+        for a in range(0, self.n_cells, 1 << 18):
+            _, _, row, bit, dot = self._mixed(np.arange(a, min(a + (1 << 18), self.n_cells)), own)
+            step = (np.clip(dot, -LIMIT, LIMIT - 1e-3) + LIMIT) / (2 * LIMIT) * (STEPS - 1)
+            low = step.astype(np.int64)
+            one = (squash(dot) + self.map[row, low] * (low + 1 - step) + self.map[row, low + 1] * (step - low)) / 2
+            out[a : a + len(one)] = np.log10(np.clip(np.where(bit == 1, one, 1 - one), 1e-7, 1))
         return out
 
 
-def vocabulary(docs: DataFrame, kind: Column, classes: int, text_col: str = "text", flush: int = 400_000) -> DataFrame:
-    """Columns: word (binary), c0, c1, ... (counts in training rows by class), a (count in all rows), over all documents.
+class Tally:
+    """Counts of numbers, added up in large batches."""
 
-    ``kind`` is the class of a training row, and ``classes`` for others.
-    """
+    def __init__(self, size: int, held: int = 1 << 22) -> None:
+        self.counts, self.size, self.held = np.zeros(size, np.int32), 0, held
+        self.parts: list[np.ndarray] = []
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.parts.append(numbers)
+        self.size += len(numbers)
+        if self.size > self.held:
+            self.total()
+
+    def total(self) -> np.ndarray:
+        if self.parts:
+            self.counts += np.bincount(np.concatenate(self.parts), minlength=len(self.counts)).astype(np.int32)
+            self.parts, self.size = [], 0
+        return self.counts
+
+
+class WordMixer:
+    """Bit predictors of words in sequence."""
+
+    def __init__(self, code: Code, home: np.ndarray, n_classes: int, slot_bits: int) -> None:
+        self.code, self.home, self.n_classes, self.slot_bits = code, home, n_classes, slot_bits
+        self.near = (n_classes + 1) * code.n_nodes
+        self.n_slots = self.near + (1 << slot_bits)
+        self.mixer = Mixer(4 * 3)
+
+    def matches(self, ids: np.ndarray, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """The predicted word at each place, or -1. found: (place, words that follow it elsewhere)."""
+        out = np.full(len(ids), -1)
+        for at, words in found:
+            here = ids[at + 1 : at + 1 + len(words)]
+            differ = np.flatnonzero(here != words[: len(here)])
+            n = differ[0] + 1 if len(differ) else len(here)
+            out[at + 1 : at + 1 + n] = words[:n]
+        return out
+
+    def stretches(self, texts: list[np.ndarray], predicted: list[np.ndarray]) -> Iterator[tuple]:
+        """For stretches of words of all texts in order: their places among all, and the decisions (see ``_decide``)."""
+        ids, guess = np.concatenate(texts), np.concatenate(predicted)
+        lengths = np.array([len(t) for t in texts])
+        at = np.arange(len(ids))
+        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        last = np.where(at > first, ids[at - 1], 0).astype(np.uint32) * N1 + N3
+        low, most, kind = np.maximum(at - VOTERS, first), np.zeros(len(ids), np.int64), np.full(len(ids), self.n_classes)
+        home = self.home[ids]
+        for c in range(self.n_classes):
+            sums = np.concatenate(([0], np.cumsum(home == c)))
+            votes = sums[at] - sums[low]
+            kind[votes > most] = c
+            most = np.maximum(most, votes)
+        kind *= self.code.n_nodes
+        missed = np.concatenate(([-1], np.maximum.accumulate(np.where(guess == ids, -1, at))[:-1]))
+        run = at - 1 - np.maximum(missed, first - 1)
+        match = np.where(guess < 0, 0, 1 + (run >= 4) + (run >= 16))
+        for a in range(0, len(ids), CHUNK):
+            s = slice(a, a + CHUNK)
+            yield s, self._decide(ids[s], last[s], kind[s], guess[s], match[s])
+
+    def _decide(self, ids, last, kind, guess, match):
+        """Decisions in each word, and over decisions: bit, slots of both contexts, row (match and depth), bit that the match expects (1, -1 or 0)."""
+        code = self.code
+        n = code.length[ids]
+        flat = np.arange(n.sum()) + np.repeat(code.offset[ids] - (np.cumsum(n) - n), n)
+        step = code.steps[flat]
+        node, depth, bit = step >> 8, step >> 1 & 127, step & 1
+        h = np.repeat(last, n) + node.astype(np.uint32) * N2
+        h *= N3
+        h ^= h >> np.uint32(15)
+        h *= N1
+        h >>= np.uint32(32 - self.slot_bits)
+        slots = [np.repeat(kind, n) + node, h.astype(np.int64) + self.near]
+        row = _deep[depth]
+        if not match.any():
+            return n, bit, slots, row, 0
+        # Of a predicted word, the bits expected are those of its code, up to where it leaves the path.
+        common = np.where(guess < 0, -1, 64 - np.frexp((code.left[ids] ^ code.left[np.maximum(guess, 0)]).astype(np.float64))[1])
+        common = np.repeat(common, n)
+        return n, bit, slots, row + 3 * np.repeat(match, n), ((depth < common) * 1 - (depth == common)) * (2 * bit - 1)
+
+    def tally(self, slots_seen: Tally, texts: list[np.ndarray], predicted: list[np.ndarray]) -> None:
+        for _, (_, bit, slots, _, _) in self.stretches(texts, [np.full(len(t), -1) for t in texts]):
+            for s in slots:
+                slots_seen.add(2 * s + bit)
+
+    def observe(self, cells_seen: Tally, texts: list[np.ndarray], predicted: list[np.ndarray]) -> None:
+        for _, (_, bit, slots, row, expected) in self.stretches(texts, predicted):
+            cells_seen.add(self.mixer.cells(slots, bit, row, expected))
+
+    def score(self, texts: list[np.ndarray], predicted: list[np.ndarray], own: bool) -> np.ndarray:
+        """log10 probability of each text."""
+        lengths = np.array([len(t) for t in texts])
+        logs, sums = self.mixer.tables[int(own)], []
+        for _, (n, bit, slots, row, expected) in self.stretches(texts, predicted):
+            sums.append(np.add.reduceat(logs[self.mixer.cells(slots, bit, row, expected)], np.cumsum(n) - n, dtype=np.float64))
+        sums = np.concatenate(([0.0], np.cumsum(np.concatenate(sums))))
+        ends = np.cumsum(lengths)
+        return sums[ends] - sums[ends - lengths]
+
+
+class Speller:
+    """Bit predictors of a new word's bytes and of the space that closes it, from the last two and the last four bytes."""
+
+    SLOT_BITS = 19
+
+    def __init__(self) -> None:
+        self.n_slots = 2 << self.SLOT_BITS
+        self.mixer = Mixer(8 * 2, match=False)
+
+    def stretches(self, words: list[bytes]) -> Iterator[tuple]:
+        """For words in parts: number of the word, bit, slots, row (place in the byte and in the word)."""
+        at = 0
+        while at < len(words):
+            size, to = 0, at
+            while to < len(words) and (size == 0 or size + len(words[to]) < 1 << 13):
+                size += len(words[to]) + 1
+                to += 1
+            part = words[at:to]
+            buffer = np.frombuffer(b"".join([b"\1\1\1\1" + w + b" " for w in part]), np.uint8).astype(np.uint32)
+            lengths = np.array([len(w) + 1 for w in part])
+            place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            index = np.repeat(np.cumsum(lengths + 4) - lengths, lengths) + place
+            byte, packed, slots = buffer[index], np.zeros(len(index), np.uint32), []
+            j = np.arange(8, dtype=np.uint32)
+            node = (np.uint32(1) << j)[None, :] | byte[:, None] >> (np.uint32(8) - j)[None, :]
+            bit = (byte[:, None] >> (np.uint32(7) - j)[None, :] & np.uint32(1)).astype(np.int64).reshape(-1)
+            for k in range(4):
+                packed = packed << np.uint32(8) | buffer[index - 1 - k]
+                if k % 2:
+                    h = ((packed + np.uint32(k)) * N1)[:, None] + node * N2
+                    h ^= h >> np.uint32(15)
+                    h *= N3
+                    h ^= h >> np.uint32(13)
+                    slots.append((h * N1 >> np.uint32(32 - self.SLOT_BITS)).astype(np.int64).reshape(-1) + (k // 2 << self.SLOT_BITS))
+            row = (np.arange(8)[None, :] + 8 * np.minimum(place, 1)[:, None]).reshape(-1)
+            yield np.repeat(np.arange(at, to), lengths * 8), bit, slots, row
+            at = to
+
+    def tally(self, slots_seen: Tally, words: list[bytes]) -> None:
+        for _, bit, slots, _ in self.stretches(words):
+            for s in slots:
+                slots_seen.add(2 * s + bit)
+
+    def observe(self, cells_seen: Tally, words: list[bytes]) -> None:
+        for _, bit, slots, row in self.stretches(words):
+            cells_seen.add(self.mixer.cells(slots, bit, row, 0))
+
+    def score(self, words: list[bytes], own: bool) -> np.ndarray:
+        out, logs = np.zeros(len(words)), self.mixer.tables[int(own)]
+        for number, bit, slots, row in self.stretches(words):
+            out += np.bincount(number, logs[self.mixer.cells(slots, bit, row, 0)], len(words))
+        return out
+
+
+def vocabulary(docs: DataFrame, kind: Column, classes: int, text_col: str, flush: int = 400_000) -> DataFrame:
+    """Columns: word (binary), c0, c1, ... (counts in training rows by class), c (in all): every word of the rows with a class."""
     names = [f"c{k}" for k in range(classes)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [Counter() for _ in range(classes + 1)]
+        seen = [Counter() for _ in range(classes)]
 
-        def out() -> pa.RecordBatch:
-            words = list(set().union(*seen))
-            columns = [np.fromiter((c[w] for w in words), np.int64, len(words)) for c in seen]
-            for c in seen:
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, c in enumerate(seen):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(np.full(len(c), k), pa.int32()), pa.array(list(c.values()), pa.int64())], ["word", "kind", "n"])
                 c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *map(pa.array, columns[:-1]), pa.array(sum(columns))], ["word", *names, "a"])
 
         for batch in batches:
             for text, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 seen[k].update(tokens(text.as_py()))
                 if sum(map(len, seen)) > flush:
-                    yield out()
-        yield out()
-
-    schema = "word binary, " + ", ".join(f"{c} long" for c in [*names, "a"])
-    parts = map_arrow(docs.select(utf8(text_col).alias("_text"), kind.cast("int").alias("_kind")), count, schema)
-    return stash(parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in [*names, "a"]]).withColumn("c", sum((F.col(c) for c in names), F.lit(0))))
+                    yield from out()
+        yield from out()
 
+    rows = docs.select(utf8(text_col).alias("_text"), kind.cast("int").alias("_kind")).where("_kind is not null")
+    parts = map_arrow(rows, count, "word binary, kind int, n long")
+    return stash(parts.groupBy("word").agg(F.sum("n").alias("c"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(names)]))
 
-def bit_counts(vocab: DataFrame) -> np.ndarray:
-    """counts[bit, order, slot] over all distinct training tokens and the end, summed in Spark block by block."""
-    n_blocks = (1 << SLOT_BITS) // BLOCK
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, ORDERS, 1 << SLOT_BITS), np.float32)
-        for batch in batches:
-            for _, _, _, bit, slots in bits_of(batch.column(0).to_pylist()):
-                for k in range(ORDERS):
-                    for b in (0, 1):
-                        counts[b, k] += np.bincount(slots[k][bit == b], minlength=1 << SLOT_BITS)
-        if counts.any():
-            for b in (0, 1):
-                for k in range(ORDERS):
-                    for m in range(n_blocks):
-                        block = counts[b, k, m * BLOCK : (m + 1) * BLOCK]
-                        yield pa.RecordBatch.from_arrays([pa.array([(b * ORDERS + k) * n_blocks + m], pa.int64()), pa.array([block.tobytes()], pa.binary())], ["block", "n"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BLOCK)
-        for batch in batches:
-            for x in batch.column(1):
-                total += np.frombuffer(x.as_py(), np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "n"])
-
-    parts = map_arrow(vocab.where("c > 0").select("word"), tally, "block long, n binary")
-    counts = np.zeros(2 * ORDERS * n_blocks * BLOCK, np.float32)
-    for row in parts.groupBy("block").applyInArrow(add, "block long, n binary").toLocalIterator():
-        counts[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(bytes(row["n"]), np.float32)
-    counts = counts.reshape(2, ORDERS, 1 << SLOT_BITS)
-    for _, _, _, bit, slots in bits_of([b""]):
-        for k in range(ORDERS):
-            np.add.at(counts, (bit, k, slots[k]), 1)
-    return counts
-
-
-def train(vocab: DataFrame, distinct: int, sample: int = 30_000) -> ContextMixer:
-    """Bit counts of all distinct training tokens; weights from at most 2 * ``sample`` of them, drawn by a hash."""
-    model = ContextMixer(bit_counts(vocab))
-    u = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30)
-    rows = vocab.where((F.col("c") > 0) & (u < sample / max(1, distinct))).orderBy(F.xxhash64("word"), "word").limit(2 * sample).select("word").toArrow()
-    words = [bytes(w) for w in rows["word"].to_pylist()]
-    if words:
-        model.learn(words, np.ones(len(words)))
-    return model
-
-
-@dataclass
-class Classes:
-    """Per class: share of training texts, training tokens, share left to new tokens, and count of the end."""
-
-    share: np.ndarray
-    tokens: np.ndarray
-    new: np.ndarray
-    ends: np.ndarray
-
-    def log_probability(self, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 P of tokens (rows) in each class (columns), from their counts by class and their spelled log10 P."""
-        with np.errstate(divide="ignore"):
-            whole = np.log((1 - self.new) * counts / self.tokens)
-        return np.logaddexp(whole, np.log(self.new) + spelled[:, None] * math.log(10)) / math.log(10)
-
-
-def _classes(docs: DataFrame, training: Column, class_col: str | None, most: int) -> tuple[Column, list[int]]:
-    """The class of a training row (the ``most`` - 1 most frequent values, and one for the rest), and texts of each."""
+def _classes(docs: DataFrame, training: Column, class_col: str | None, most: int) -> tuple[Column, int]:
+    """The class of a training row (null for others), and the number of classes: the most frequent values and one for the rest."""
     if class_col is None:
-        return F.lit(0), [docs.where(training).count()]
-    top = docs.where(training).groupBy(class_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), class_col).limit(most).collect()
-    whole = docs.where(training).count()
-    named = [r for r in top if r[class_col] is not None][: most - 1]
-    kind = F.lit(len(named))
-    for k, r in enumerate(named):
+        return F.when(training, 0), 1
+    top = docs.where(training & F.col(class_col).isNotNull()).groupBy(class_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), class_col).limit(most - 1).collect()
+    kind = F.lit(len(top))
+    for k, r in enumerate(top):
         kind = F.when(F.col(class_col) == r[class_col], k).otherwise(kind)
-    counts = [r["n"] for r in named]
-    rest = whole - sum(counts)
-    return (kind, [*counts, rest]) if rest or not counts else (kind, counts)
+    return F.when(training, kind), len(top) + 1
 
 
 def _threshold(vocab: DataFrame, most: int) -> float:
-    """A count that at most ``most`` tokens reach. Counts are tallied on a logarithmic scale, so the tally is small."""
-    scale = vocab.groupBy(F.floor(F.log2("a") * 16).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    """A count that at most ``most`` words reach. Counts are tallied on a logarithmic scale, so the tally is small."""
+    scale = vocab.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
     above, least = 0, math.inf
     for row in scale:
         above += row["n"]
         if above > most:
             break
         least = 2 ** (row["step"] / 16)
-    return least
+    return max(2.0, least) - 1e-6
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, most_classes: int = 8, frequent: int = 1 << 17) -> DataFrame:
-    """Columns: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    spark = docs.sparkSession
-    kind, texts = _classes(docs, training, class_col, most_classes)
-    n_classes, ends = len(texts), sum(texts)
-    names, points = [f"c{k}" for k in range(n_classes)], [f"p{k}" for k in range(n_classes)]
-    vocab = vocabulary(docs, F.when(training, kind).otherwise(n_classes), n_classes, text_col)
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    facts = vocab.agg(zero("c"), F.count(F.when(F.col("c") > 0, 1)), *[zero(c) for c in names], *[F.count(F.when(F.col(c) == 1, 1)) for c in names]).first()
-    n_all, distinct = facts[0] + ends, facts[1]
-    space = math.log10(n_all + distinct + (ends > 0) + 1)
-    by_class = np.array(facts[2 : 2 + n_classes], float) + np.array(texts)
-    once = np.array(facts[2 + n_classes :], float)
-    classes = Classes((np.array(texts) + 0.5) / (ends + 0.5 * n_classes), np.maximum(by_class, 1.0), np.clip(once / np.maximum(by_class, 1.0), 1e-4, 0.9), np.array(texts, float))
-    model = spark.sparkContext.broadcast(train(vocab, distinct))
+def _blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(counts), BLOCK):
+        if counts[k : k + BLOCK].any():
+            yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int64()), pa.array([counts[k : k + BLOCK].astype(np.int64).tobytes()], pa.binary())], ["block", "n"])
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sum_arrays(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the counts that tasks send in blocks, added up in Spark."""
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for batch in batches for x in batch.column(1))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "n"])
+
+    out = np.zeros(size, np.int64)
+    for row in parts.groupBy("block").applyInArrow(add, "block long, n binary").toLocalIterator():
+        piece = np.frombuffer(bytes(row["n"]), np.int64)
+        out[row["block"] * BLOCK : row["block"] * BLOCK + len(piece)] = piece
+    return out
+
+
+def _train(model: WordMixer | Speller, rows: DataFrame, texts: Callable[[pa.RecordBatch], tuple]) -> None:
+    """Counts of all rows by context, then of all their decisions by cell, then weights and map."""
+    sc = rows.sparkSession.sparkContext
+
+    def counted(size: int, add: str) -> np.ndarray:
+        shared = sc.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = Tally(size)
+            for batch in batches:
+                if batch.num_rows:
+                    getattr(shared.value, add)(counts, *texts(batch))
+            yield from _blocks(counts.total())
+
+        return _sum_arrays(map_arrow(rows, run, "block long, n binary"), size)
+
+    model.mixer.seen = evidence(counted(2 * model.n_slots, "tally").reshape(-1, 2))
+    model.mixer.learn(counted(model.mixer.n_cells, "observe"))
+
+
+def anchors(ids: np.ndarray) -> np.ndarray:
+    """Places at which an anchor ends, and their names."""
+    n = len(ids) - GRAM + 1
+    if n < 1:
+        return np.zeros((2, 0), np.int64)
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h = (h + ids[k : k + n].astype(np.uint64) + np.uint64(1)) * M1
+        h ^= h >> np.uint64(29)
+    h *= M2
+    at = np.flatnonzero(h >> np.uint64(40) & np.uint64(EVERY - 1) == 0)
+    return np.stack((at + GRAM - 1, h[at].view(np.int64)))
+
+
+def _salted(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """Join whose hot keys are dealt over ``SALTS`` tasks."""
+    salt = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+    return many.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(few.withColumn("_salt", salt), [*on, "_salt"]).drop("_salt")
+
+
+def _matches(coded: DataFrame) -> DataFrame:
+    """Columns row, found (array of (place, words)): what follows a text's anchors in another training text."""
+    places = coded.select("row", "train", F.xxhash64("ids").alias("text"), F.posexplode("anchors").alias("k", "anchor"))
+    # Texts are ordered by a hash, so that the choice does not depend on how Spark deals the rows.
+    row = F.when(F.col("train"), F.struct("text", "row"))
+    ends = places.groupBy("anchor").agg(F.min(row)["row"].alias("r1"), F.max(row)["row"].alias("r2"), (F.min("row") < F.max("row")).alias("several"))
+    used = _salted(places, stash(ends.where("several and r1 is not null").drop("several")), ["anchor"])
+    used = used.withColumn("source", F.when(F.col("r1") != F.col("row"), F.col("r1")).when(F.col("r2") != F.col("row"), F.col("r2")))
+    used = stash(used.where("source is not null").select("row", "k", "anchor", "source"))
+    wanted = used.select("anchor", "source").distinct()
+    at = wanted.join(places.select("anchor", F.col("row").alias("source"), "k"), ["anchor", "source"]).groupBy("anchor", "source").agg(F.min("k").alias("k"))
+    asked = at.groupBy("source").agg(F.collect_list(F.struct("k", "anchor")).alias("asked"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.column_stack([batch.column(2 + k).to_numpy() for k in range(n_classes)]).astype(float)
-            p = classes.log_probability(counts, model.value.score(batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sum(batch.column(2 + k).to_numpy() for k in range(n_classes))), *(pa.array(p[:, k]) for k in range(n_classes))], ["word", "a", "c", *points])
-
-    doubles = ", ".join(f"{p} double" for p in points)
-    rated = stash(map_arrow(vocab.select("word", "a", *names), rate, f"word binary, a long, c long, {doubles}"))
-    common = rated.where(F.col("a") >= F.lit(_threshold(vocab, frequent) - 1e-6)).select("word", "c", *points).toArrow()
-    of_common = common["c"].to_numpy()
-    table_ = np.column_stack([of_common > 0, np.log10(of_common + 1) - space, *(common[p].to_numpy() for p in points)]) if len(of_common) else np.zeros((0, 2 + n_classes))
-    lookup = spark.sparkContext.broadcast(({w: k for k, w in enumerate(common["word"].to_pylist())}, table_))
-    of_end = classes.log_probability(classes.ends[None, :], model.value.score([b""]))[0]
-    end = np.concatenate(([float(ends > 0), math.log10(ends + 1) - space], of_end))
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, facts = lookup.value
+            out = []
+            for source, data, which in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = unpack(data)
+                ends = [*anchors(ids)[0].tolist(), len(ids)]
+                for w in which:
+                    a, b = ends[w["k"]] + 1, ends[w["k"] + 1] + 1
+                    out.append((w["anchor"], source, pack(ids[a:b])))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "source", "words"])
+
+    texts = coded.select(F.col("row").alias("source"), "ids").join(asked, "source").select("source", "ids", "asked")
+    words = stash(map_arrow(texts, follow, "anchor long, source long, words binary"))
+    return _salted(used, words, ["anchor", "source"]).groupBy("row").agg(F.collect_list(F.struct("k", "words")).alias("found"))
+
+
+def _texts(mixer: WordMixer) -> Callable[[pa.RecordBatch], tuple]:
+    """Words and predicted words of the texts of a batch (columns ids, found)."""
+
+    def read(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        ids = [unpack(x) for x in batch.column("ids").to_pylist()]
+        guesses = []
+        for words, found in zip(ids, batch.column("found").to_pylist(), strict=True):
+            places = anchors(words)[0] if found else ()
+            guesses.append(mixer.matches(words, [(int(places[f["k"]]), unpack(f["words"])) for f in sorted(found or (), key=lambda f: f["k"])]))
+        return ids, guesses
+
+    return read
+
+
+def _bucket(count: Column) -> Column:
+    """The class of a count: four to each doubling; -1 for none."""
+    return F.when(count > 0, F.floor(F.log2(count.cast("double")) * 4 + 1e-9)).otherwise(F.lit(-1)).cast("int")
+
+
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, most_classes: int = 8, frequent: int = 1 << 16, slot_bits: int = 20) -> DataFrame:
+    """Columns: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    The vocabulary (at most ``frequent`` words), the evidence of the contexts (one byte for each of 1 << ``slot_bits`` slots, and of each class and node) and the weights are broadcast; all else is joined.
+    """
+    sc = docs.sparkSession.sparkContext
+    kind, n_classes = _classes(docs, training, class_col, most_classes)
+    vocab = vocabulary(docs, kind, n_classes, text_col)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    facts = vocab.agg(zero("c").alias("n"), F.count("*").alias("v"), *[zero(f"c{k}").alias(f"c{k}") for k in range(n_classes)]).first()
+    ends = docs.where(training).count()
+    n_all = facts["n"] + ends
+    space = math.log10(n_all + facts["v"] + (ends > 0) + 1)
+
+    least = _threshold(vocab, frequent)
+    top = vocab.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
+    words, counts = top["word"].to_pylist(), top["c"].to_numpy()
+    place = {w: k + 2 for k, w in enumerate(words)}
+    code = Code([ends + 1, int(facts["n"] - counts.sum()) + 1, *counts.tolist()])
+    share = np.column_stack([top[f"c{k}"].to_numpy() / max(1, facts[f"c{k}"]) for k in range(n_classes)]) if len(words) else np.zeros((0, n_classes))
+    home = np.concatenate(([n_classes] * 2, np.where(2 * share.max(axis=1) > share.sum(axis=1), share.argmax(axis=1), n_classes) if len(words) else [])).astype(np.int64)
+    mixer = WordMixer(code, home, n_classes, slot_bits)
+    lookup = sc.broadcast((place, np.concatenate(([math.log10(ends + 1), 0.0], np.log10(counts + 1.0)))))
+    end_known = int(ends > 0)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, logs = lookup.value
         get = place.get
         for batch in batches:
-            sums, sizes, rares = np.empty((batch.num_rows, 2 + n_classes)), [], []
-            for k, x in enumerate(batch.column(2)):
+            out = []
+            for x in batch.column(3):
                 text = x.as_py()
-                counts = Counter(tokens(text))
-                at = [(get(w, -1), tf) for w, tf in counts.items()]
-                found = np.array([p for p in at if p[0] >= 0], np.int64).reshape(-1, 2)
-                sums[k] = end + found[:, 1] @ facts[found[:, 0]]
-                rares.append([{"word": w, "tf": tf} for w, tf in counts.items() if w not in place] if len(found) < len(at) else [])
-                sizes.append((counts.total() + 1, len(text)))
-            n = np.array(sizes, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n[:, 0]), pa.array(n[:, 1]), *(pa.array(sums[:, k]) for k in range(2 + n_classes)), pa.array(rares, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))],
-                ["id", "row", "n", "bytes", "known", "base", *points, "rare"],
-            )
-
-    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, _row long, n_tokens long, n_bytes long, known double, base double, {doubles}, rare array<struct<word:binary,tf:long>>"
-    local = stash(map_arrow(docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), utf8(text_col).alias("_text")), add_up, schema))
-    rare = local.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.tf").join(rated.drop("a"), "word")
+                found = tokens(text)
+                ids = np.fromiter((get(w, RARE) for w in found), np.int64, len(found))
+                rare = Counter(found[k] for k in np.flatnonzero(ids == RARE).tolist())
+                ids = np.append(ids, END)
+                n_rare = rare.total()
+                base = logs[ids].sum() - space * (len(ids) - n_rare)
+                out.append((len(ids), len(text), len(found) - n_rare + end_known, base, pack(ids), anchors(ids)[1], [{"word": w, "tf": n} for w, n in rare.items()]))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["_id", "row", "train", "n_tokens", "n_bytes", "known", "base", "ids", "anchors", "rare"])
+
+    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, row long, train boolean, n_tokens long, n_bytes long, known long, base double, ids binary, anchors array<long>, rare array<struct<word:binary,tf:long>>"
+    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(training, F.lit(False)).alias("train"), utf8(text_col).alias("_text"))
+    coded = stash(map_arrow(rows, encode, schema))
+    full = stash(coded.select("row", "train", "ids").join(_matches(coded), "row", "left"))
+    _train(mixer, full.where("train").select("ids", "found"), _texts(mixer))
+    speller = Speller()
+    _train(speller, vocab.where("c = 1").select("word"), lambda batch: (batch.column(0).to_pylist(),))
+    model, spell = sc.broadcast(mixer), sc.broadcast(speller)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _texts(model.value)
+        for batch in batches:
+            ids, guesses = read(batch)
+            train, sums = np.array(batch.column("train").to_pylist(), bool), np.zeros(len(ids))
+            for own in (False, True):
+                which = np.flatnonzero(train == own)
+                if len(which):
+                    sums[which] = model.value.score([ids[k] for k in which], [guesses[k] for k in which], own)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sums)], ["row", "score"])
+
+    rated = map_arrow(full.select("row", "train", "ids", "found"), rate, "row long, score double")
+
+    # Words outside the vocabulary: of their class of counts, one of equally likely members; or new, and spelled.
+    members = {r["b"]: r["n"] for r in vocab.where(F.col("c") < least).groupBy(_bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n")).collect()}
+    mass = {r["b"]: r["n"] for r in vocab.where(F.col("c") < least).groupBy(_bucket(F.col("c") - 1).alias("b")).agg(F.sum("c").alias("n")).collect()}
+    whole = sum(mass.values()) + 0.5 * (len(members) + 1)
+    of_bucket = {b: math.log10((mass.get(b, 0) + 0.5) / whole / n) for b, n in members.items()}
+    new = math.log10((mass.get(-1, 0) + 0.5) / whole)
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = batch.column("b").to_pylist()
+            out = np.array([of_bucket.get(b, new) for b in bucket], float)
+            train = np.array(batch.column("train").to_pylist(), bool)
+            for own in (False, True):  # the word's own letters are counted only where it is a training word
+                which = [k for k, b in enumerate(bucket) if b < 0 and train[k] == own]
+                if which:
+                    found = batch.column("word").take(pa.array(which)).to_pylist()
+                    out[which] += spell.value.score(found, own)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tf"), batch.column("c"), pa.array(out)], ["row", "tf", "c", "p"])
+
+    rare = coded.select("row", "train", F.explode("rare").alias("r")).select("row", "train", "r.word", "r.tf")
+    rare = rare.join(vocab.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rare = rare.withColumn("b", _bucket(F.col("c") - F.col("train").cast("int")))
+    completed = map_arrow(rare.select("row", "train", "word", "tf", "c", "b"), complete, "row long, tf long, c long, p double")
     log_base = F.log10(F.col("c") + 1) - F.lit(space)
-    more = rare.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known2"), F.sum(F.col("tf") * log_base).alias("base2"), *[F.sum(F.col("tf") * F.col(p)).alias(f"{p}_2") for p in points])
-    both = local.drop("rare").join(more, "_row", "left")
+    more = completed.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known2"), F.sum(F.col("tf") * log_base).alias("base2"), F.sum(F.col("tf") * F.col("p")).alias("score2"))
+    both = coded.select("_id", "row", "n_tokens", "n_bytes", "known", "base").join(rated, "row").join(more, "row", "left")
     total = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    parts = [total(p, f"{p}_2") + F.lit(float(np.log10(s))) for p, s in zip(points, classes.share, strict=True)]
-    most = F.greatest(*parts) if n_classes > 1 else parts[0]
     out = both.select(
         F.col("_id").alias(id_col),
         "n_tokens",
         total("known", "known2").cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         total("base", "base2").alias("base_score"),
-        (most + F.log10(sum((F.pow(F.lit(10.0), x - most) for x in parts), F.lit(0.0)))).alias("score"),
+        total("score", "score2").alias("score"),
         "n_bytes",
     )
     return out.withColumn("bits_per_byte", -F.col("score") / F.lit(math.log10(2)) / F.greatest(F.col("n_bytes"), F.lit(1))).drop("n_bytes")
