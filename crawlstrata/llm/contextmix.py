@@ -43,8 +43,8 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 N1, N2, N3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 #: Numbers of the end of a text and of the escape; words follow, the most frequent first.
 END, RARE = 0, 1
-#: Words handled at once, and words that vote for a class.
-CHUNK, VOTERS = 1 << 12, 16
+#: Words handled at once in decisions and in contexts, and words that vote for a class.
+CHUNK, TOGETHER, VOTERS = 1 << 12, 1 << 14, 16
 #: Words of an anchor, and the share of places that are anchors.
 GRAM, EVERY = 6, 16
 #: Copies of an anchor's row in joins, so that the places of one anchor are dealt over several tasks.
@@ -201,7 +201,7 @@ class Mixer:
 class Tally:
     """Counts of numbers, added up in large batches."""
 
-    def __init__(self, size: int, held: int = 1 << 22) -> None:
+    def __init__(self, size: int, held: int = 1 << 21) -> None:
         self.counts, self.size, self.held = np.zeros(size, np.int32), 0, held
         self.parts: list[np.ndarray] = []
 
@@ -227,18 +227,18 @@ class WordMixer:
         self.n_slots = self.near + (1 << slot_bits)
         self.mixer = Mixer(4 * 3)
 
-    def matches(self, ids: np.ndarray, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """The predicted word at each place, or -1. found: (place, words that follow it elsewhere)."""
-        out = np.full(len(ids), -1)
-        for at, words in found:
-            here = ids[at + 1 : at + 1 + len(words)]
-            differ = np.flatnonzero(here != words[: len(here)])
-            n = differ[0] + 1 if len(differ) else len(here)
-            out[at + 1 : at + 1 + n] = words[:n]
-        return out
-
     def stretches(self, texts: list[np.ndarray], predicted: list[np.ndarray]) -> Iterator[tuple]:
-        """For stretches of words of all texts in order: their places among all, and the decisions (see ``_decide``)."""
+        """The decisions (see ``_decide``) in stretches of words of all texts in order. Short texts are taken together, so arrays stay small."""
+        a = 0
+        while a < len(texts):
+            size, b = 0, a
+            while b < len(texts) and (b == a or size + len(texts[b]) <= TOGETHER):
+                size += len(texts[b])
+                b += 1
+            yield from self._together(texts[a:b], predicted[a:b])
+            a = b
+
+    def _together(self, texts: list[np.ndarray], predicted: list[np.ndarray]) -> Iterator[tuple]:
         ids, guess = np.concatenate(texts), np.concatenate(predicted)
         lengths = np.array([len(t) for t in texts])
         at = np.arange(len(ids))
@@ -257,7 +257,7 @@ class WordMixer:
         match = np.where(guess < 0, 0, 1 + (run >= 4) + (run >= 16))
         for a in range(0, len(ids), CHUNK):
             s = slice(a, a + CHUNK)
-            yield s, self._decide(ids[s], last[s], kind[s], guess[s], match[s])
+            yield self._decide(ids[s], last[s], kind[s], guess[s], match[s])
 
     def _decide(self, ids, last, kind, guess, match):
         """Decisions in each word, and over decisions: bit, slots of both contexts, row (match and depth), bit that the match expects (1, -1 or 0)."""
@@ -281,19 +281,19 @@ class WordMixer:
         return n, bit, slots, row + 3 * np.repeat(match, n), ((depth < common) * 1 - (depth == common)) * (2 * bit - 1)
 
     def tally(self, slots_seen: Tally, texts: list[np.ndarray], predicted: list[np.ndarray]) -> None:
-        for _, (_, bit, slots, _, _) in self.stretches(texts, [np.full(len(t), -1) for t in texts]):
+        for _, bit, slots, _, _ in self.stretches(texts, [np.full(len(t), -1) for t in texts]):
             for s in slots:
                 slots_seen.add(2 * s + bit)
 
     def observe(self, cells_seen: Tally, texts: list[np.ndarray], predicted: list[np.ndarray]) -> None:
-        for _, (_, bit, slots, row, expected) in self.stretches(texts, predicted):
+        for _, bit, slots, row, expected in self.stretches(texts, predicted):
             cells_seen.add(self.mixer.cells(slots, bit, row, expected))
 
     def score(self, texts: list[np.ndarray], predicted: list[np.ndarray], own: bool) -> np.ndarray:
         """log10 probability of each text."""
         lengths = np.array([len(t) for t in texts])
         logs, sums = self.mixer.tables[int(own)], []
-        for _, (n, bit, slots, row, expected) in self.stretches(texts, predicted):
+        for n, bit, slots, row, expected in self.stretches(texts, predicted):
             sums.append(np.add.reduceat(logs[self.mixer.cells(slots, bit, row, expected)], np.cumsum(n) - n, dtype=np.float64))
         sums = np.concatenate(([0.0], np.cumsum(np.concatenate(sums))))
         ends = np.cumsum(lengths)
@@ -404,14 +404,14 @@ def _threshold(vocab: DataFrame, most: int) -> float:
 def _blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(counts), BLOCK):
         if counts[k : k + BLOCK].any():
-            yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int64()), pa.array([counts[k : k + BLOCK].astype(np.int64).tobytes()], pa.binary())], ["block", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int64()), pa.array([counts[k : k + BLOCK].tobytes()], pa.binary())], ["block", "n"])
 
 
 def _sum_arrays(parts: DataFrame, size: int) -> np.ndarray:
     """Sum of the counts that tasks send in blocks, added up in Spark."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for batch in batches for x in batch.column(1))
+        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for batch in batches for x in batch.column(1))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "n"])
 
     out = np.zeros(size, np.int64)
@@ -491,18 +491,39 @@ def _matches(coded: DataFrame) -> DataFrame:
     return _salted(used, words, ["anchor", "source"]).groupBy("row").agg(F.collect_list(F.struct("k", "words")).alias("found"))
 
 
-def _texts(mixer: WordMixer) -> Callable[[pa.RecordBatch], tuple]:
-    """Words and predicted words of the texts of a batch (columns ids, found)."""
+def matches(ids: np.ndarray, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The predicted word at each place, or -1. found: (place, words that follow it elsewhere)."""
+    out = np.full(len(ids), -1)
+    for at, words in found:
+        here = ids[at + 1 : at + 1 + len(words)]
+        differ = np.flatnonzero(here != words[: len(here)])
+        n = differ[0] + 1 if len(differ) else len(here)
+        out[at + 1 : at + 1 + n] = words[:n]
+    return out
+
+
+def _predict(coded: DataFrame) -> DataFrame:
+    """Columns row, train, ids, guess: predicted words, plus one (null: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data, found in zip(batch.column(2), batch.column(3), strict=True):
+                if not found.is_valid:
+                    out.append(None)
+                    continue
+                ids = unpack(data.as_py())
+                places = anchors(ids)[0].tolist()
+                out.append(pack(matches(ids, [(places[k], unpack(w)) for k, w in sorted((f["k"], f["words"]) for f in found.as_py())]) + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["row", "train", "ids", "guess"])
+
+    return map_arrow(coded.select("row", "train", "ids").join(_matches(coded), "row", "left"), run, "row long, train boolean, ids binary, guess binary")
 
-    def read(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        ids = [unpack(x) for x in batch.column("ids").to_pylist()]
-        guesses = []
-        for words, found in zip(ids, batch.column("found").to_pylist(), strict=True):
-            places = anchors(words)[0] if found else ()
-            guesses.append(mixer.matches(words, [(int(places[f["k"]]), unpack(f["words"])) for f in sorted(found or (), key=lambda f: f["k"])]))
-        return ids, guesses
 
-    return read
+def _texts(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Words and predicted words of the texts of a batch."""
+    ids = [unpack(x.as_py()) for x in batch.column("ids")]
+    return ids, [unpack(g.as_py()) - 1 if g.is_valid else np.full(len(x), -1) for g, x in zip(batch.column("guess"), ids, strict=True)]
 
 
 def _bucket(count: Column) -> Column:
@@ -539,33 +560,37 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         place, logs = lookup.value
         get = place.get
         for batch in batches:
-            out = []
+            facts, packed, names, rares, times, sizes = [], [], [], [], [], []
             for x in batch.column(3):
                 text = x.as_py()
                 found = tokens(text)
                 ids = np.fromiter((get(w, RARE) for w in found), np.int64, len(found))
-                rare = Counter(found[k] for k in np.flatnonzero(ids == RARE).tolist())
+                at = np.flatnonzero(ids == RARE).tolist()
+                rare = Counter([found[k] for k in at])
                 ids = np.append(ids, END)
-                n_rare = rare.total()
-                base = logs[ids].sum() - space * (len(ids) - n_rare)
-                out.append((len(ids), len(text), len(found) - n_rare + end_known, base, pack(ids), anchors(ids)[1], [{"word": w, "tf": n} for w, n in rare.items()]))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["_id", "row", "train", "n_tokens", "n_bytes", "known", "base", "ids", "anchors", "rare"])
-
-    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, row long, train boolean, n_tokens long, n_bytes long, known long, base double, ids binary, anchors array<long>, rare array<struct<word:binary,tf:long>>"
+                rares += rare.keys()
+                times += rare.values()
+                packed.append(pack(ids))
+                names.append(anchors(ids)[1])
+                sizes.append((len(names[-1]), len(rare)))
+                facts.append((len(ids), len(text), len(found) - len(at) + end_known, logs[ids].sum() - space * (len(ids) - len(at))))
+            counts, ends = np.array(facts, float).reshape(-1, 4), np.vstack(([[0, 0]], np.cumsum(np.array(sizes, np.int32).reshape(-1, 2), axis=0))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends[:, k], v) for k, v in ((0, pa.array(np.concatenate([np.zeros(0, np.int64), *names]))), (1, pa.array(rares, pa.binary())), (1, pa.array(times, pa.int64())))]
+            whole = [pa.array(counts[:, k].astype(np.int64)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *whole, pa.array(counts[:, 3]), pa.array(packed, pa.binary()), *lists], ["_id", "row", "train", "n_tokens", "n_bytes", "known", "base", "ids", "anchors", "words", "times"])
+
+    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, row long, train boolean, n_tokens long, n_bytes long, known long, base double, ids binary, anchors array<long>, words array<binary>, times array<long>"
     rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(training, F.lit(False)).alias("train"), utf8(text_col).alias("_text"))
     coded = stash(map_arrow(rows, encode, schema))
-    full = stash(coded.select("row", "train", "ids").join(_matches(coded), "row", "left"))
-    _train(mixer, full.where("train").select("ids", "found"), _texts(mixer))
+    full = stash(_predict(coded))
+    _train(mixer, full.where("train").select("ids", "guess"), _texts)
     speller = Speller()
     _train(speller, vocab.where("c = 1").select("word"), lambda batch: (batch.column(0).to_pylist(),))
     model, spell = sc.broadcast(mixer), sc.broadcast(speller)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _texts(model.value)
         for batch in batches:
-            ids, guesses = read(batch)
+            ids, guesses = _texts(batch)
             train, sums = np.array(batch.column("train").to_pylist(), bool), np.zeros(len(ids))
             for own in (False, True):
                 which = np.flatnonzero(train == own)
@@ -573,7 +598,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                     sums[which] = model.value.score([ids[k] for k in which], [guesses[k] for k in which], own)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sums)], ["row", "score"])
 
-    rated = map_arrow(full.select("row", "train", "ids", "found"), rate, "row long, score double")
+    rated = map_arrow(full, rate, "row long, score double")
 
     # Words outside the vocabulary: of their class of counts, one of equally likely members; or new, and spelled.
     members = {r["b"]: r["n"] for r in vocab.where(F.col("c") < least).groupBy(_bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n")).collect()}
@@ -582,19 +607,21 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     of_bucket = {b: math.log10((mass.get(b, 0) + 0.5) / whole / n) for b, n in members.items()}
     new = math.log10((mass.get(-1, 0) + 0.5) / whole)
 
+    logs = np.full(max(members, default=-1) + 2, new)
+    for b, p in of_bucket.items():
+        logs[b] = p
+
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket = batch.column("b").to_pylist()
-            out = np.array([of_bucket.get(b, new) for b in bucket], float)
-            train = np.array(batch.column("train").to_pylist(), bool)
+            bucket, train = batch.column("b").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+            out = logs[np.clip(bucket, -1, len(logs) - 1)]
             for own in (False, True):  # the word's own letters are counted only where it is a training word
-                which = [k for k, b in enumerate(bucket) if b < 0 and train[k] == own]
-                if which:
-                    found = batch.column("word").take(pa.array(which)).to_pylist()
-                    out[which] += spell.value.score(found, own)
+                which = np.flatnonzero((bucket < 0) & (train == own))
+                if len(which):
+                    out[which] += spell.value.score(batch.column("word").take(pa.array(which)).to_pylist(), own)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tf"), batch.column("c"), pa.array(out)], ["row", "tf", "c", "p"])
 
-    rare = coded.select("row", "train", F.explode("rare").alias("r")).select("row", "train", "r.word", "r.tf")
+    rare = coded.select("row", "train", F.explode(F.arrays_zip("words", "times")).alias("r")).select("row", "train", F.col("r.words").alias("word"), F.col("r.times").alias("tf"))
     rare = rare.join(vocab.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.withColumn("b", _bucket(F.col("c") - F.col("train").cast("int")))
     completed = map_arrow(rare.select("row", "train", "word", "tf", "c", "b"), complete, "row long, tf long, c long, p double")

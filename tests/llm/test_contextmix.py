@@ -111,7 +111,7 @@ def test_scores_do_not_depend_on_stretches(monkeypatch):
 
 def test_match_predicts_until_it_fails():
     ids = np.arange(10)
-    got = contextmix.WordMixer.matches(None, ids, [(2, np.array([3, 4, 9, 6])), (7, np.array([8, 9, 10]))])
+    got = contextmix.matches(ids, [(2, np.array([3, 4, 9, 6])), (7, np.array([8, 9, 10]))])
     assert got.tolist() == [-1, -1, -1, 3, 4, 9, -1, -1, 8, 9]
 
 
