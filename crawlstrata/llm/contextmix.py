@@ -47,8 +47,8 @@ END, RARE = 0, 1
 CHUNK, TOGETHER, VOTERS = 1 << 12, 1 << 14, 16
 #: Words of an anchor, and the share of places that are anchors.
 GRAM, EVERY = 6, 16
-#: Copies of an anchor's row in joins, so that the places of one anchor are dealt over several tasks.
-SALTS = 16
+#: An anchor of more places than this is hot, or than its share of all places that leaves at most ``MOST_HOT`` of them; tasks over which a hot anchor is dealt.
+LEAST_HOT, MOST_HOT, SALTS = 10_000, 100_000, 16
 #: Range of stretched predictions, and steps of the adaptive map over it.
 LIMIT, STEPS = 10, 41
 BLOCK = 1 << 13
@@ -424,6 +424,8 @@ def _sum_arrays(parts: DataFrame, size: int) -> np.ndarray:
 def _train(model: WordMixer | Speller, rows: DataFrame, texts: Callable[[pa.RecordBatch], tuple]) -> None:
     """Counts of all rows by context, then of all their decisions by cell, then weights and map."""
     sc = rows.sparkSession.sparkContext
+    # Each task sends an array of counts whatever its rows, so a task takes more rows here.
+    rows = rows.coalesce(max(2 * sc.defaultParallelism, rows.rdd.getNumPartitions() // 8))
 
     def counted(size: int, add: str) -> np.ndarray:
         shared = sc.broadcast(model)
@@ -455,24 +457,26 @@ def anchors(ids: np.ndarray) -> np.ndarray:
     return np.stack((at + GRAM - 1, h[at].view(np.int64)))
 
 
-def _salted(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
-    """Join whose hot keys are dealt over ``SALTS`` tasks."""
-    salt = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
-    return many.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(few.withColumn("_salt", salt), [*on, "_salt"]).drop("_salt")
-
-
 def _matches(coded: DataFrame) -> DataFrame:
-    """Columns row, found (array of (place, words)): what follows a text's anchors in another training text."""
-    places = coded.select("row", "train", F.xxhash64("ids").alias("text"), F.posexplode("anchors").alias("k", "anchor"))
-    # Texts are ordered by a hash, so that the choice does not depend on how Spark deals the rows.
-    row = F.when(F.col("train"), F.struct("text", "row"))
-    ends = places.groupBy("anchor").agg(F.min(row)["row"].alias("r1"), F.max(row)["row"].alias("r2"), (F.min("row") < F.max("row")).alias("several"))
-    used = _salted(places, stash(ends.where("several and r1 is not null").drop("several")), ["anchor"])
-    used = used.withColumn("source", F.when(F.col("r1") != F.col("row"), F.col("r1")).when(F.col("r2") != F.col("row"), F.col("r2")))
-    used = stash(used.where("source is not null").select("row", "k", "anchor", "source"))
-    wanted = used.select("anchor", "source").distinct()
-    at = wanted.join(places.select("anchor", F.col("row").alias("source"), "k"), ["anchor", "source"]).groupBy("anchor", "source").agg(F.min("k").alias("k"))
-    asked = at.groupBy("source").agg(F.collect_list(F.struct("k", "anchor")).alias("asked"))
+    """Columns text, row, n_train, found (array of (place, words)): what follows a text's anchors in another training text.
+
+    Equal texts are one: ``row`` is one of them and ``n_train`` says how many are training texts. Anchors that very many
+    texts share (at most ``MOST_HOT``, so they fit a broadcast) are not shuffled by their name.
+    """
+    texts = stash(coded.groupBy("text").agg(F.min("row").alias("row"), F.sum(F.col("train").cast("long")).alias("n_train")))
+    whole = coded.select("row", "anchors", "ids").join(texts, "row")
+    places = whole.select("text", (F.col("n_train") > 0).alias("train"), F.posexplode("anchors").alias("k", "anchor"))
+    source = F.when(F.col("train"), F.col("text"))
+    ends = places.groupBy("anchor").agg(F.min(source).alias("t1"), F.max(source).alias("t2"), (F.min("text") < F.max("text")).alias("several"), F.count("*").alias("n"))
+    ends = stash(ends.where("several and t1 is not null").drop("several"))
+    total = ends.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > max(LEAST_HOT, total // MOST_HOT)
+    met = places.join(ends.where(~hot), "anchor").withColumn("hot", F.lit(False)).unionByName(places.join(F.broadcast(ends.where(hot)), "anchor").withColumn("hot", F.lit(True)))
+    met = met.withColumn("source", F.when(F.col("t1") != F.col("text"), F.col("t1")).when(F.col("t2") != F.col("text"), F.col("t2")))
+    met = stash(met.where("source is not null").select("text", "k", "anchor", "source", "hot"))
+    wanted = met.select("anchor", "source", "hot").distinct()
+    at = wanted.join(places.select("anchor", F.col("text").alias("source"), "k"), ["anchor", "source"]).groupBy("source", "anchor", "hot").agg(F.min("k").alias("k"))
+    asked = at.groupBy("source").agg(F.collect_list(F.struct("k", "anchor", "hot")).alias("asked"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -482,13 +486,17 @@ def _matches(coded: DataFrame) -> DataFrame:
                 ends = [*anchors(ids)[0].tolist(), len(ids)]
                 for w in which:
                     a, b = ends[w["k"]] + 1, ends[w["k"] + 1] + 1
-                    out.append((w["anchor"], source, pack(ids[a:b])))
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "source", "words"])
+                    out.append((w["anchor"], source, w["hot"], pack(ids[a:b])))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["anchor", "source", "hot", "words"])
 
-    texts = coded.select(F.col("row").alias("source"), "ids").join(asked, "source").select("source", "ids", "asked")
-    words = stash(map_arrow(texts, follow, "anchor long, source long, words binary"))
-    return _salted(used, words, ["anchor", "source"]).groupBy("row").agg(F.collect_list(F.struct("k", "words")).alias("found"))
+    given = whole.select(F.col("text").alias("source"), "ids").join(asked, "source").select("source", "ids", "asked")
+    words = stash(map_arrow(given, follow, "anchor long, source long, hot boolean, words binary"))
+    salt = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+    cold = met.where("not hot").join(words.where("not hot"), ["anchor", "source"]).select("text", "k", "words")
+    split = met.where("hot").withColumn("salt", F.pmod("text", F.lit(SALTS)).cast("int")).join(words.where("hot").withColumn("salt", salt), ["anchor", "source", "salt"])
+    found = cold.unionByName(split.select("text", "k", "words")).groupBy("text").agg(F.collect_list(F.struct("k", "words")).alias("found"))
+    return texts.join(found, "text", "left")
 
 
 def matches(ids: np.ndarray, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -503,21 +511,27 @@ def matches(ids: np.ndarray, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
 
 def _predict(coded: DataFrame) -> DataFrame:
-    """Columns row, train, ids, guess: predicted words, plus one (null: none)."""
+    """Columns row, train, ids, guess: predicted words, plus one (null: none). A text with another training copy is foretold by that, from its first anchor on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for data, found in zip(batch.column(2), batch.column(3), strict=True):
-                if not found.is_valid:
+            for data, copies, found in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if copies <= 0 and not found.is_valid:
                     out.append(None)
                     continue
                 ids = unpack(data.as_py())
                 places = anchors(ids)[0].tolist()
-                out.append(pack(matches(ids, [(places[k], unpack(w)) for k, w in sorted((f["k"], f["words"]) for f in found.as_py())]) + 1))
+                if copies > 0:
+                    pieces = [(places[0], ids[places[0] + 1 :])] if places else []
+                else:
+                    pieces = [(places[k], unpack(w)) for k, w in sorted((f["k"], f["words"]) for f in found.as_py())]
+                out.append(pack(matches(ids, pieces) + 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["row", "train", "ids", "guess"])
 
-    return map_arrow(coded.select("row", "train", "ids").join(_matches(coded), "row", "left"), run, "row long, train boolean, ids binary, guess binary")
+    both = coded.select("text", "row", "train", "ids").join(_matches(coded).drop("row"), "text")
+    both = both.select("row", "train", "ids", (F.col("n_train") - F.col("train").cast("long")).alias("copies"), "found")
+    return map_arrow(both, run, "row long, train boolean, ids binary, guess binary")
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -531,7 +545,7 @@ def _bucket(count: Column) -> Column:
     return F.when(count > 0, F.floor(F.log2(count.cast("double")) * 4 + 1e-9)).otherwise(F.lit(-1)).cast("int")
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, most_classes: int = 8, frequent: int = 1 << 16, slot_bits: int = 20) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, most_classes: int = 8, frequent: int = 1 << 17, slot_bits: int = 20) -> DataFrame:
     """Columns: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     The vocabulary (at most ``frequent`` words), the evidence of the contexts (one byte for each of 1 << ``slot_bits`` slots, and of each class and node) and the weights are broadcast; all else is joined.
@@ -581,7 +595,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, row long, train boolean, n_tokens long, n_bytes long, known long, base double, ids binary, anchors array<long>, words array<binary>, times array<long>"
     rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(training, F.lit(False)).alias("train"), utf8(text_col).alias("_text"))
-    coded = stash(map_arrow(rows, encode, schema))
+    coded = stash(map_arrow(rows, encode, schema).withColumn("text", F.xxhash64("ids")))
     full = stash(_predict(coded))
     _train(mixer, full.where("train").select("ids", "guess"), _texts)
     speller = Speller()
