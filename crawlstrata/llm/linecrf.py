@@ -1,16 +1,21 @@
 """Quality rules by line sequence labelling.
 
 A linear-chain conditional random field marks each line of a text as content or boilerplate. Its line features are
-shares of byte classes, word statistics and repetitions; Viterbi decoding gives the best sequence. A text is kept if
-the share of its words that stand in content lines reaches a threshold, unless simple base rules have failed it.
-
-There are no line labels. Training takes the lines of labelled documents of quality 1 as content and those of quality 0
-as boilerplate, on a bounded sample (``per_class`` documents of each label, the least by a hash of the id; of a document of
-more than ``chunk`` lines, consecutive chunks are separate sequences). Decoding reads whole texts.
+shares of byte classes, word statistics, repetitions within the text, and whether the line is common, that is, stands in
+one of ``SHARE`` distinct texts of the corpus (and in ``LEAST`` at least). Viterbi decoding gives the best sequence. A
+text is kept if the share of its words that stand in content lines reaches a threshold, unless simple base rules have failed it.
+
+Labels are of documents, so line labels are weak. Common lines are boilerplate wherever they stand, and other lines of
+documents of quality 1 content. The other lines of documents of quality 0 start as boilerplate; after a first fit, those
+that by their own features look like content are content, and the field is fitted again. Training reads a bounded
+sample (``per_class`` documents of each label, the least by a hash of the id; of a document of more than ``chunk``
+lines, consecutive chunks are separate sequences). Common lines are counted over all texts, equal texts once; as each
+stands in a fixed share of the texts, there are at most ``SHARE`` times the mean number of lines of them, which bounds
+the broadcast. Decoding reads whole texts.
 
 Words are maximal runs of bytes other than space and \\t to \\r. Defined results: a null or empty text has no words and
-fails the base rules; lines without a word take no part in decoding; ties go to content; without labels of both kinds
-all lines are content; repeated rows get equal results; an empty table gives none.
+fails the base rules; lines without a word take no part in decoding; texts of any length are decoded whole; ties go to content;
+without labels of both kinds all lines are content; repeated rows get equal results; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import bounded_sample, map_arrow, table, utf8
+from crawlstrata.llm.common import bounded_sample, map_arrow, stash, table, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -42,7 +48,10 @@ DELETE = [bytes(c for c in range(256) if c not in kept) for kept in CLASSES]
 SHARE_BINS = (0.0, 0.01, 0.03, 0.06, 0.12, 0.25, 0.5)
 SIZE_BINS = (1, 2, 4, 8, 16, 32, 64, 128)
 N_SHARES, N_SIZES = len(CLASSES) + 2, 2
-WIDTH = N_SHARES * (len(SHARE_BINS) + 1) + N_SIZES * (len(SIZE_BINS) + 1) + 2
+WIDTH = N_SHARES * (len(SHARE_BINS) + 1) + N_SIZES * (len(SIZE_BINS) + 1) + 3
+COMMON = WIDTH - 1
+#: A line is common that stands in one of so many distinct texts, and in so many at least.
+SHARE, LEAST = 10_000, 3
 
 
 def line_features(line: bytes, words: list[bytes], seen: bool) -> list[int]:
@@ -66,7 +75,11 @@ def line_features(line: bytes, words: list[bytes], seen: bool) -> list[int]:
     return out
 
 
-def lines_of(text: bytes) -> tuple[list[int], list[list[int]], int]:
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line.strip())
+
+
+def lines_of(text: bytes, common: frozenset[int] = frozenset()) -> tuple[list[int], list[list[int]], int]:
     """Words and features of each line with a word, and the number of lines equal to an earlier one."""
     sizes, found, repeated, earlier = [], [], 0, set()
     for line in text.split(b"\n"):
@@ -76,10 +89,28 @@ def lines_of(text: bytes) -> tuple[list[int], list[list[int]], int]:
             repeated += seen
             earlier.add(line)
             sizes.append(len(words))
-            found.append(line_features(line, words, seen))
+            features = line_features(line, words, seen)
+            if line_hash(line) in common:
+                features.append(COMMON)
+            found.append(features)
     return sizes, found, repeated
 
 
+def common_lines(docs: DataFrame, text_col: str = "text", share: int = SHARE, least: int = LEAST) -> frozenset[int]:
+    """Hashes of the lines that stand in one of ``share`` distinct texts, and in ``least`` at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(0)]
+            lines = [np.unique(np.array([line_hash(x) for x in t.split(b"\n") if x.strip()], np.uint64)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(t) for t in texts], pa.uint64()).view(pa.int64()), pa.array(lines, pa.list_(pa.int64()))], ["text", "lines"])
+
+    texts = stash(map_arrow(docs.select(utf8(text_col).alias("_text")), run, "text long, lines array<long>").dropDuplicates(["text"]))
+    most = max(least, texts.count() // share)
+    found = texts.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("line").toArrow()
+    return frozenset(found["line"].to_numpy().view(np.uint64).tolist())
+
+
 @dataclass
 class LineCrf:
     """emission[state, feature], transition[from, to] and start[state]; state 0 is content, 1 boilerplate."""
@@ -111,11 +142,14 @@ class LineCrf:
         return states[::-1]
 
 
-def fit(sequences: list[list[list[int]]], labels: list[int], steps: int = 100, rate: float = 0.2, l2: float = 1e-3) -> LineCrf:
-    """Maximise the conditional likelihood (each sequence has one label for all its lines) with forward-backward and Adam."""
+def fit(sequences: list[list[list[int]]], labels: list[list[int]], steps: int = 100, rate: float = 0.2, l2: float = 1e-3) -> LineCrf:
+    """Maximise the conditional likelihood of the lines' labels with forward-backward and Adam."""
     lengths = np.array([len(s) for s in sequences])
     n, t_most = len(sequences), int(lengths.max())
-    y = np.array(labels)
+    y = np.array([k for row in labels for k in row])
+    pairs = np.array([2 * a + b for row in labels for a, b in zip(row, row[1:], strict=False)], np.int64)
+    firsts = np.array([row[0] for row in labels])
+    where_line = np.repeat(np.arange(len(y)), [len(x) for s in sequences for x in s])
     where_n = np.repeat(np.arange(n), [sum(map(len, s)) for s in sequences])
     where_t = np.concatenate([np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in sequences])
     cols = np.array([f for s in sequences for x in s for f in x])
@@ -125,9 +159,9 @@ def fit(sequences: list[list[list[int]]], labels: list[int], steps: int = 100, r
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     truth = np.zeros(size)
     for s in (0, 1):
-        truth[s * WIDTH : (s + 1) * WIDTH] = np.bincount(cols[y[where_n] == s], minlength=WIDTH)
-        truth[2 * WIDTH + 3 * s] = (lengths[y == s] - 1).sum()
-        truth[2 * WIDTH + 4 + s] = (y == s).sum()
+        truth[s * WIDTH : (s + 1) * WIDTH] = np.bincount(cols[y[where_line] == s], minlength=WIDTH)
+        truth[2 * WIDTH + 4 + s] = (firsts == s).sum()
+    truth[2 * WIDTH : 2 * WIDTH + 4] = np.bincount(pairs, minlength=4)
     total = lengths.sum()
     for step in range(1, steps + 1):
         emission, transition, start = w[: 2 * WIDTH].reshape(2, WIDTH), w[2 * WIDTH : 2 * WIDTH + 4].reshape(2, 2), w[-2:]
@@ -156,28 +190,35 @@ def fit(sequences: list[list[list[int]]], labels: list[int], steps: int = 100, r
     return LineCrf(w[: 2 * WIDTH].reshape(2, WIDTH).copy(), w[2 * WIDTH : 2 * WIDTH + 4].reshape(2, 2).copy(), w[-2:].copy())
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 800, chunk: int = 64) -> LineCrf:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", common: frozenset[int] = frozenset(), per_class: int = 800, chunk: int = 64) -> LineCrf:
     """Fit on at most 2 * ``per_class`` documents; features of their lines, not texts, reach the driver."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_good"))
     of = lambda y: bounded_sample(known.where(F.col("_good") == y), id_col, per_class)
     rows = docs.select(id_col, utf8(text_col).alias("_text")).join(F.broadcast(of(0).unionByName(of(1))), id_col).select("_good", F.xxhash64(id_col).alias("_order"), "_text")
 
+    known_lines = docs.sparkSession.sparkContext.broadcast(common)
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lines_of(x.as_py())[1] for x in batch.column(2)]
+            found = [lines_of(x.as_py(), known_lines.value)[1] for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["good", "order", "lines"])
 
     got = map_arrow(rows, extract, "good int, order long, lines array<array<int>>").toArrow()
     order = np.lexsort((got["order"].to_numpy(),))
     good = got["good"].to_numpy()
-    sequences, marks = [], []
+    sequences, marks, bad = [], [], []
     for k in order:
         lines = got["lines"][int(k)].as_py()
         for a in range(0, len(lines), chunk):
             sequences.append(lines[a : a + chunk])
-            marks.append(1 - int(good[k]))
-    if len(set(marks)) < 2:
+            bad.append(not good[k])
+            marks.append([int(bad[-1] or COMMON in x) for x in sequences[-1]])
+    if len(set(bad)) < 2:
         return LineCrf(np.zeros((2, WIDTH)), np.zeros((2, 2)), np.array([1.0, 0.0]))
+    first = fit(sequences, marks)
+    lean = first.emission[0] - first.emission[1]
+    for k in np.flatnonzero(bad):
+        marks[k] = [int(COMMON in x or lean[x].sum() < 0) for x in sequences[k]]
     return fit(sequences, marks)
 
 
@@ -217,8 +258,9 @@ def base_counts(text: bytes) -> tuple[list[bytes], int, int]:
     return words, points, symbols
 
 
-def judge(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str = "text", least_content: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str = "text", common: frozenset[int] = frozenset(), least_content: float = 0.5) -> DataFrame:
     """Columns: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content_share, base_failed, kept."""
+    known_lines = docs.sparkSession.sparkContext.broadcast(common)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +269,7 @@ def judge(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str
             for x in batch.column(1):
                 text = x.as_py()
                 words, points, symbols = base_counts(text)
-                sizes, found, dup = lines_of(text)
+                sizes, found, dup = lines_of(text, known_lines.value)
                 states = model.viterbi(found) if found else []
                 content = sum(n for n, s in zip(sizes, states, strict=True) if not s)
                 counts.append((len(words), points, symbols, dup, repeated_words(words)))
@@ -244,8 +286,9 @@ def judge(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept")
+    common = common_lines(docs)
+    model = train(docs, table(spark, sf_dir, "labels"), common=common)
+    return judge(docs, model, common=common).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept")
 
 
 QUERIES = {"op2_line_crf": op2_line_crf}

@@ -54,8 +54,40 @@ def test_viterbi_is_the_best_path():
 
 def test_fit_learns_lines():
     good, bad = linecrf.lines_of(b"This is a plain line of text.\nAnd so is this one here.")[1], linecrf.lines_of(b"a | b | c | d |\n# * $ % & | <")[1]
-    crf = linecrf.fit([good, bad] * 5, [0, 1] * 5)
+    crf = linecrf.fit([good, bad] * 5, [[0, 0], [1, 1]] * 5)
     assert crf.viterbi(good) == [0, 0] and crf.viterbi(bad) == [1, 1]
+    crf = linecrf.fit([good + bad, bad + good] * 5, [[0, 0, 1, 1], [1, 1, 0, 0]] * 5)
+    assert crf.viterbi(good + bad + good) == [0, 0, 1, 1, 0, 0]
+
+
+def test_common_lines_in_good_text(spark):
+    """Lines that many texts share are marked inside good texts, and plain lines inside bad ones are not; equal texts count once."""
+    r = np.random.default_rng(4)
+    plain = lambda: " ".join("".join(r.choice(list("abcdefghij"), 5)) for _ in range(9)) + "."
+    junk = lambda: " | ".join("".join(r.choice(list("abcdefghij"), 5)) for _ in range(9)) + " ###"
+    menu = ["home news about us contact", "all rights reserved by us."]
+    good = ["\n".join([menu[0], *(plain() for _ in range(6)), menu[1]]) for _ in range(60)]
+    bad = ["\n".join([menu[0], *(junk() for _ in range(6)), plain()]) for _ in range(60)]
+    rows = list(enumerate(good + bad + [plain()] * 9))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(0, 120, 2)], "doc_id long, quality int")
+    common = linecrf.common_lines(df)
+    assert common == {linecrf.line_hash(m.encode()) for m in menu}
+    model = linecrf.train(df, labels, common=common)
+    states = lambda t: model.viterbi(linecrf.lines_of(t.encode(), common)[1])
+    assert np.mean([states(t) == [1, *[0] * 6, 1] for t in good]) > 0.95
+    assert np.mean([states(t)[:7] == [1] * 7 for t in bad]) > 0.95
+    got = linecrf.judge(df, model, common=common).collect()
+    assert np.mean([x["kept"] for x in got if x["doc_id"] < 60]) > 0.95 and not any(x["kept"] for x in got if 60 <= x["doc_id"] < 120)
+    assert sum(0 < x["content_share"] < 1 for x in got) > 55
+
+
+def test_query_marks_lines_inside_texts(spark):
+    rows = linecrf.op2_line_crf(spark, SF.replace("0.001", "0.01")).collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert sum(0 < r["content_share"] < 1 for r in rows) > 100
+    judged = [(r["kept"], labels[r["doc_id"]]) for r in rows if labels.get(r["doc_id"]) is not None and not r["base_failed"]]
+    assert np.mean([k == bool(y) for k, y in judged]) > 0.9
 
 
 def test_line_crf_odd(spark, odd):
