@@ -1,15 +1,17 @@
 """URL filter: rules first, then a tree of path templates per host with labelled purity.
 
 The tree is built level by level. A path segment stays as it is if it is frequent below its parent; the others become a
-wildcard of their shape (digits, hexadecimal, any word, each with its file ending). Sibling branches whose labelled
-shares of good pages are statistically alike are merged into one, and a template is rejected if the smoothed share of
-its labelled pages that are good falls below a threshold. Smoothing draws small templates to their host's share, and
-small hosts to the share of all.
+wildcard of their shape (digits, hexadecimal, any word, each with its file ending). At every level, sibling branches
+whose labelled shares of good pages are statistically alike (two-proportion test against the other siblings) are merged
+into one branch ``{any}``, below which the tree goes on. The purity of a branch is its labelled share of good pages, smoothed
+by that of its parent, the host's by that of all; a template is rejected if its purity falls below a threshold.
 
-Every statistic counts all pages. A hot host is pre-aggregated by path segment before it is shuffled.
+Every statistic counts all pages. A hot host is pre-aggregated by path segment before it is shuffled, and the few names
+below a parent are copied over ``SALTS`` parts in the joins, so no task gets all pages of a host.
 
-Defined results: a null url, or one without ``://``, has empty host and path and is judged with all such pages; repeated
-urls count each; an empty table gives none; without labels nothing is rejected.
+Defined results: a null url, or one without ``://``, has empty host and path and is judged with all such pages; urls of
+any length are read whole, and segments beyond ``max_depth`` count as one; repeated urls count each; a page whose path
+names no document is unlabelled; an empty table gives none; without labels nothing is rejected.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from crawlstrata.llm.common import stash, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of the query: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+SALTS = 8
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -50,54 +53,57 @@ def shape(segment: Column) -> Column:
     return F.concat(kind, ending)
 
 
-def templates(paths: DataFrame, max_depth: int = 8, least_share: float = 0.02, least_count: int = 8) -> DataFrame:
-    """Add ``template`` (array of strings) to rows with id, host and path.
+def _salted(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a table of few rows for each parent; a hot key is dealt over ``SALTS`` parts."""
+    few = few.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return rows.join(few, [*on, "_salt"], how)
+
+
+def grow(paths: DataFrame, max_depth: int = 8, least_share: float = 0.02, least_count: int = 8, alike: float = 1.96, weight: float = 10.0) -> DataFrame:
+    """Add ``template`` (array of strings) and ``purity`` to rows with id, host, path and good (0, 1 or null).
 
     Paths deeper than ``max_depth`` keep their remaining segments as one, so nothing is left out.
     """
+    sums = [F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")]
+    add = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rest = F.array_join(F.slice("_all", F.lit(max_depth), F.size("_all")), "/")
-    rows = paths.withColumn("_all", segments)
+    rows = paths.withColumn("_all", segments).withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
     rows = rows.withColumn("_all", F.when(F.size("_all") > max_depth, F.concat(F.slice("_all", 1, max_depth - 1), F.array(rest))).otherwise(F.col("_all")))
-    rows = rows.withColumn("template", F.array().cast("array<string>"))
-    depth = rows.agg(F.coalesce(F.max(F.size("_all")), F.lit(0))).first()[0]
+    rows = stash(rows.withColumn("template", F.array().cast("array<string>")))
+    depth, n, good = rows.agg(F.coalesce(F.max(F.size("_all")), F.lit(0)), F.count("good"), F.coalesce(F.sum("good"), F.lit(0))).first()
+    prior = (good + 1) / (n + 1)
+    hosts = rows.groupBy("host").agg(*sums).select("host", ((F.col("good") + weight * F.lit(prior)) / (F.col("labelled") + weight)).alias("purity"))
+    rows = _salted(rows, hosts, ["host"], "inner")
     for level in range(1, depth + 1):
         here = F.try_element_at("_all", F.lit(level))
-        counts = rows.where(here.isNotNull()).groupBy("host", "template", here.alias("_segment")).agg(F.count("*").alias("_n"))
-        totals = counts.groupBy("host", "template").agg(F.sum("_n").alias("_total"))
-        frequent = counts.join(totals, ["host", "template"]).where((F.col("_n") >= least_count) & (F.col("_n") >= F.col("_total") * least_share))
-        frequent = frequent.select("host", "template", "_segment", F.lit(True).alias("_keep"))
-        rows = rows.withColumn("_segment", here).join(frequent, ["host", "template", "_segment"], "left")
-        grown = F.concat("template", F.array(F.when(F.col("_keep"), F.col("_segment")).otherwise(shape(F.col("_segment")))))
-        rows = rows.withColumn("template", F.when(F.col("_segment").isNotNull(), grown).otherwise(F.col("template"))).drop("_segment", "_keep")
-        if level % 4 == 0 and level < depth:
+        counts = stash(rows.where(here.isNotNull()).groupBy("host", "template", here.alias("_segment")).agg(*sums))
+        totals = counts.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "good")])
+        counts = counts.join(totals, ["host", "template"])
+        often = (F.col("n") >= least_count) & (F.col("n") >= F.col("all_n") * least_share)
+        kept = counts.where(often).select("host", "template", "_segment", F.col("_segment").alias("_literal"))
+        branches = counts.withColumn("_name", F.when(often, F.col("_segment")).otherwise(shape(F.col("_segment")))).groupBy("host", "template", "_name").agg(*add, F.first("all_labelled").alias("all_labelled"), F.first("all_good").alias("all_good"))
+        # A branch against its other siblings; without labels on both sides nothing tells them apart.
+        other, other_good = F.col("all_labelled") - F.col("labelled"), F.col("all_good") - F.col("good")
+        positive = lambda x: F.when(x > 0, x)
+        p = F.col("all_good") / positive(F.col("all_labelled"))
+        spread = F.sqrt(p * (1 - p) * (1 / positive(F.col("labelled")) + 1 / positive(other)))
+        z = (F.col("good") / positive(F.col("labelled")) - other_good / positive(other)) / positive(spread)
+        branches = branches.withColumn("_same", F.coalesce(F.abs(z) < alike, F.lit(True)))
+        pooled = branches.where("_same").groupBy("host", "template").agg(F.count("*").alias("_several"), F.sum("labelled").alias("_labelled"), F.sum("good").alias("_good"))
+        merged = F.col("_same") & (F.col("_several") > 1)
+        branches = branches.join(pooled, ["host", "template"], "left").select(
+            "host", "template", "_name", F.when(merged, "{any}").otherwise(F.col("_name")).alias("_branch"), F.when(merged, F.col("_labelled")).otherwise(F.col("labelled")).alias("_labelled"), F.when(merged, F.col("_good")).otherwise(F.col("good")).alias("_good")
+        )
+        rows = _salted(rows.withColumn("_segment", here), kept, ["host", "template", "_segment"], "left")
+        rows = _salted(rows.withColumn("_name", F.coalesce("_literal", shape(F.col("_segment")))), branches, ["host", "template", "_name"], "left")
+        deeper = F.col("_branch").isNotNull()
+        rows = rows.withColumn("template", F.when(deeper, F.concat("template", F.array("_branch"))).otherwise(F.col("template")))
+        rows = rows.withColumn("purity", F.when(deeper, (F.col("_good") + weight * F.col("purity")) / (F.col("_labelled") + weight)).otherwise(F.col("purity")))
+        rows = rows.drop("_segment", "_literal", "_name", "_branch", "_labelled", "_good")
+        if level < depth:
             rows = stash(rows)
-    return rows.drop("_all")
-
-
-def purity(rows: DataFrame, weight: float = 10.0, alike: float = 1.96) -> DataFrame:
-    """Per (host, template): branch (its merged siblings, sorted), n, n_good, purity. ``rows`` has host, template and good (0, 1 or null)."""
-    leaf = F.try_element_at("template", F.greatest(F.size("template") - 1, F.lit(1)))
-    # Siblings differ in the last literal above the leaf wildcard: same host and same path but for that segment.
-    family = F.concat_ws("/", F.transform("template", lambda s, k: F.when(k == F.greatest(F.size("template") - 2, F.lit(0)), "*").otherwise(s)))
-    nodes = rows.groupBy("host", "template").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("*").alias("pages"))
-    nodes = nodes.withColumn("family", family).withColumn("leaf", leaf)
-    pooled = nodes.groupBy("host", "family").agg(F.sum("n").alias("fn"), F.sum("good").alias("fg"))
-    nodes = nodes.join(pooled, ["host", "family"])
-    # Two-proportion test of a branch against its other siblings.
-    other_n, other_g = F.col("fn") - F.col("n"), F.col("fg") - F.col("good")
-    p = F.col("fg") / F.when(F.col("fn") > 0, F.col("fn"))
-    spread = F.sqrt(p * (1 - p) * (1 / F.when(F.col("n") > 0, F.col("n")) + 1 / F.when(other_n > 0, other_n)))
-    z = (F.col("good") / F.when(F.col("n") > 0, F.col("n")) - other_g / F.when(other_n > 0, other_n)) / F.when(spread > 0, spread)
-    nodes = nodes.withColumn("merged", F.coalesce(F.abs(z) < alike, F.lit(True)))
-    branch = F.when(F.col("merged"), F.lit("")).otherwise(F.col("leaf"))
-    nodes = nodes.withColumn("branch", F.coalesce(branch, F.lit("")))
-    merged = nodes.groupBy("host", "family", "branch").agg(F.sum("n").alias("n"), F.sum("good").alias("n_good"), F.sum("pages").alias("pages"))
-    hosts = nodes.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hg"))
-    prior = nodes.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("prior")).first()[0]
-    host_share = hosts.select("host", ((F.col("hg") + weight * F.lit(prior)) / (F.col("hn") + weight)).alias("host_share"))
-    merged = merged.join(host_share, "host").withColumn("purity", (F.col("n_good") + weight * F.col("host_share")) / (F.col("n") + weight))
-    return nodes.select("host", "template", "family", "branch").join(merged, ["host", "family", "branch"]).select("host", "template", "branch", "pages", "n", "n_good", "purity")
+    return rows.drop("_all", "_salt")
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
@@ -107,11 +113,11 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     """
     urls = pages.select(F.col(id_col).alias("_id"), host(url_col).alias("host"), path(url_col).alias("path"))
     number = F.regexp_extract("path", r"([0-9]{1,18})(?:\.[A-Za-z]{1,5})?/?$", 1)
-    urls = urls.withColumn("_doc", F.when(number != "", number.cast("long")))
-    known = labels.where(F.col("doc").isNotNull()).groupBy(F.col("doc").alias("_doc")).agg(F.min("good").alias("good"))
-    rows = stash(templates(urls.join(known, "_doc", "left")))
-    pure = purity(rows)
-    judged = rows.join(pure.select("host", "template", "purity"), ["host", "template"]).withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
+    # Pages that name no document get one of many keys that no document has.
+    urls = urls.withColumn("_doc", F.when(number != "", number.cast("long")).otherwise(-1 - F.pmod(F.xxhash64("_id", "path"), F.lit(1 << 20))))
+    known = labels.where(F.col("doc") >= 0).groupBy(F.col("doc").alias("_doc")).agg(F.min("good").alias("good"))
+    rows = grow(urls.join(known, "_doc", "left"))
+    judged = rows.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("purity") < threshold, "block").otherwise("allow"))
     return judged.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), F.concat_ws("/", "template").alias("template"), "purity", verdict.alias("verdict"))
 
@@ -136,28 +142,28 @@ def _oracle(max_depth: int = 8) -> str:
         wild = shape_sql.format(s=f"regexp_replace({here}, '\\.[A-Za-z]{{1,5}}$', '')", seg=here)
         levels.append(f"""c{k} as (select host, template, segs[{k}] as seg, count(*) as n from t{k - 1} where len(segs) >= {k} group by all),
 f{k} as (select c.host, c.template, c.seg from c{k} c join (select host, template, sum(n) as total from c{k} group by all) s on s.host = c.host and s.template = c.template where c.n >= 8 and c.n >= s.total * 0.02),
-t{k} as (select t.page_id, t.host, t.path, t.good, t.segs, case when len(t.segs) >= {k} then list_append(t.template, case when f.seg is not null then {here} else {wild} end) else t.template end as template
- from t{k - 1} t left join f{k} f on f.host = t.host and f.template = t.template and f.seg = {here})""")
-    fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then " for h, p, _ in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
+n{k} as (select t.*, case when len(t.segs) >= {k} then case when f.seg is not null then {here} else {wild} end end as name
+ from t{k - 1} t left join f{k} f on f.host = t.host and f.template = t.template and f.seg = {here}),
+b{k} as (select host, template, name, count(good) as l, coalesce(sum(good), 0) as g from n{k} where name is not null group by all),
+a{k} as (select host, template, sum(l) as al, sum(g) as ag from b{k} group by all),
+z{k} as (select b.*, al - l as o, ag - g as og, ag / nullif(al, 0) as p from b{k} b join a{k} a on a.host = b.host and a.template = b.template),
+s{k} as (select *, coalesce(abs((g / nullif(l, 0) - og / nullif(o, 0)) / nullif(sqrt(p * (1 - p) * (1 / nullif(l, 0) + 1 / nullif(o, 0))), 0)) < 1.96, true) as same from z{k}),
+m{k} as (select host, template, count(*) as several, sum(l) as l, sum(g) as g from s{k} where same group by all),
+r{k} as (select s.host, s.template, s.name, case when same and several > 1 then '{{any}}' else s.name end as branch, case when same and several > 1 then m.l else s.l end as l, case when same and several > 1 then m.g else s.g end as g
+ from s{k} s left join m{k} m on m.host = s.host and m.template = s.template),
+t{k} as (select n.page_id, n.host, n.path, n.good, n.segs, case when n.name is null then n.template else list_append(n.template, r.branch) end as template, case when n.name is null then n.purity else (r.g + 10.0 * n.purity) / (r.l + 10.0) end as purity
+ from n{k} n left join r{k} r on r.host = n.host and r.template = n.template and r.name = n.name)""")
     rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then " for h, p, _ in rules]
     rule = "case " + " ".join(f"{f}'{h}{p}'" for f, (h, p, _) in zip(fits, rules, strict=True)) + " end"
     verdict = "case " + " ".join(f"{f}'{v}'" for f, (*_, v) in zip(fits, rules, strict=True)) + " end"
     return f"""with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) as path from pages),
-known as (select doc_id as doc, min(case when quality = 1 and toxic = 0 then 1 else 0 end) as good from labels where quality is not null and toxic is not null and doc_id is not null group by doc_id),
+known as (select doc_id as doc, min(case when quality = 1 and toxic = 0 then 1 else 0 end) as good from labels where quality is not null and toxic is not null and doc_id >= 0 group by doc_id),
 s as (select u.*, known.good, list_filter(string_split(path, '/'), lambda x: x <> '') as every from u left join known on known.doc = try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})(?:\\.[A-Za-z]{{1,5}})?/?$', 1), '') as bigint)),
-t0 as (select page_id, host, path, good, case when len(every) > {max_depth} then list_append(every[1:{max_depth - 1}], array_to_string(every[{max_depth}:], '/')) else every end as segs, cast([] as varchar[]) as template from s),
-{(","+chr(10)).join(levels)},
-nodes as (select host, template, count(good) as n, coalesce(sum(good), 0) as g,
- array_to_string(list_transform(template, lambda x, i: case when i = greatest(len(template) - 1, 1) then '*' else x end), '/') as family,
- template[greatest(len(template) - 1, 1)] as leaf from t{max_depth} group by host, template),
-pooled as (select host, family, sum(n) as fn, sum(g) as fg from nodes group by all),
-tested as (select a.*, fn, fg, fg / nullif(fn, 0) as p, fn - n as o, fg - g as og from nodes a join pooled b on b.host = a.host and b.family = a.family),
-branched as (select *, case when coalesce(abs((g / nullif(n, 0) - og / nullif(o, 0)) / nullif(sqrt(p * (1 - p) * (1 / nullif(n, 0) + 1 / nullif(o, 0))), 0)) < 1.96, true) then '' else coalesce(leaf, '') end as branch from tested),
-merged as (select host, family, branch, sum(n) as n, sum(g) as g from branched group by all),
-hosts as (select host, (sum(g) + 10.0 * (select (coalesce(sum(g), 0) + 1) / (coalesce(sum(n), 0) + 1) from nodes)) / (sum(n) + 10.0) as share from nodes group by host),
-pure as (select b.host, b.template, (m.g + 10.0 * h.share) / (m.n + 10.0) as purity from branched b join merged m on m.host = b.host and m.family = b.family and m.branch = b.branch join hosts h on h.host = b.host)
-select t.page_id, t.host, t.path, rule, coalesce(ruled, case when purity < 0.5 then 'block' else 'allow' end) as verdict
-from (select page_id, host, path, template, {rule} as rule, {verdict} as ruled from t{max_depth}) t join pure on pure.host = t.host and pure.template = t.template"""
+hosts as (select host, (coalesce(sum(good), 0) + 10.0 * (select (coalesce(sum(good), 0) + 1) / (count(good) + 1) from s)) / (count(good) + 10.0) as purity from s group by host),
+t0 as (select page_id, s.host, path, good, case when len(every) > {max_depth} then list_append(every[1:{max_depth - 1}], array_to_string(every[{max_depth}:], '/')) else every end as segs, cast([] as varchar[]) as template, purity from s join hosts on hosts.host = s.host),
+{(","+chr(10)).join(levels)}
+select page_id, host, path, {rule} as rule, coalesce({verdict}, case when purity < 0.5 then 'block' else 'allow' end) as verdict from t{max_depth}"""
 
 
 ORACLE_SQL = {"op4_path_template_tree": _oracle()}

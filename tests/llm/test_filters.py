@@ -188,6 +188,29 @@ def test_url_tree(spark):
     assert len(rows) == 420
 
 
+def test_bad_template_goes_and_siblings_stay(spark):
+    """Merging at every level: languages and sections that are alike become one branch; the bad one below them is rejected."""
+    pages, labels = [], []
+    for k in range(1200):
+        kind = ("news", "blog", "shop", "spam")[k % 4]
+        pages.append((k, f"http://h.org/{('en', 'de', 'fr')[k % 3]}/{kind}/{k}.html"))
+        if k % 2 or k % 5 == 0:
+            labels.append((k, int(kind != "spam") if k % 25 else 1 - int(kind != "spam")))
+    df = spark.createDataFrame(pages, "page_id int, url string")
+    rows = {r["page_id"]: r for r in urltree.judge(df, spark.createDataFrame(labels, "doc long, good int")).collect()}
+    assert {r["template"] for r in rows.values()} == {"{any}/spam/{number}.html", "{any}/{any}/{number}.html"} or {r["template"].split("/")[0] for r in rows.values()} == {"{any}"}
+    assert all(rows[k]["verdict"] == ("block" if k % 4 == 3 else "allow") for k, _ in pages)
+
+
+def test_url_odd(spark):
+    """Clashing names, a very long url, repeated and null urls."""
+    long = "http://h.org/" + "a/" * 40000 + "7"
+    rows = [(k, u, "x", 1, "y", 2) for k, u in enumerate([long, long, None, "", "http://h.org/7", "http://h.org//7//"])]
+    df = spark.createDataFrame(rows, "page_id int, url string, host string, good int, template string, n int")
+    got = {r["page_id"]: r for r in urltree.judge(df, spark.createDataFrame([(7, 0)] * 2 + [(-3, 1)], "doc long, good int")).collect()}
+    assert len(got) == 6 and got[0]["verdict"] == got[1]["verdict"] and got[0]["path"].endswith("a/7") and got[2]["host"] == "" and got[5]["template"] == got[4]["template"]
+
+
 def test_url_query(spark):
     rows = urltree.op4_path_template_tree(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
