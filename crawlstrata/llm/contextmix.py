@@ -52,7 +52,8 @@ LEAST_HOT, MOST_HOT, SALTS = 10_000, 100_000, 16
 #: Range of stretched predictions, and steps of the adaptive map over it.
 LIMIT, STEPS = 10, 41
 BLOCK = 1 << 13
-PRIOR, EXACT = 0.1, 14
+#: Codes of evidence; up to ``EXACT`` observations have codes of their own.
+PRIOR, EXACT, CODES = 0.1, 9, 128
 N_EXACT = (EXACT + 1) * (EXACT + 2) // 2
 _deep = np.minimum(np.arange(256) // 4, 2)
 
@@ -91,7 +92,7 @@ class Code:
         self.n_nodes = n - 1
         climb, paths = np.arange(n), []
         while (parent[climb] >= 0).any():
-            paths.append((np.where(parent[climb] >= 0, parent[climb] - n, -1), side[climb]))
+            paths.append((np.where(parent[climb] >= 0, parent[climb] - n, -1).astype(np.int32), side[climb]))
             climb = np.where(parent[climb] >= 0, parent[climb], climb)
         nodes = np.stack([p for p, _ in paths[::-1]], axis=1)
         bits = np.stack([b for _, b in paths[::-1]], axis=1)
@@ -100,27 +101,30 @@ class Code:
         self.offset = np.cumsum(self.length) - self.length
         bits, depth = bits[real].astype(np.int64), np.broadcast_to(np.arange(real.shape[1]), real.shape)[real] - np.repeat(real.shape[1] - self.length, self.length)
         #: For each decision of each symbol: node << 8 | depth << 1 | bit. And each symbol's bits, from the highest of 64 on.
-        self.steps = nodes[real] << 8 | depth << 1 | bits
+        self.steps = nodes[real].astype(np.int64) << 8 | depth << 1 | bits
         self.left = np.zeros(n, np.uint64)
         np.bitwise_or.at(self.left, np.repeat(np.arange(n), self.length), bits.astype(np.uint64) << (63 - depth).astype(np.uint64))
 
 
 def evidence(counts: np.ndarray) -> np.ndarray:
-    """One byte for each (zeros, ones): up to ``EXACT`` observations as they are, more as a rounded stretched prediction."""
-    zero, one = counts[:, 0], counts[:, 1]
-    n = zero + one
-    some = np.log((one + PRIOR) / (zero + PRIOR))
-    many = N_EXACT + np.clip(np.rint((some + LIMIT) / (2 * LIMIT) * (255 - N_EXACT)), 0, 255 - N_EXACT)
-    return np.where(n <= EXACT, n * (n + 1) // 2 + one, many).astype(np.uint8)
+    """A code for each (zeros, ones): up to ``EXACT`` observations as they are, more as a rounded stretched prediction."""
+    out = np.empty(len(counts), np.uint8)
+    for k in range(0, len(counts), 1 << 16):
+        zero, one = counts[k : k + (1 << 16)].T
+        n = zero + one
+        some = np.log((one + PRIOR) / (zero + PRIOR))
+        many = N_EXACT + np.clip(np.rint((some + LIMIT) / (2 * LIMIT) * (CODES - 1 - N_EXACT)), 0, CODES - 1 - N_EXACT)
+        out[k : k + (1 << 16)] = np.where(n <= EXACT, n * (n + 1) // 2 + one, many)
+    return out
 
 
 def _meanings() -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of evidence with a 0 or a 1 taken out, or nothing: stretched prediction, level of evidence."""
-    x = np.tile(np.linspace(-LIMIT, LIMIT, 256 - N_EXACT), (3, 1))
+    """For each code of evidence with a 0 or a 1 taken out, or nothing: stretched prediction, level of evidence."""
+    x = np.tile(np.linspace(-LIMIT, LIMIT, CODES - N_EXACT), (3, 1))
     pairs = np.array([(n - k, k) for n in range(EXACT + 1) for k in range(n + 1)])
     less = [np.maximum(pairs - own, 0) for own in ([1, 0], [0, 1], [0, 0])]
     x = np.hstack([np.log((np.array([q[:, 1] for q in less]) + PRIOR) / (np.array([q[:, 0] for q in less]) + PRIOR)), x])
-    n = np.hstack([np.array([q.sum(axis=1) for q in less]), np.full((3, 256 - N_EXACT), EXACT + 1)])
+    n = np.hstack([np.array([q.sum(axis=1) for q in less]), np.full((3, CODES - N_EXACT), EXACT + 1)])
     return x, np.searchsorted([0, 3, EXACT], n)
 
 
@@ -130,15 +134,15 @@ STRETCHED, LEVEL = _meanings()
 class Mixer:
     """Two counted contexts and a match, mixed by gated weights[input, gate] and refined by map[row, step].
 
-    ``seen`` has a byte of evidence for each slot of the contexts. What a decision brings to learning, and what its
-    probability depends on, is its cell: both bytes of evidence, the row (what else the gate looks at), the bit that the
+    ``seen`` has a code of evidence for each slot of the contexts. What a decision brings to learning, and what its
+    probability depends on, is its cell: both codes of evidence, the row (what else the gate looks at), the bit that the
     match expects, and the bit itself. So all decisions of all training texts are counted by cell, in Spark, and weights
     and map learn online from the cells; no text is left out.
     """
 
     def __init__(self, n_rows: int, match: bool = True) -> None:
         self.n_rows, self.n_expected = n_rows, 3 if match else 1
-        self.n_cells = (n_rows * self.n_expected * 2) << 16
+        self.n_cells = n_rows * self.n_expected * 2 * CODES * CODES
         self.seen = np.zeros(0, np.uint8)
         self.weights = np.full((4, 4 * n_rows), 0.4)
         self.weights[3] = 0
@@ -146,7 +150,8 @@ class Mixer:
         self.tables: np.ndarray | None = None
 
     def cells(self, slots: list[np.ndarray], bit: np.ndarray, row: np.ndarray, expected: np.ndarray | int) -> np.ndarray:
-        cell = self.seen[slots[0]].astype(np.int64) << 8 | self.seen[slots[1]]
+        cell = self.seen[slots[0]].astype(np.int64) * CODES
+        cell += self.seen[slots[1]]
         cell *= self.n_rows
         cell += row
         cell *= self.n_expected
@@ -161,8 +166,8 @@ class Mixer:
         expected, rest = rest % self.n_expected - self.n_expected // 2, rest // self.n_expected
         row, rest = rest % self.n_rows, rest // self.n_rows
         taken = bit if own else np.full(len(cell), 2)
-        x = np.stack([STRETCHED[taken, rest >> 8], STRETCHED[taken, rest & 255], 4.0 * expected, np.ones(len(cell))])
-        gate = LEVEL[taken, rest & 255] * self.n_rows + row
+        x = np.stack([STRETCHED[taken, rest // CODES], STRETCHED[taken, rest % CODES], 4.0 * expected, np.ones(len(cell))])
+        gate = LEVEL[taken, rest % CODES] * self.n_rows + row
         return x, gate, row, bit, (x * self.weights[:, gate]).sum(axis=0)
 
     def learn(self, counts: np.ndarray, passes: int = 30, batch: int = 1 << 13) -> None:
@@ -354,7 +359,7 @@ class Speller:
         return out
 
 
-def vocabulary(docs: DataFrame, kind: Column, classes: int, text_col: str, flush: int = 400_000) -> DataFrame:
+def vocabulary(docs: DataFrame, kind: Column, classes: int, text_col: str, flush: int = 300_000) -> DataFrame:
     """Columns: word (binary), c0, c1, ... (counts in training rows by class), c (in all): every word of the rows with a class."""
     names = [f"c{k}" for k in range(classes)]
 
@@ -432,9 +437,8 @@ def _train(model: WordMixer | Speller, rows: DataFrame, texts: Callable[[pa.Reco
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = Tally(size)
-            for batch in batches:
-                if batch.num_rows:
-                    getattr(shared.value, add)(counts, *texts(batch))
+            for part in _parts(batches):
+                getattr(shared.value, add)(counts, *texts(part))
             yield from _blocks(counts.total())
 
         return _sum_arrays(map_arrow(rows, run, "block long, n binary"), size)
@@ -479,7 +483,7 @@ def _matches(coded: DataFrame) -> DataFrame:
     asked = at.groupBy("source").agg(F.collect_list(F.struct("k", "anchor", "hot")).alias("asked"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             out = []
             for source, data, which in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = unpack(data)
@@ -514,7 +518,7 @@ def _predict(coded: DataFrame) -> DataFrame:
     """Columns row, train, ids, guess: predicted words, plus one (null: none). A text with another training copy is foretold by that, from its first anchor on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             out = []
             for data, copies, found in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 if copies <= 0 and not found.is_valid:
@@ -534,6 +538,13 @@ def _predict(coded: DataFrame) -> DataFrame:
     return map_arrow(both, run, "row long, train boolean, ids binary, guess binary")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is unpacked at once stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _texts(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Words and predicted words of the texts of a batch."""
     ids = [unpack(x.as_py()) for x in batch.column("ids")]
@@ -548,7 +559,7 @@ def _bucket(count: Column) -> Column:
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, most_classes: int = 8, frequent: int = 1 << 17, slot_bits: int = 20) -> DataFrame:
     """Columns: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    The vocabulary (at most ``frequent`` words), the evidence of the contexts (one byte for each of 1 << ``slot_bits`` slots, and of each class and node) and the weights are broadcast; all else is joined.
+    The vocabulary (at most ``frequent`` words), the evidence of the contexts (a byte for each of 1 << ``slot_bits`` slots, and of each class and node) and the weights are broadcast; all else is joined.
     """
     sc = docs.sparkSession.sparkContext
     kind, n_classes = _classes(docs, training, class_col, most_classes)
@@ -573,7 +584,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, logs = lookup.value
         get = place.get
-        for batch in batches:
+        for batch in _parts(batches, 2048):
             facts, packed, names, rares, times, sizes = [], [], [], [], [], []
             for x in batch.column(3):
                 text = x.as_py()
@@ -603,9 +614,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     model, spell = sc.broadcast(mixer), sc.broadcast(speller)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids, guesses = _texts(batch)
-            train, sums = np.array(batch.column("train").to_pylist(), bool), np.zeros(len(ids))
+            train, sums = batch.column("train").to_numpy(zero_copy_only=False), np.zeros(len(ids))
             for own in (False, True):
                 which = np.flatnonzero(train == own)
                 if len(which):
