@@ -73,13 +73,16 @@ def closest_k(requests: DataFrame, captures: DataFrame, k: int, verbatim: bool =
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("request", "rank", "rid", "key")
 
 
-def resolve_revisits(captures: DataFrame) -> DataFrame:
-    """For revisits: rid, original (rid of the capture it stands for), original_ref, outcome.
+def resolve_revisits(captures: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """For revisits (those with a rid of ``among``, if given): rid, original (rid of the capture it stands for), original_ref, outcome.
 
     By record id if there is one, else by the nearest capture of the refers-to URI at the refers-to date (own date where it
     is missing). Outcomes: ok, not_found, no_reference.
     """
-    revisits = captures.where("srt = 'revisit'").select("rid", "roi", "rou", F.coalesce(F.unix_timestamp("rod"), F.col("unix")).alias("at"))
+    revisits = captures.where("srt = 'revisit'")
+    if among is not None:
+        revisits = revisits.join(among.select("rid").distinct(), "rid", "left_semi")
+    revisits = revisits.select("rid", "roi", "rou", F.coalesce(F.unix_timestamp("rod"), F.col("unix")).alias("at"))
     by_id = revisits.where("roi is not null").join(captures.select(F.col("rid").alias("roi"), F.col("rid").alias("original"), F.col("ref").alias("original_ref")), "roi", "left")
     by_id = by_id.select("rid", "original", "original_ref", F.when(F.col("original").isNull(), "not_found").otherwise("ok").alias("outcome"))
     dated = revisits.where("roi is null and rou is not null")
@@ -98,9 +101,12 @@ def merge_revisits(records: DataFrame, resolved: DataFrame) -> DataFrame:
     return pairs.join(revisit, "rid").join(original, "original").select("rid", "original", "headers", "block")
 
 
-def resolve_redirects(captures: DataFrame, location: str = "location") -> DataFrame:
-    """For redirects: rid, target (absolute URL), nearest (rid of its capture nearest in time), outcome (ok, not_found)."""
-    asked = captures.where(F.col("hsc").isin(*REDIRECTS) & F.col(location).isNotNull()).select("rid", urls.absolute_location("uri", location).alias("target"), F.col("unix").alias("at"))
+def resolve_redirects(captures: DataFrame, location: str = "location", among: DataFrame | None = None) -> DataFrame:
+    """For redirects (those with a rid of ``among``, if given): rid, target (absolute URL), nearest (rid of its capture nearest in time), outcome (ok, not_found)."""
+    asked = captures.where(F.col("hsc").isin(*REDIRECTS) & F.col(location).isNotNull())
+    if among is not None:
+        asked = asked.join(among.select("rid").distinct(), "rid", "left_semi")
+    asked = asked.select("rid", urls.absolute_location("uri", location).alias("target"), F.col("unix").alias("at"))
     found = closest(scoped(asked, "target"), captures, verbatim=True)
     return found.select("rid", "target", F.col("nearest.rid").alias("nearest"), F.when(F.col("nearest").isNull(), "not_found").otherwise("ok").alias("outcome"))
 
@@ -108,13 +114,14 @@ def resolve_redirects(captures: DataFrame, location: str = "location") -> DataFr
 def replay_plan(requests: DataFrame, captures: DataFrame, location: str = "location") -> DataFrame:
     """Columns request, rid, ref, outcome: what replays each (request, url, at).
 
-    The nearest capture answers; a revisit through its original, a redirect through the capture of its target. Outcomes:
-    ok, not_found, refers_to_not_found, redirect, redirect_not_found, error.
+    The nearest capture answers; a revisit through its original, a redirect through the capture of its target. Only
+    revisits and redirects that are hit are resolved. Outcomes: ok, not_found, refers_to_not_found, redirect, redirect_not_found, error.
     """
     asked = scoped(requests.select("request", "url", "at"))
     hit = closest(asked, captures, verbatim=True, answer=("rid", "ref", "srt", "hsc")).select("request", "at", F.col("nearest.rid").alias("rid"), F.col("nearest.ref").alias("ref"), F.col("nearest.srt").alias("srt"), F.col("nearest.hsc").alias("hsc"))
-    originals = resolve_revisits(captures).withColumnRenamed("outcome", "revisit_outcome")
-    jumps = resolve_redirects(captures, location).select("rid", F.col("nearest").alias("jump"), F.col("outcome").alias("jump_outcome"))
+    hits = hit.where("rid is not null").select("rid")
+    originals = resolve_revisits(captures, hits).withColumnRenamed("outcome", "revisit_outcome")
+    jumps = resolve_redirects(captures, location, hits).select("rid", F.col("nearest").alias("jump"), F.col("outcome").alias("jump_outcome"))
     joined = hit.join(originals, "rid", "left").join(jumps, "rid", "left")
     revisit, redirect = F.col("revisit_outcome").isNotNull(), F.col("jump_outcome").isNotNull()
     outcome = (

@@ -62,9 +62,10 @@ def repair_utf8(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def write_captures(captures: DataFrame, path: str, files: int = 8) -> None:
-    """Parquet sorted by key over the whole table, so that readers prune by key."""
-    captures.repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+def write_captures(captures: DataFrame, path: str, files: int | None = None) -> None:
+    """Parquet sorted by key over the whole table, so that readers prune by key. Without ``files``, Spark sizes them by the bytes shuffled."""
+    ranged = captures.repartitionByRange(files, "key") if files else captures.repartitionByRange("key")
+    ranged.sortWithinPartitions("key").write.mode("overwrite").parquet(path)
 
 
 def write_cdxj(captures: DataFrame, path: str) -> None:

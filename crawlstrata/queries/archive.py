@@ -34,7 +34,7 @@ def query(name: str, sql: str):
     return put
 
 
-def warc_files(spark: SparkSession, sf_dir: str, files: int = 4) -> list[str]:
+def warc_files(spark: SparkSession, sf_dir: str, per_file: int = 2000) -> list[str]:
     """WARC files with one response for each page, and a request before it that indexing leaves out."""
     ship(spark)
     folder = f"{checkpoint_dir(spark)}/warcs-{uuid.uuid4().hex}"
@@ -57,7 +57,8 @@ def warc_files(spark: SparkSession, sf_dir: str, files: int = 4) -> list[str]:
                         out.write(gzip.compress(head.encode() + data + b"\r\n\r\n", 1, mtime=0))
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
 
-    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html").repartition(files, "page_id").sortWithinPartitions("page_id")
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = pages.repartition(max(4, pages.count() // per_file), "page_id").sortWithinPartitions("page_id")
     return sorted(r["path"] for r in pages.mapInArrow(write, "path string").collect())
 
 
@@ -80,13 +81,12 @@ def warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rid", "uri", "hsc", "mct", "ple", "cle", "ssu", "ts14", "key")
 
 
-@query("warc_extract", PAGES + "select rid, digest from c where page_id % 7 = 0")
+@query("warc_extract", PAGES + "select rid, digest from c")
 def warc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = warc_files(spark, sf_dir)
     rows = with_keys(to_captures(http_records(read_warc(spark, paths))))
-    wanted = rows.where(F.regexp_extract("rid", "([0-9]+)$", 1).cast("long") % 7 == 0)
     files = discover(spark, [paths[0].rsplit("/", 1)[0]])
-    return extract_records(wanted, files).select("rid", F.md5("block").alias("digest"))
+    return extract_records(rows, files).select("rid", F.md5("block").alias("digest"))
 
 
 @query("index_stream", PAGES + "select rid, key from c")

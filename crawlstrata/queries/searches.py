@@ -82,9 +82,9 @@ def search_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(captures(spark, sf_dir), asked).select("rid", "key")
 
 
-@query("scan_key_prefix", over("select rid, key from cap where starts_with(key, 'com,') and srt = 'response' and unix >= epoch(timestamp '2024-01-10') order by key limit 500"))
+@query("scan_key_prefix", over("select rid, key from cap where starts_with(key, 'com,') and srt = 'response' and unix >= epoch(timestamp '2024-01-10')"))
 def scan_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_key_prefix(captures(spark, sf_dir), "com,", from_=FROM, filters=("=srt:response",), limit=500).select("rid", "key")
+    return scan_key_prefix(captures(spark, sf_dir), "com,", from_=FROM, filters=("=srt:response",)).select("rid", "key")
 
 
 @query("captures_scan", over("select rid, uri, ssu, host, psu, path, ts14, unix, key, filename, \"offset\" from cap"))

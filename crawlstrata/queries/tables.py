@@ -115,14 +115,14 @@ def get_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.get_captures(held.where("hsc = 404").select("key").distinct(), held.select("key", "rid"))
 
 
-ASK = "select cast(e.event_id as bigint) as request, p.url, cast(epoch(date_trunc('second', e.ts)) as bigint) + 40000 as at from events e join pages p on p.page_id = (e.event_id * 7 + 1) % (select count(*) from pages) where e.event_id % 5 = 0"
+ASK = "select cast(e.event_id as bigint) as request, p.url, cast(epoch(date_trunc('second', e.ts)) as bigint) + 40000 as at from events e join pages p on p.page_id = (e.event_id * 7 + 1) % (select count(*) from pages)"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests: columns request, url, at."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     n = pages.count()
-    events = read(spark, sf_dir, "events").where("event_id % 5 = 0")
+    events = read(spark, sf_dir, "events")
     e = events.select(F.col("event_id").cast("long").alias("request"), ((F.col("event_id") * 7 + 1) % n).alias("page_id"), (F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))) + 40000).alias("at"))
     return e.join(pages, "page_id").select("request", "url", "at")
 

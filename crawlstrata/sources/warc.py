@@ -205,9 +205,9 @@ def http_records(records: DataFrame) -> DataFrame:
 
 
 def _http_head(block: Column) -> Column:
-    """Head of an HTTP block as text, up to its first blank line; Latin-1, as any byte may stand in it."""
-    text = F.decode(F.substring(block, 1, 1 << 16), "ISO-8859-1")
-    return F.substring_index(F.substring_index(F.concat(text, F.lit("\r\n\r\n")), "\r\n\r\n", 1), "\n\n", 1)
+    """Head of an HTTP block as text, up to its first blank line, however long; Latin-1, as any byte may stand in it."""
+    head = F.substring_index(F.substring_index(block.cast("string"), "\r\n\r\n", 1), "\n\n", 1)
+    return F.decode(head.cast("binary"), "ISO-8859-1")
 
 
 def _http_field(head: Column, name: str) -> Column:

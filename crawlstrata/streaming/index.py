@@ -55,7 +55,7 @@ def load(spark: SparkSession, base: str, table: str) -> DataFrame | None:
     return lists.ids(rows) if table == "ids" else rows
 
 
-def compact(spark: SparkSession, base: str, files: int = 8) -> None:
+def compact(spark: SparkSession, base: str, files: int | None = None) -> None:
     """Write the merged captures as one table sorted by key."""
     n, rows = current(spark, base), load(spark, base, "captures")
     if rows is not None and n not in _numbers(spark, base, "compacted"):
@@ -101,14 +101,17 @@ def index_files(spark: SparkSession, base: str, paths: list[str], includes: list
     return len(todo)
 
 
-def start_indexing(paths: DataFrame, base: str, checkpoint: str, max_wait: str | None = "5 seconds", **options) -> StreamingQuery:
-    """Index a stream of paths batch by batch; without max_wait what is available, and then stop.
+def start_indexing(paths: DataFrame, base: str, checkpoint: str, max_wait: str | None = "5 seconds", compact_after: int = 16, **options) -> StreamingQuery:
+    """Index a stream of paths batch by batch; without max_wait what is available, and then stop. After ``compact_after`` batches readers need not merge them any more.
 
     The size of a batch is set where the stream is read (maxFilesPerTrigger, maxOffsetsPerTrigger).
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        index_files(df.sparkSession, base, [r["path"] for r in df.distinct().collect()], **options)
+        spark = df.sparkSession
+        index_files(spark, base, [r["path"] for r in df.distinct().collect()], **options)
+        if current(spark, base) - max(_numbers(spark, base, "compacted"), default=0) >= compact_after:
+            compact(spark, base)
 
     writer = paths.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=max_wait) if max_wait else writer.trigger(availableNow=True)

@@ -130,3 +130,15 @@ def test_reset(spark, tmp_path):
         spark.range(3).write.parquet(f"{tmp_path}/{t}")
     reset(spark, str(tmp_path))
     assert all(spark.read.parquet(f"{tmp_path}/{t}").count() == 0 for t in ("captures", "ids", "files"))
+
+
+def test_long_http_head(spark):
+    """A head of 100 KB is read whole; a head without an end is the whole block; bytes that are no text do no harm."""
+    from crawlstrata.sources.warc import to_captures
+
+    long = b"HTTP/1.1 302 Found\r\nX-Pad: " + b"\xff" * 100_000 + b"\r\nContent-Type: text/plain\r\nContent-Length: 12\r\nLocation: /there\r\n\r\nContent-Type: no\r\n\r\n"
+    head = {"warc-target-uri": "http://pear.net/", "warc-date": "2023-05-16T00:00:00Z", "content-length": "5", "content-type": "application/http", "warc-record-id": "<urn:x>"}
+    rows = [("response", head, long, "f", 0, 9), ("response", head, b"HTTP/1.0 200 OK\nContent-Type: a/b", "f", 9, 9), ("response", head, b"HTTP/1.0 200 OK\nContent-Type: a/b\n\nContent-Length: 3\r\n\r\n", "f", 18, 9)]
+    df = spark.createDataFrame(rows, "type string, headers map<string,string>, block binary, filename string, offset long, length long")
+    got = {r["ref"]: (r["hsc"], r["mct"], r["ple"], r["location"]) for r in to_captures(df).collect()}
+    assert got == {"warcfile:f#0": (302, "text/plain", 12, "/there"), "warcfile:f#9": (200, "a/b", None, None), "warcfile:f#18": (200, "a/b", None, None)}
