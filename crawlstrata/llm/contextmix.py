@@ -62,6 +62,13 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class Places(dict):
+    """Numbers of words; a word outside the vocabulary has the escape's."""
+
+    def __missing__(self, word: bytes) -> int:
+        return RARE
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Numbers below 1,114,112 in one to four bytes each."""
     return ids.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
@@ -251,7 +258,7 @@ class WordMixer:
         last = np.where(at > first, ids[at - 1], 0).astype(np.uint32) * N1 + N3
         low, most, kind = np.maximum(at - VOTERS, first), np.zeros(len(ids), np.int64), np.full(len(ids), self.n_classes)
         home = self.home[ids]
-        for c in range(self.n_classes):
+        for c in np.unique(home[home < self.n_classes]).tolist():
             sums = np.concatenate(([0], np.cumsum(home == c)))
             votes = sums[at] - sums[low]
             kind[votes > most] = c
@@ -469,7 +476,7 @@ def _matches(coded: DataFrame) -> DataFrame:
     """
     texts = stash(coded.groupBy("text").agg(F.min("row").alias("row"), F.sum(F.col("train").cast("long")).alias("n_train")))
     whole = coded.select("row", "anchors", "ids").join(texts, "row")
-    places = whole.select("text", (F.col("n_train") > 0).alias("train"), F.posexplode("anchors").alias("k", "anchor"))
+    places = stash(whole.select("text", (F.col("n_train") > 0).alias("train"), F.posexplode("anchors").alias("k", "anchor")))
     source = F.when(F.col("train"), F.col("text"))
     ends = places.groupBy("anchor").agg(F.min(source).alias("t1"), F.max(source).alias("t2"), (F.min("text") < F.max("text")).alias("several"), F.count("*").alias("n"))
     ends = stash(ends.where("several and t1 is not null").drop("several"))
@@ -573,7 +580,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     least = _threshold(vocab, frequent)
     top = vocab.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
     words, counts = top["word"].to_pylist(), top["c"].to_numpy()
-    place = {w: k + 2 for k, w in enumerate(words)}
+    place = Places((w, k + 2) for k, w in enumerate(words))
     code = Code([ends + 1, int(facts["n"] - counts.sum()) + 1, *counts.tolist()])
     share = np.column_stack([top[f"c{k}"].to_numpy() / max(1, facts[f"c{k}"]) for k in range(n_classes)]) if len(words) else np.zeros((0, n_classes))
     home = np.concatenate(([n_classes] * 2, np.where(2 * share.max(axis=1) > share.sum(axis=1), share.argmax(axis=1), n_classes) if len(words) else [])).astype(np.int64)
@@ -583,13 +590,13 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, logs = lookup.value
-        get = place.get
+        get = place.__getitem__
         for batch in _parts(batches, 2048):
             facts, packed, names, rares, times, sizes = [], [], [], [], [], []
             for x in batch.column(3):
                 text = x.as_py()
                 found = tokens(text)
-                ids = np.fromiter((get(w, RARE) for w in found), np.int64, len(found))
+                ids = np.fromiter(map(get, found), np.int64, len(found))
                 at = np.flatnonzero(ids == RARE).tolist()
                 rare = Counter([found[k] for k in at])
                 ids = np.append(ids, END)
