@@ -19,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write df as Parquet below the shared checkpoint folder and read it again: a cut in the lineage that outlives executors."""
+    """Write df as Parquet below the shared checkpoint folder and read it again: a cut in the lineage that outlives executors. Zstandard, as texts take the most room."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
