@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,13 +140,18 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> list
     return [items.where(F.pmod(F.xxhash64(item_id, text), F.lit(n)) == k) for k in range(n)]
 
 
+def _shared(block: DataFrame, item_id: str, text: str, window: int) -> Broadcast:
+    """The automaton of a block of items, pickled, on all executors."""
+    pairs = block.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), utf8(text)).collect()
+    return block.sparkSession.sparkContext.broadcast(pickle.dumps(ItemAutomaton([(a, words(bytes(b))) for a, b in pairs], window)))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
     """Columns: id, n_words, spans (array of [start, end) in words), items (sorted array of item ids as text).
 
     The automaton goes to the executors as a broadcast of a size proven beforehand: items beyond ``block_bytes`` of
     text are split into blocks, each with an automaton of its own that all documents pass; spans and items are united.
     """
-    spark = docs.sparkSession
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, _row long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     blocks = _blocks(items, item_id, item_text, block_bytes)
     rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), utf8(text_col).alias("_text"))
@@ -153,8 +159,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         rows = stash(rows)
     parts = []
     for block in blocks:
-        pairs = block.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), utf8(item_text)).collect()
-        model = spark.sparkContext.broadcast(pickle.dumps(ItemAutomaton([(a, words(bytes(b))) for a, b in pairs], window)))
+        model = _shared(block, item_id, item_text, window)
 
         def scan(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             automaton = pickle.loads(model.value)
@@ -201,11 +206,32 @@ def verdict(found: DataFrame, share: int = 20) -> DataFrame:
     return hit.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20) -> DataFrame:
-    """The rows of docs, with all columns, whose share of hit words stays below the limit."""
-    number = "__row__"
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, with all columns, whose share of hit words stays below the limit.
+
+    With one automaton a task drops rows as it reads them. With several, rows get a number, by which the spans of all
+    automata are united first. Both keep the same rows.
+    """
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    if len(blocks) == 1:
+        model = _shared(items, item_id, item_text, window)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = pickle.loads(model.value)
+            for batch in batches:
+                keep = []
+                for x in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()):
+                    sequence = words(x.as_py() or b"")
+                    hit = sum(end - start for start, end in automaton.scan(sequence)[0])
+                    keep.append(hit == 0 or hit * share < len(sequence))
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return map_arrow(docs, clean, docs.schema)
+    number = "row_"
+    while number in map(str.lower, docs.columns):
+        number += "_"
     numbered = stash(docs.withColumn(number, F.monotonically_increasing_id()))
-    bad = verdict(contamination(numbered, items, number, text_col, item_id, item_text, window), share).where("contaminated").select(number)
+    bad = verdict(contamination(numbered, items, number, text_col, item_id, item_text, window, block_bytes), share).where("contaminated").select(number)
     return numbered.join(bad, number, "left_anti").select(*docs.columns)
 
 
@@ -223,8 +249,6 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
-
 QUERIES = {"op8_suffix_automaton": op8_suffix_automaton}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

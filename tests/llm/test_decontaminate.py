@@ -48,6 +48,18 @@ def test_small_windows(spark):
         assert {r["doc_id"]: hashlib.sha256(",".join(r["items"]).encode()).hexdigest() for r in found} == {k: w[3] for k, w in want.items()}
 
 
+def test_dropped_rows(spark):
+    """One automaton and several drop the same rows, null ids, repeated rows and clashing names included."""
+    rows = [(None if k == 2 else k, t, 1, "x") for k, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id int, text string, row_ int, __row__ string")
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    want = sorted((r for r in rows + rows[:2] if not brute(r[1], ITEMS, 4)[4]), key=str)
+    for block_bytes in (1 << 20, 12):
+        kept = decontaminate.drop_contaminated(docs, items, window=4, block_bytes=block_bytes)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == want
+
+
 def test_odd(spark, odd):
     items = spark.createDataFrame([("1", "word word"), ("2", None)], "item_id string, text string")
     found = decontaminate.verdict(decontaminate.contamination(odd, items)).collect()
