@@ -6,7 +6,7 @@ each word the length of the longest match that ends there says which windows end
 
 Defined results: a null text has no words; repeated items and repeated documents count each on their own; an empty
 item table contaminates nothing; items without words never occur. Item ids are compared as text. Documents are
-processed whole, one at a time, in the order they come.
+processed whole at any length, one at a time, in the order they come; an empty table of documents gives none.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ Training reads a bounded sample of labelled rows (``per_class`` rows of each lab
 the curve, the least by a hash of the id). Scoring reads whole texts and nothing else.
 
 Defined results: a null or empty text has difference 0; equal texts score equal; repeated labels of one document count
-once (the least); without labels of both kinds every score is the share of label 1 (0.5 without labels).
+once (the least); texts of any length are compressed whole, block by block; an empty table gives none; without labels of both kinds every score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ with one distinct marker word, 2 with more. A marker is a word far more frequent
 
 Defined results: a null or empty text has no features and gets the base rate; repeated labels of one document count
 once (the greatest); with no labels, or labels of one kind only, no text is toxic and severity is that kind's. Rows
-are scored one by one, so ties and repeated rows get equal scores; an empty table gives none.
+are scored one by one, whole at any length, so ties and repeated rows get equal scores; an empty table gives none.
 """
 
 from __future__ import annotations

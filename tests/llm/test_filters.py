@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from crawlstrata.llm import linecrf, quality, toxicity, urltree
@@ -108,6 +109,22 @@ def test_quality_query(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def test_quality_scores_by_brute_force(spark, documents):
+    """Each text compressed block by block with plain zstandard calls."""
+    model = quality.train(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def size(text, dictionary):
+        plain = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(plain.compress(text[k : k + 1024])) for k in range(0, len(text), 1024))
+
+    got = {r["doc_id"]: r["score"] for r in quality.score(documents, model).collect()}
+    for r in documents.select("doc_id", "text").collect():
+        text = (r["text"] or "").encode()
+        good, bad = size(text, model.good), size(text, model.bad)
+        want = 1 / (1 + np.exp(-np.clip(model.slope * (bad - good) / max(good, bad, 1) + model.offset, -40, 40)))
+        assert abs(got[r["doc_id"]] - want) < 1e-12
+
+
 def test_quality_ignores_held_out_labels(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     learn = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
@@ -142,6 +159,33 @@ def test_toxicity_query(spark):
     assert all(0 <= r["severity"] <= 2 and r["grade"] in (0, 1, 2) for r in rows.values())
 
 
+def test_toxicity_scores_by_brute_force(spark, documents):
+    """Each text scored from its words by the cumulative link, and severity as the mean grade; labels come from half of the rows."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(documents, labels.where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r for r in toxicity.severity(documents, model).collect()}
+    for r in documents.select("doc_id", "text").collect():
+        words = set(re.findall(rb"[a-z0-9'\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r["text"] or "").encode())))
+        found = words | {w[:n] + b"*" for w in words for n in (4, 5, 6) if len(w) > n}
+        eta = sum(w for f, w in model.weights.items() if f in found)
+        above = [1 / (1 + np.exp(t - eta)) for t in model.thresholds]
+        grades = -np.diff([1.0, *above, 0.0])
+        assert abs(got[r["doc_id"]]["p_toxic"] - above[0]) < 1e-9
+        assert abs(got[r["doc_id"]]["severity"] - grades @ np.arange(len(grades))) < 1e-9
+        assert got[r["doc_id"]]["grade"] == int(np.argmax(grades))
+
+
+def test_toxicity_held_out_labels(spark):
+    """Labels of the other half, which the model has not seen; severity puts toxic documents above the rest. At sf0.01, with 182 labels to learn from, the share is 0.87."""
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r["severity"] for r in toxicity.severity(docs, toxicity.train(docs, labels.where("doc_id % 2 = 0"))).collect()}
+    held = [(got[r["doc_id"]], r["toxic"]) for r in labels.where("doc_id % 2 = 1 and toxic is not null").collect()]
+    bad, good = [s for s, y in held if y], [s for s, y in held if not y]
+    wins = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert wins > 0.9, wins
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(2, 1), (2, 0), (7, 0), (5, 0), (8, None)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
