@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crawlstrata.llm import bpe, contextmix, decontaminate, linecrf, quality, sharding, simhash, suffixdedup, toxicity, urltree
+from crawlstrata.llm import bpe, contextmix, decontaminate, hardnegatives, linecrf, quality, secretscan, sharding, simhash, suffixdedup, tokenalign, toxicity, urltree
 
-MODULES = (sharding, linecrf, toxicity, urltree, quality, suffixdedup, contextmix, decontaminate, bpe, simhash)
+MODULES = (sharding, linecrf, toxicity, urltree, quality, suffixdedup, contextmix, decontaminate, bpe, simhash, secretscan, tokenalign, hardnegatives)
 
 
 def queries() -> dict:
