@@ -31,7 +31,7 @@ from crawlstrata.llm.bpe import byte_alphabet
 from crawlstrata.llm.common import map_arrow, stash, table, utf8
 
 #: Bytes of text that are aligned together (more, if one text has more).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Pairs in more than one of this many places are joined by broadcast; there are at most this many of them.
 HOT_SHARE = 1000
 
