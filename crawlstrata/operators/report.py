@@ -6,11 +6,12 @@ import time
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlstrata.functions.keys import mime_group
 from crawlstrata.functions.urls import with_target
+from crawlstrata.operators import ranges
 from crawlstrata.plans.search import SearchRequest, search
 
 SUMS = {"content_length": "cle", "payload_length": "ple", "record_length": "rle"}
@@ -45,10 +46,16 @@ def totals(captures: DataFrame, suffixes: DataFrame) -> DataFrame:
 
 
 def collapsed_target_captures(captures: DataFrame, seconds: int = 5) -> DataFrame:
-    """One row, ``n``: captures of a host's root page, without those within ``seconds`` of the previous one."""
-    order = Window.partitionBy("host", "path").orderBy("key")
-    gap = F.col("unix") - F.lag("unix").over(order)
-    return captures.where("path = '/'").select(gap.alias("gap")).agg(F.count(F.when(F.col("gap").isNull() | (F.col("gap") > seconds), 1)).alias("n"))
+    """One row, ``n``: captures of a host's root page, without those within ``seconds`` of the previous one.
+
+    Root pages are put in order by ranges of (host, key); the first one of a range looks back to the last one of an earlier range.
+    """
+    scope = ["host"]
+    roots = ranges.spread(captures.where("path = '/'").select("host", "key", "unix"), scope, ["key"])
+    edge = ranges.carried(roots, scope, {"_last": F.max_by("unix", "key")}, {"_earlier": ("_last", "last")})
+    behind = roots.withColumn("_behind", F.lag("unix").over(ranges.within(scope).orderBy("key")))
+    gap = F.col("unix") - F.coalesce("_behind", "_earlier")
+    return ranges.with_carried(behind, edge, scope).select(gap.alias("gap")).agg(F.count(F.when(F.col("gap").isNull() | (F.col("gap") > seconds), 1)).alias("n"))
 
 
 def report_data(captures: DataFrame, suffixes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlstrata.functions import urls
+from crawlstrata.operators import ranges
+from crawlstrata.scratch import written
 
 #: Status codes that redirect.
 REDIRECTS = (301, 302, 307, 308)
@@ -34,40 +36,51 @@ def scoped(requests: DataFrame, url: str = "url") -> DataFrame:
     return requests.withColumn("_scope", parts).select("*", "_scope.host", "_scope.path", "_scope.psu").drop("_scope")
 
 
+def _united(requests: DataFrame, captures: DataFrame, scope: list[str], request: Column, capture: Column) -> DataFrame:
+    """Requests (side 0) and the captures that they may want (side 1), in ranges of URL and time."""
+    held = ranges.asked_only(captures, requests, scope)
+    asked = requests.select(*scope, F.col("at").alias("_t"), F.lit(0).alias("_side"), F.lit("").alias("_key"), F.xxhash64(*requests.columns).alias("_tie"), request.alias("_request"))
+    held = held.select(*scope, F.col("unix").alias("_t"), F.lit(1).alias("_side"), F.col("key").alias("_key"), F.lit(0).cast("long").alias("_tie"), capture.alias("_capture"))
+    return ranges.spread(asked.unionByName(held, allowMissingColumns=True), scope, ["_t", "_side", "_key", "_tie"])
+
+
 def closest(requests: DataFrame, captures: DataFrame, verbatim: bool = False, answer: tuple[str, ...] = ("rid", "key", "ref", "unix")) -> DataFrame:
     """The capture nearest in time of each request (host, path, psu and instant ``at`` in seconds); nulls where there is none.
 
-    Adds a struct ``nearest`` of the answer columns. Requests and captures are united and sorted once by URL and time, so
-    the cost does not grow with requests times captures of a URL. Forward wins only if it is strictly nearer.
+    Adds a struct ``nearest`` of the answer columns. Only captures of asked URLs are shuffled. They and the requests are united and put
+    in order once by ranges of URL and time, so that a URL with a third of all captures is split over tasks; the capture before the first
+    and after the last one of a range comes from its neighbours. Forward wins only if it is strictly nearer.
     """
     scope = ["host", "path", *(["psu"] if verbatim else [])]
     columns = list(dict.fromkeys([*answer, "unix", "key"]))
-    asked = requests.select(*scope, F.col("at").alias("_t"), F.lit(0).alias("_side"), F.lit("").alias("_key"), F.struct(*requests.columns).alias("_request"))
-    held = captures.select(*scope, F.col("unix").alias("_t"), F.lit(1).alias("_side"), F.col("key").alias("_key"), F.struct(*columns).alias("_capture"))
-    both = asked.unionByName(held, allowMissingColumns=True)
-    up = Window.partitionBy(*scope).orderBy("_t", "_side", "_key").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*scope).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_key")).rowsBetween(Window.unboundedPreceding, 0)
+    both = _united(requests, captures, scope, F.struct(*requests.columns), F.struct(*columns))
+    place = F.when(F.col("_side") == 1, F.struct("_t", "_key"))
+    edge = ranges.carried(both, scope, {"_first": F.min_by("_capture", place), "_last": F.max_by("_capture", place)}, {"_earlier": ("_last", "last"), "_later": ("_first", "first")})
+    up = ranges.within(scope).orderBy("_t", "_side", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    down = ranges.within(scope).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_key")).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_before", F.last("_capture", ignorenulls=True).over(up)).withColumn("_after", F.last("_capture", ignorenulls=True).over(down))
+    seen = ranges.with_carried(seen.where("_side = 0"), edge, scope)
+    seen = seen.select("_request", "_t", F.coalesce("_before", "_earlier").alias("_before"), F.coalesce("_after", "_later").alias("_after"))
     back, ahead = F.col("_t") - F.col("_before.unix"), F.col("_after.unix") - F.col("_t")
     forward = F.col("_before").isNull() | (ahead < back)
     nearest = F.when(F.col("_after").isNotNull() & forward, F.col("_after")).otherwise(F.col("_before"))
-    return seen.where("_side = 0").select("_request.*", nearest.alias("nearest"))
+    return seen.select("_request.*", nearest.alias("nearest"))
 
 
 def closest_k(requests: DataFrame, captures: DataFrame, k: int, verbatim: bool = False) -> DataFrame:
     """The k nearest captures of each request, with ``rank`` from 1. Requests have a column ``request``.
 
-    Captures of a URL are numbered in time; a request between two of them can only want the k numbers on either side, so
-    it is joined with 2k captures at most, however many its URL has.
+    Captures of a URL are numbered in time, range by range; a request between two of them can only want the k numbers on either side,
+    so it is joined with 2k captures at most, however many its URL has.
     """
     scope = ["host", "path", *(["psu"] if verbatim else [])]
-    asked = requests.select(*scope, F.col("at").alias("_t"), F.lit(0).alias("_side"), F.lit("").alias("_key"), "request")
-    held = captures.select(*scope, F.col("unix").alias("_t"), F.lit(1).alias("_side"), F.col("key").alias("_key"), "rid")
-    order = Window.partitionBy(*scope).orderBy("_t", "_side", "_key").rowsBetween(Window.unboundedPreceding, 0)
-    both = asked.unionByName(held, allowMissingColumns=True).withColumn("_number", F.sum("_side").over(order))
+    both = _united(requests.select(*scope, "at", "request"), captures, scope, F.col("request"), F.col("rid"))
+    edge = ranges.carried(both, scope, {"_n": F.sum("_side")}, {"_passed": ("_n", "sum")})
+    order = ranges.within(scope).orderBy("_t", "_side", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    both = ranges.with_carried(both.withColumn("_own", F.sum("_side").over(order)), edge, scope).withColumn("_number", F.col("_own") + F.coalesce("_passed", F.lit(0)))
     numbers = F.sequence(F.greatest(F.col("_number") - (k - 1), F.lit(1)), F.col("_number") + k)
-    wanted = both.where("_side = 0").select(*scope, "request", F.col("_t").alias("at"), F.explode(numbers).alias("_number"))
-    found = wanted.join(both.where("_side = 1").select(*scope, "_number", F.col("_t").alias("unix"), F.col("_key").alias("key"), "rid"), [*scope, "_number"])
+    wanted = both.where("_side = 0").select(*scope, F.col("_request").alias("request"), F.col("_t").alias("at"), F.explode(numbers).alias("_number"))
+    found = wanted.join(both.where("_side = 1").select(*scope, "_number", F.col("_t").alias("unix"), F.col("_key").alias("key"), F.col("_capture").alias("rid")), [*scope, "_number"])
     later = F.col("unix") >= F.col("at")
     nearest = Window.partitionBy("request").orderBy(F.abs(F.col("unix") - F.col("at")), later, F.when(later, F.col("key")).asc(), F.when(~later, F.col("key")).desc())
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("request", "rank", "rid", "key")
@@ -81,9 +94,11 @@ def resolve_revisits(captures: DataFrame, among: DataFrame | None = None) -> Dat
     """
     revisits = captures.where("srt = 'revisit'")
     if among is not None:
-        revisits = revisits.join(among.select("rid").distinct(), "rid", "left_semi")
+        revisits = ranges.asked_only(revisits, among, ["rid"]).join(among.select("rid").distinct(), "rid", "left_semi")
     revisits = revisits.select("rid", "roi", "rou", F.coalesce(F.unix_timestamp("rod"), F.col("unix")).alias("at"))
-    by_id = revisits.where("roi is not null").join(captures.select(F.col("rid").alias("roi"), F.col("rid").alias("original"), F.col("ref").alias("original_ref")), "roi", "left")
+    named = revisits.where("roi is not null")
+    originals = ranges.asked_only(captures.select(F.col("rid").alias("roi"), F.col("rid").alias("original"), F.col("ref").alias("original_ref")), named, ["roi"])
+    by_id = named.join(originals, "roi", "left")
     by_id = by_id.select("rid", "original", "original_ref", F.when(F.col("original").isNull(), "not_found").otherwise("ok").alias("outcome"))
     dated = revisits.where("roi is null and rou is not null")
     found = closest(scoped(dated, "rou").select("rid", "at", "host", "path", "psu"), captures.where("srt <> 'revisit' or roi is not null"), verbatim=True)
@@ -105,7 +120,7 @@ def resolve_redirects(captures: DataFrame, location: str = "location", among: Da
     """For redirects (those with a rid of ``among``, if given): rid, target (absolute URL), nearest (rid of its capture nearest in time), outcome (ok, not_found)."""
     asked = captures.where(F.col("hsc").isin(*REDIRECTS) & F.col(location).isNotNull())
     if among is not None:
-        asked = asked.join(among.select("rid").distinct(), "rid", "left_semi")
+        asked = ranges.asked_only(asked, among, ["rid"]).join(among.select("rid").distinct(), "rid", "left_semi")
     asked = asked.select("rid", urls.absolute_location("uri", location).alias("target"), F.col("unix").alias("at"))
     found = closest(scoped(asked, "target"), captures, verbatim=True)
     return found.select("rid", "target", F.col("nearest.rid").alias("nearest"), F.when(F.col("nearest").isNull(), "not_found").otherwise("ok").alias("outcome"))
@@ -118,7 +133,7 @@ def replay_plan(requests: DataFrame, captures: DataFrame, location: str = "locat
     revisits and redirects that are hit are resolved. Outcomes: ok, not_found, refers_to_not_found, redirect, redirect_not_found, error.
     """
     asked = scoped(requests.select("request", "url", "at"))
-    hit = closest(asked, captures, verbatim=True, answer=("rid", "ref", "srt", "hsc")).select("request", "at", F.col("nearest.rid").alias("rid"), F.col("nearest.ref").alias("ref"), F.col("nearest.srt").alias("srt"), F.col("nearest.hsc").alias("hsc"))
+    hit = written(closest(asked, captures, verbatim=True, answer=("rid", "ref")).select("request", F.col("nearest.rid").alias("rid"), F.col("nearest.ref").alias("ref")))
     hits = hit.where("rid is not null").select("rid")
     originals = resolve_revisits(captures, hits).withColumnRenamed("outcome", "revisit_outcome")
     jumps = resolve_redirects(captures, location, hits).select("rid", F.col("nearest").alias("jump"), F.col("outcome").alias("jump_outcome"))

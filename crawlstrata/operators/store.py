@@ -25,13 +25,18 @@ def new_or_changed(files: DataFrame, indexed: DataFrame) -> DataFrame:
     return files.join(indexed.select("name", "size", "last_modified"), ["name", "size", "last_modified"], "left_anti").select(*files.columns)
 
 
+def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row for each key: that of the greatest order."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)])).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*rows.columns)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row for each key: that of the greatest order, and among equal ones a new row before an old one."""
     columns = old.columns
     both = old.select("*", F.lit(0).alias("_new")).unionByName(new.select(*columns, F.lit(1).alias("_new")))
-    rest = [c for c in columns if c != key]
-    last = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("_new").alias("new"))).alias("_last"))
-    return last.select(key, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*columns)
+    return latest(both, [key], [*order, F.col("_new")]).select(*columns)
 
 
 def upsert_captures(old: DataFrame, new: DataFrame, max_key_bytes: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""WARC files as a DataFrame: a Python data source with one partition per file, and columns from its records.
+"""WARC files as a DataFrame: tasks that read files of about equal bytes, and columns from their records.
 
 A file is streamed; offsets are those of the gzip member (or of the plain record), lengths run to the next record or to the
 end of the file. A read error ends a file: the records before it stay, and one row tells the error.
@@ -10,24 +10,26 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from crawlstrata.functions.urls import ssurt, url_ok
+from crawlstrata.operators import ranges
+from crawlstrata.scratch import written
 from crawlstrata.shipping import ship
+from crawlstrata.sources.files import file_info, file_system
 
 SCHEMA = "path string, filename string, offset long, length long, type string, headers map<string,string>, block binary, error string"
 CHUNK = 1 << 20
+#: Bytes of files that a task reads, and bytes and rows that it hands over at once.
+TASK_BYTES, BATCH_BYTES, BATCH_ROWS = 256 << 20, 16 << 20, 1000
 
 
 def open_stream(path: str):
     """A readable binary file: a local path or any URI that Arrow's file systems open."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file(path)
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    system, inner = file_system(path)
     return system.open_input_file(inner)
 
 
@@ -142,43 +144,49 @@ def read_records(s: _Plain) -> Iterator[Record]:
         yield Record(offset, headers.get("warc-type", ""), headers, b"".join(parts))
 
 
+def file_rows(path: str) -> Iterator[tuple]:
+    """Rows (SCHEMA) of one file."""
+    name = path.rsplit("/", 1)[-1]
+    held: Record | None = None
+    size, error = 0, None
+
+    def row(r: Record, end: int) -> tuple:
+        return (path, name, r.offset, end - r.offset, r.type, r.headers, r.block, None)
+
+    try:
+        with open_stream(path) as f:
+            size = f.size()
+            for record in read_records(_stream(f)):
+                if held:
+                    yield row(held, record.offset)
+                held = record
+    except (OSError, ValueError, EOFError, zlib.error) as e:
+        error = str(e)
+    if held:
+        yield row(held, size)
+    if error is not None:
+        yield (path, name, None, None, None, None, None, error)
+
+
 @dataclass
-class _File(InputPartition):
-    path: str
+class _Files(InputPartition):
+    paths: list[str]
 
 
 class _WarcReader(DataSourceReader):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
 
-    def partitions(self) -> list[_File]:
-        return [_File(p) for p in self.paths]
+    def partitions(self) -> list[_Files]:
+        return [_Files([p]) for p in self.paths]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        path = partition.path
-        name = path.rsplit("/", 1)[-1]
-        with open_stream(path) as f:
-            size = f.size()
-            held: Record | None = None
-            try:
-                for record in read_records(_stream(f)):
-                    if held:
-                        yield self._row(path, name, held, record.offset)
-                    held = record
-                error = None
-            except (ValueError, EOFError, zlib.error) as e:
-                error = str(e)
-            if held:
-                yield self._row(path, name, held, size)
-            if error:
-                yield (path, name, None, None, None, None, None, error)
-
-    def _row(self, path: str, name: str, r: Record, end: int) -> tuple:
-        return (path, name, r.offset, end - r.offset, r.type, r.headers, r.block, None)
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            yield from file_rows(path)
 
 
 class WarcSource(DataSource):
-    """Format ``warc``; the option ``paths`` holds the files, one a line."""
+    """Format ``warc`` for a few files, each a partition; the option ``paths`` holds them, one a line."""
 
     @classmethod
     def name(cls) -> str:
@@ -191,11 +199,56 @@ class WarcSource(DataSource):
         return _WarcReader([p for p in self.options.get("paths", "").split("\n") if p])
 
 
-def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All records of the files, and a row with ``error`` for each broken file."""
+def packed(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Files (path, size) dealt to tasks of about equal bytes: column ``task``, from 0, and ``tasks``, how many there are.
+
+    Files are put in order by size, the biggest first, and dealt forth and back, so that loads differ by little more than one file.
+    A task gets about ``task_bytes``, or less where the cores would not all have work.
+    """
+    spark = files.sparkSession
+    total, n = files.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, min(n, max(-(-total // task_bytes), spark.sparkContext.defaultParallelism)))
+    parts = ranges.spread(files.select("path", (-F.col("size")).alias("_less")), [], ["_less", "path"])
+    # One row for each part.
+    counts = parts.groupBy(ranges.PART).agg(F.count("*").alias("_n"))
+    before = counts.select(ranges.PART, (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(ranges.PART)) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(ranges.PART).orderBy("_less", "path")) - 1
+    at = parts.withColumn("_place", place).join(F.broadcast(before), ranges.PART).withColumn("_place", F.col("_place") + F.col("_before"))
+    turn, seat = F.floor(F.col("_place") / tasks), F.col("_place") % tasks
+    return at.select("path", (-F.col("_less")).alias("size"), F.when(turn % 2 == 0, seat).otherwise(tasks - 1 - seat).cast("int").alias("task"), F.lit(tasks).alias("tasks"))
+
+
+def read_warc(spark: SparkSession, files: DataFrame | list[str], task_bytes: int = TASK_BYTES) -> DataFrame:
+    """All records of the files (paths, or a table with a column path), and a row with ``error`` for each broken or missing file."""
     ship(spark)
-    spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("paths", "\n".join(paths)).load()
+    paths = spark.createDataFrame([(p,) for p in files], "path string") if isinstance(files, list) else files.select("path")
+    if isinstance(files, list) or "size" not in files.columns:
+        known = file_info(paths).select("path", "size").distinct()
+        files = paths.join(known, "path", "left").select("path", F.coalesce("size", F.lit(0)).alias("size"))
+    dealt = written(packed(files, task_bytes))
+    first = dealt.select("tasks").first()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for row in file_rows(path):
+                    rows.append(row)
+                    size += len(row[6] or b"")
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield _rows(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _rows(rows)
+
+    return dealt.repartitionById(first[0] if first else 1, "task").select("path").mapInArrow(read, SCHEMA)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+    columns = list(zip(*rows, strict=True))
+    columns[5] = [None if h is None else list(h.items()) for h in columns[5]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f"c{k}" for k in range(len(types))])
 
 
 def http_records(records: DataFrame) -> DataFrame:

@@ -1,119 +1,309 @@
 """Continuous indexing: a stream of WARC paths into the tables captures, ids and files, and a streaming table of contents.
 
-A batch writes its own captures, sorted by key, and the file table below the next number, and then a file ``current-<number>``
-that makes them count; what is there already is not written again. Readers merge the batches by key, the last write winning;
-``compact`` writes the merged table, so that few batches are left to merge. A batch that is delivered again finds its files
-indexed and changes nothing.
+An index is a folder with a log. A batch writes its captures and its files below a folder of its own and then an entry of the
+log, whose number no other writer can take as well: a writer that comes second takes the next number. So writers need no lock, and
+none loses a batch. The entry of a stream's batch names it, and a batch that is delivered again changes nothing.
+
+Of each key and file one row is kept, and the last write of a key wins when the table is read. An entry that replaces files hides
+their earlier rows, so that rows of other files that had lost their key to them come back.
+
+``compact`` folds batches into segments: sorted files of one key range each, named in a manifest. Only the segments whose range has
+new keys (or rows of replaced files) are written again. Readers merge the rows of pending batches with segments by key, and
+only where a pending key or a replaced file touches them; without pending batches they read the segments' winning rows as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import bisect
+import json
+import os
+import re
+import uuid
+import zlib
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crawlstrata.functions.keys import with_keys
 from crawlstrata.operators import lists, store
+from crawlstrata.scratch import drop, hadoop, written
+from crawlstrata.sources.files import file_info
 from crawlstrata.sources.warc import http_records, read_warc, to_captures
 
+#: Rows of a segment, about.
+SEGMENT_ROWS = 1_000_000
+
+
+@dataclass
+class State:
+    """The index after entry ``number``: the last fold, and the batches that are not in it."""
+
+    number: int = 0
+    fold: dict = field(default_factory=dict)
+    pending: list[dict] = field(default_factory=list)
+    streams: dict[str, int] = field(default_factory=dict)
+
+
+def _local(system, p) -> str | None:
+    return p.toUri().getPath() if system.getUri().getScheme() == "file" else None
+
 
-def _hadoop(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+def publish(spark: SparkSession, base: str, number: int, entry: dict) -> bool:
+    """Make an entry the one of its number, whole and at once; False if that number is taken."""
+    p, system = hadoop(spark, f"{base}/log/{number:012d}.json")
+    text = json.dumps(entry)
+    local = _local(system, p)
+    if local:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        draft = f"{os.path.dirname(local)}/.{uuid.uuid4().hex}"
+        with open(draft, "w") as f:
+            f.write(text)
+        try:
+            os.link(draft, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    draft, _ = hadoop(spark, f"{base}/log/.{uuid.uuid4().hex}")
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    # Such file systems refuse to rename onto a file.
+    done = system.rename(draft, p)
+    if not done:
+        system.delete(draft, False)
+    return done
 
 
-def _numbers(spark: SparkSession, base: str, mark: str) -> list[int]:
-    p, system = _hadoop(spark, base)
+def _entry(spark: SparkSession, base: str, number: int) -> dict:
+    p, system = hadoop(spark, f"{base}/log/{number:012d}.json")
+    local = _local(system, p)
+    if local:
+        with open(local) as f:
+            return json.load(f)
+    stream = system.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def state(spark: SparkSession, base: str) -> State:
+    """The log, read back to the last fold and to the first batch that it leaves out."""
+    p, system = hadoop(spark, f"{base}/log")
     if not system.exists(p):
-        return []
+        return State()
     names = [s.getPath().getName() for s in system.listStatus(p)]
-    return [int(n[len(mark) + 1 :]) for n in names if n.startswith(f"{mark}-")]
+    numbers = sorted((int(n[:12]) for n in names if re.fullmatch(r"[0-9]{12}\.json", n)), reverse=True)
+    out = State(max(numbers, default=0))
+    for n in numbers:
+        if out.fold and n <= out.fold["upto"]:
+            break
+        entry = _entry(spark, base, n) | {"number": n}
+        if entry["kind"] == "fold":
+            out.fold = out.fold or entry
+        else:
+            out.pending.insert(0, entry)
+    out.streams = dict(out.fold.get("streams", {}))
+    for e in out.pending:
+        if e.get("stream"):
+            out.streams[e["stream"]] = max(e["batch"], out.streams.get(e["stream"], -1))
+    return out
 
 
-def _mark(spark: SparkSession, base: str, mark: str, n: int) -> None:
-    p, system = _hadoop(spark, f"{base}/{mark}-{n}")
-    system.create(p, True).close()
+def current(spark: SparkSession, base: str) -> int:
+    """Number of the last entry; 0 if there is none."""
+    return state(spark, base).number
 
 
-def current(spark: SparkSession, base: str) -> int:
-    """Number of the last batch; 0 if there is none."""
-    return max(_numbers(spark, base, "current"), default=0)
+def _segments(spark: SparkSession, s: State) -> DataFrame | None:
+    """The manifest: low (least key), path and rows of each segment."""
+    return spark.read.parquet(s.fold["manifest"]) if s.fold.get("manifest") else None
+
+
+def _segment_rows(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    return spark.read.parquet(*paths) if paths else None
+
+
+def _pending(spark: SparkSession, s: State) -> tuple[DataFrame | None, DataFrame | None]:
+    """Captures of pending batches with the number of their entry, and replaced files (filename, _gone: the entry before which their rows go)."""
+    rows = gone = None
+    for e in s.pending:
+        mine = spark.read.parquet(f"{e['data']}/captures").withColumn("_n", F.lit(e["number"]).cast("long"))
+        rows = mine if rows is None else rows.unionByName(mine)
+        if e["replace"]:
+            files = spark.read.parquet(f"{e['data']}/files").select(F.col("name").alias("filename"), F.lit(e["number"]).cast("long").alias("_gone"))
+            gone = files if gone is None else gone.unionByName(files)
+    return rows, gone and gone.groupBy("filename").agg(F.max("_gone").alias("_gone"))
+
+
+def _alive(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    if gone is None:
+        return rows
+    return rows.join(gone, "filename", "left").where(F.col("_gone").isNull() | (F.col("_n") >= F.col("_gone"))).drop("_gone")
+
+
+#: The order of writes of a key, and the order of rows of a key in one file.
+WRITES = ("file_time", "filename", "offset", "_n")
+IN_FILE = ("file_time", "offset", "_n")
 
 
 def load(spark: SparkSession, base: str, table: str) -> DataFrame | None:
-    """The table captures, ids or files as of the last batch; None before the first."""
-    n = current(spark, base)
-    if not n:
+    """The table captures, ids or files as of now; None before the first batch."""
+    s = state(spark, base)
+    if not s.number:
         return None
     if table == "files":
-        return spark.read.parquet(f"{base}/v{n}/files")
-    whole = max((k for k in _numbers(spark, base, "compacted") if k <= n), default=0)
-    paths = [f"{base}/v{whole}/compacted"] * (whole > 0) + [f"{base}/v{k}/captures" for k in range(whole + 1, n + 1)]
-    rows = spark.read.parquet(*paths)
-    if len(paths) > 1:
-        rows = store.upsert_captures(rows.limit(0), rows)
+        parts = [spark.read.parquet(s.fold["files"]).withColumn("_n", F.lit(0).cast("long"))] if s.fold.get("files") else []
+        parts += [spark.read.parquet(f"{e['data']}/files").withColumn("_n", F.lit(e["number"]).cast("long")) for e in s.pending]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return store.latest(rows, ["name"], [F.col("_n")]).drop("_n")
+    manifest = _segments(spark, s)
+    held = _segment_rows(spark, [r["path"] for r in manifest.collect()] if manifest else [])
+    new, gone = _pending(spark, s)
+    if new is None:
+        if held is None:
+            return spark.read.parquet(s.fold["empty"]) if table == "captures" else lists.ids(spark.read.parquet(s.fold["empty"]))
+        rows = held.where("_wins")
+    elif held is None:
+        rows = store.latest(_alive(new, gone), ["key"], [F.col(c) for c in WRITES])
+    else:
+        touched = new.select("key")
+        if gone is not None:
+            touched = touched.union(held.join(gone, "filename", "left_semi").select("key"))
+        touched = touched.distinct()
+        calm = held.where("_wins").drop("_wins").join(touched, "key", "left_anti")
+        other = held.drop("_wins").join(touched, "key", "left_semi")
+        rows = calm.unionByName(store.latest(_alive(other.unionByName(new), gone), ["key"], [F.col(c) for c in WRITES]))
+    rows = rows.drop("_n", "_wins")
     return lists.ids(rows) if table == "ids" else rows
 
 
-def compact(spark: SparkSession, base: str, files: int | None = None) -> None:
-    """Write the merged captures as one table sorted by key."""
-    n, rows = current(spark, base), load(spark, base, "captures")
-    if rows is not None and n not in _numbers(spark, base, "compacted"):
-        store.write_captures(rows, f"{base}/v{n}/compacted", files)
-        _mark(spark, base, "compacted", n)
+def _finder(lows: list[str]):
+    """A column function: the segment of a key, by the least keys of all segments."""
 
+    @F.pandas_udf("int")
+    def find(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: max(0, bisect.bisect_right(lows, k) - 1)).astype("int32")
 
-def file_info(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """name, path, size and last_modified of files that exist."""
-    rows = []
-    for path in paths:
-        p, system = _hadoop(spark, path)
-        if system.exists(p):
-            s = system.getFileStatus(p)
-            rows.append((p.getName(), path, int(s.getLen()), s.getModificationTime() / 1000))
-    return spark.createDataFrame(rows, "name string, path string, size long, m double").select("name", "path", "size", F.timestamp_micros((F.col("m") * 1e6).cast("long")).alias("last_modified"))
+    return find
 
 
-def index_files(spark: SparkSession, base: str, paths: list[str], includes: list[str] | None = None, excludes: list[str] | None = None, max_key_bytes: int | None = None, replace_file: bool = False) -> int:
-    """Index the files that are new or changed; the number of them. Paths of one batch are bounded by the trigger."""
-    files = store.match_files(file_info(spark, paths), includes, excludes).dropDuplicates(["name"])
+def compact(spark: SparkSession, base: str, segment_rows: int = SEGMENT_ROWS) -> int:
+    """Fold pending batches into the segments that they touch; the number of old segments written again (0 too if there is nothing to do).
+
+    The manifest has one row for each segment, that is one for about ``segment_rows`` captures, and passes through the driver.
+    """
+    s = state(spark, base)
+    if not s.pending:
+        return 0
+    new, gone = _pending(spark, s)
+    known = _segments(spark, s)
+    old = sorted((r["low"], r["path"], r["rows"]) for r in known.collect()) if known else []
+    of = _finder([low for low, *_ in old])("key")
+    columns = new.columns
+    touched: list[int] = []
+    if old:
+        asked = new.select(of.alias("segment"))
+        if gone is not None:
+            held = _segment_rows(spark, [p for _, p, _ in old])
+            asked = asked.union(held.join(gone, "filename", "left_semi").select(of.alias("segment")))
+        touched = sorted(r["segment"] for r in asked.distinct().collect())
+    held = _segment_rows(spark, [old[k][1] for k in touched])
+    both = new if held is None else held.select(*columns).unionByName(new)
+    kept = store.latest(_alive(both, gone), ["key", "filename"], [F.col(c) for c in IN_FILE])
+    last = Window.partitionBy("key").orderBy(*[F.desc(c) for c in WRITES])
+    kept = written(kept.withColumn("_wins", F.row_number().over(last) == 1).withColumn("segment", of))
+    data = f"{base}/data/{uuid.uuid4().hex}"
+    parts = max(1, -(-kept.count() // segment_rows))
+    kept.repartitionByRange(parts, "segment", "key").sortWithinPartitions("segment", "key").write.partitionBy("segment").parquet(f"{data}/segments")
+    drop(kept)
+    fresh = spark.read.schema("key string").parquet(f"{data}/segments").groupBy(F.input_file_name().alias("path")).agg(F.min("key").alias("low"), F.count("*").alias("rows")).select("low", "path", "rows")
+    calm = spark.createDataFrame([x for k, x in enumerate(old) if k not in set(touched)], "low string, path string, rows long")
+    calm.unionByName(fresh).coalesce(1).write.parquet(f"{data}/manifest")
+    some = spark.read.parquet(f"{data}/manifest").isEmpty()
+    new.drop("_n").limit(0).write.parquet(f"{data}/empty")
+    load(spark, base, "files").write.parquet(f"{data}/files")
+    entry = {"kind": "fold", "upto": s.pending[-1]["number"], "manifest": None if some else f"{data}/manifest", "empty": f"{data}/empty", "files": f"{data}/files", "streams": s.streams}
+    number = s.number + 1
+    while not publish(spark, base, number, entry):
+        now = state(spark, base)
+        if now.fold != s.fold:  # another fold was first; this one's tables are of no use
+            p, system = hadoop(spark, data)
+            system.delete(p, True)
+            return 0
+        number = now.number + 1
+    return len(touched)
+
+
+def clear(spark: SparkSession, base: str) -> None:
+    """Empty the index: captures, ids and files of all entries so far. Their tables stay on disk."""
+    s = state(spark, base)
+    if not s.number:
+        return
+    data = f"{base}/data/{uuid.uuid4().hex}"
+    for t in ("captures", "files"):
+        load(spark, base, t).limit(0).write.parquet(f"{data}/{'empty' if t == 'captures' else t}")
+    entry = {"kind": "fold", "upto": s.number, "manifest": None, "empty": f"{data}/empty", "files": f"{data}/files", "streams": s.streams}
+    number = s.number + 1
+    while not publish(spark, base, number, entry):
+        number = current(spark, base) + 1
+
+
+def index_files(spark: SparkSession, base: str, paths: DataFrame | list[str], includes: list[str] | None = None, excludes: list[str] | None = None, max_key_bytes: int | None = None, replace_file: bool = False, stream: str | None = None, batch: int = 0) -> int:
+    """Index the files (paths, or a table with a column path) that are new or changed; the number of them.
+
+    With ``replace_file`` what a changed file held before goes. ``stream`` and ``batch`` name a batch that may be delivered again.
+    """
+    if stream and state(spark, base).streams.get(stream, -1) >= batch:
+        return 0
+    asked = spark.createDataFrame([(p,) for p in paths], "path string") if isinstance(paths, list) else paths.select("path")
+    files = store.match_files(file_info(asked.distinct()), includes, excludes)
+    files = store.latest(files, ["name"], [F.col("last_modified"), F.col("path")])
     known = load(spark, base, "files")
-    fresh = store.new_or_changed(files, known) if known is not None else files
-    todo = [r["path"] for r in fresh.select("path").collect()]
-    if not todo:
+    fresh = written(store.new_or_changed(files, known) if known is not None else files)
+    n = fresh.count()
+    if not n:
+        drop(fresh)
         return 0
-    fresh = files.where(F.col("path").isin(todo))
     times = fresh.select(F.col("name").alias("filename"), F.col("last_modified").alias("file_time"))
-    rows = with_keys(to_captures(http_records(read_warc(spark, todo)))).join(F.broadcast(times), "filename")
-    n = current(spark, base) + 1
-    at = f"{base}/v{n}"
-    old = load(spark, base, "captures") if replace_file else None
-    if old is not None:
-        # Other rows of these files go, so what is left is written whole.
-        kept = old.join(times.select("filename"), "filename", "left_anti").select(*old.columns)
-        store.write_captures(store.upsert_captures(kept, rows.select(*old.columns), max_key_bytes), f"{at}/compacted")
-    else:
-        store.write_captures(store.upsert_captures(rows.limit(0), rows, max_key_bytes), f"{at}/captures")
-    (fresh if known is None else store.upsert_files(known, fresh)).write.mode("overwrite").parquet(f"{at}/files")
-    if old is not None:
-        _mark(spark, base, "compacted", n)
-    _mark(spark, base, "current", n)
-    return len(todo)
+    rows = with_keys(to_captures(http_records(read_warc(spark, fresh)))).join(times, "filename")
+    if max_key_bytes:
+        rows = rows.where(F.octet_length("key") <= max_key_bytes)
+    data = f"{base}/data/{uuid.uuid4().hex}"
+    store.write_captures(store.latest(rows, ["key", "filename"], [F.col("offset")]), f"{data}/captures")
+    fresh.write.parquet(f"{data}/files")
+    drop(fresh)
+    entry = {"kind": "batch", "data": data, "replace": replace_file, "stream": stream, "batch": batch}
+    number = current(spark, base) + 1
+    while not publish(spark, base, number, entry):
+        s = state(spark, base)
+        if stream and s.streams.get(stream, -1) >= batch:
+            return 0
+        number = s.number + 1
+    return n
 
 
 def start_indexing(paths: DataFrame, base: str, checkpoint: str, max_wait: str | None = "5 seconds", compact_after: int = 16, **options) -> StreamingQuery:
-    """Index a stream of paths batch by batch; without max_wait what is available, and then stop. After ``compact_after`` batches readers need not merge them any more.
+    """Index a stream of paths batch by batch; without max_wait what is available, and then stop. ``compact_after`` pending batches are folded.
 
-    The size of a batch is set where the stream is read (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    The size of a batch is set where the stream is read (maxFilesPerTrigger, maxOffsetsPerTrigger). Its batches are known by the checkpoint's path.
     """
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}-{checkpoint}"
 
-    def batch(df: DataFrame, _: int) -> None:
+    def index(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        index_files(spark, base, [r["path"] for r in df.distinct().collect()], **options)
-        if current(spark, base) - max(_numbers(spark, base, "compacted"), default=0) >= compact_after:
+        index_files(spark, base, df, stream=stream, batch=batch, **options)
+        if len(state(spark, base).pending) >= compact_after:
             compact(spark, base)
 
-    writer = paths.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = paths.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=max_wait) if max_wait else writer.trigger(availableNow=True)
     return writer.start()
 
