@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.functions.urls import with_target
+from crawlstrata.functions.urls import absolute_location, split_ssurt, ssurt, suffix_rules, with_target
 from crawlstrata.operators import lists, report, resolve, store
 from crawlstrata.plans.search import SearchRequest
 from crawlstrata.queries.fixture import captures, over, read, suffixes
+from crawlstrata.scratch import checkpoint_dir, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -247,3 +250,134 @@ def report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lambda c: F.col(f"data.{c}")
     whole = [d(c).alias(c) for c in ("records", "domains", "targets", "target_captures", "urls", *report.SUMS)]
     return row.select(*whole, d("by_status")["200"].alias("status_200"), d("by_type")["revisit"].alias("type_revisit"), d("by_mime")[""].alias("mime_missing"), d("by_scheme")["https"].alias("scheme_https"))
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> str:
+    """A table of reports: one of all captures, one of errors, and the first once more."""
+    path = f"{checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    held = written(captures(spark, sf_dir).select("host", "path", "psu", "key", "unix", "hsc", "srt", "mct", "cle", "ple", "rle"))
+    for id, filters in (("all", ("=hsc:404",)), ("errors", ("=hsc:404",)), ("all", ())):
+        report.save_report(report.report(held, SearchRequest(filters=filters), suffixes(spark), id=id), path)
+    return path
+
+
+def _brief(reports: DataFrame) -> DataFrame:
+    return reports.select("id", "status", F.col("query")["filters"].alias("filters"), F.col("data.records").alias("records"), F.col("data.urls").alias("urls"))
+
+
+ALL_REPORT = "select 'all' as id, 'COMPLETED' as status, null as filters, count(*) as records, count(distinct host || path) as urls from cap"
+ERROR_REPORT = "select 'errors' as id, 'COMPLETED' as status, '=hsc:404' as filters, count(*) as records, count(distinct host || path) as urls from cap where hsc = 404"
+
+
+@query("list_reports", over(f"{ALL_REPORT} union all {ERROR_REPORT}"))
+def list_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved reports, the latest of each id."""
+    return _brief(lists.list_reports(spark.read.parquet(_saved(spark, sf_dir)), 10))
+
+
+@query("save_report", over(f"{ALL_REPORT} union all {ERROR_REPORT} union all {ERROR_REPORT.replace("'errors'", "'all'")}"))
+def save_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows that saving has written."""
+    return _brief(spark.read.parquet(_saved(spark, sf_dir)))
+
+
+@query("get_report", over(ALL_REPORT))
+def get_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brief(report.get_report(spark, _saved(spark, sf_dir), "all"))
+
+
+@query("delete_report", over(ERROR_REPORT))
+def delete_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _saved(spark, sf_dir)
+    report.delete_report(spark, path, "all", f"{path}-rest")
+    return _brief(spark.read.parquet(f"{path}-rest"))
+
+
+@query("reset_tables", "select 'captures' as \"table\", count(*) as before, 0 as after from events union all select 'ids', count(*), 0 from events union all select 'files', least(40, count(*)), 0 from events")
+def reset_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of stored tables before and after a reset, which leaves their columns."""
+    path = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    held = captures(spark, sf_dir)
+    made = {"captures": held.select("key", "rid", "ref"), "ids": lists.ids(held), "files": files(spark, sf_dir)}
+    for name, df in made.items():
+        df.write.parquet(f"{path}/{name}")
+    before = {name: spark.read.parquet(f"{path}/{name}").count() for name in made}
+    store.reset(spark, path)
+    after = [spark.read.parquet(f"{path}/{name}").select(F.first(df.columns[0])).agg(F.lit(name).alias("table"), F.lit(before[name]).alias("before"), (F.count("*") - 1).alias("after")) for name, df in made.items()]
+    return after[0].unionByName(after[1]).unionByName(after[2])
+
+
+@query("repair_utf8", "select page_id, url, html from pages")
+def repair_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose bytes got a stray byte in the middle or a cut character at the end are as before."""
+    stray = lambda c: F.concat(F.substring(F.col(c).cast("binary"), 1, 5), F.unhex(F.lit("FF")), F.substring(F.col(c).cast("binary"), F.lit(6), F.octet_length(c)))
+    cut = lambda c: F.concat(F.col(c).cast("binary"), F.unhex(F.lit("E282")))
+    broken = lambda c: F.when(F.col("page_id") % 3 == 0, F.col(c).cast("binary")).when(F.col("page_id") % 3 == 1, stray(c)).otherwise(cut(c)).alias(c)
+    return store.repair_utf8(read(spark, sf_dir, "pages").select("page_id", broken("url"), cut("html").alias("html")), ["url", "html"])
+
+
+#: Endings of URLs and redirect targets with dot segments, dealt by page id.
+ENDINGS = ("/a/./b", "/a/../b?x=/../y", "/..", "/a/b/../../../c/", "/a/%2E%2e/b/.", "/a/..b/.../c", "/x/y/z")
+LOCATIONS = ("../up", "./same/../x?y=../z#/../w", "/r/./s/../t", "..", ".", "../../../../top", "plain", "/%2e%2E/k/%2e")
+
+
+def _fold_sql(path: str) -> str:
+    dots = "replace(lower(x), '%2e', '.')"
+    folded = f"list_reduce(list_prepend('', string_split(substr({path}, 2), '/')), lambda a, x: case when {dots} = '..' then regexp_replace(a, '/[^/]*$', '') when {dots} = '.' then a else a || '/' || x end)"
+    return f"({folded} || case when regexp_matches({path}, '(?i)/(\\.|%2e){{1,2}}$') then '/' else '' end)"
+
+
+def _case_sql(values: tuple[str, ...], column: str) -> str:
+    return "case " + " ".join(f"when {column} % {len(values)} = {k} then '{v}'" for k, v in enumerate(values)) + " end"
+
+
+@query(
+    "dot_segments",
+    f"""with p as (select page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as top, {_case_sql(ENDINGS, "page_id")} as ending, {_case_sql(LOCATIONS, "(page_id // 7)")} as loc from pages),
+q as (select *, regexp_extract(ending, '^([^?#]*)', 1) as path, regexp_extract(ending, '^[^?#]*(.*)$', 1) as rest, regexp_extract(loc, '^([^?#]*)', 1) as lpath, regexp_extract(loc, '^[^?#]*(.*)$', 1) as lrest from p),
+f as (select *, {_fold_sql("path")} as folded from q),
+g as (select *, case when starts_with(lpath, '/') then lpath else regexp_replace(folded, '[^/]*$', '') || lpath end as joined from f)
+select page_id, folded || rest as path, top || {_fold_sql("joined")} || lrest as target from g""",
+)
+def dot_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of keys, and redirect targets, of URLs with dot segments."""
+    case = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), case(ENDINGS, F.col("page_id"))).alias("uri"), case(LOCATIONS, F.floor(F.col("page_id") / 7)).alias("location"))
+    return pages.select("page_id", split_ssurt(ssurt("uri")).getField("path").alias("path"), absolute_location("uri", "location").alias("target"))
+
+
+#: A list of suffix rules in the public format: several labels, a wildcard, and an exception to it.
+SUFFIX_LIST = """// rules of the query
+com
+net
+example.net  // registrars sell names below
+org
+*.example.org
+
+// ===BEGIN PRIVATE DOMAINS===
+!www.cheap-pills.example.com
+*.cheap-pills.example.com
+blog.example.com
+// ===END PRIVATE DOMAINS===
+"""
+
+
+def _labels_sql(n: str) -> str:
+    return f"array_to_string(list_slice(labels, -({n}), -1), '.')"
+
+
+@query(
+    "targets_by_list",
+    over("").rstrip()
+    + f""",
+h as (select host, list_reverse(string_split(trim(host, ','), ',')) as labels, array_to_string(list_reverse(string_split(trim(host, ','), ',')), '.') as name from (select distinct host from cap)),
+s as (select *, case when name = 'www.cheap-pills.example.com' or ends_with(name, '.www.cheap-pills.example.com') then 3
+ when len(labels) >= 4 and ends_with(name, '.cheap-pills.example.com') then 4
+ when len(labels) >= 3 and ends_with(name, '.example.org') then 3
+ when name = 'example.net' or ends_with(name, '.example.net') then 2 else 1 end as n from h)
+select host, case when len(labels) <= n then name else {_labels_sql("n + 1")} end as target from s""",
+)
+def targets_by_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered domains under a list with rules of several labels, wildcards and an exception."""
+    rules = suffix_rules(spark.createDataFrame([(SUFFIX_LIST,)], "value string"))
+    return with_target(captures(spark, sf_dir).select("host").distinct(), rules)

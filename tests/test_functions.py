@@ -84,7 +84,7 @@ def test_ranges(spark):
 
 
 def test_rfc3339(spark):
-    assert column(spark, [("2020-01-05T10:44:25Z",), ("2020-01-05T10:44:25.5+01:00",), ("nonsense",)], times.rfc3339_to14("c0")) == ["20200105104425", "20200105094425", None]
+    assert column(spark, [("2011-09-30T21:08:55Z",), ("2011-09-30T21:08:55.5+01:00",), ("nonsense",)], times.rfc3339_to14("c0")) == ["20110930210855", "20110930200855", None]
 
 
 def test_refs(spark):
@@ -98,6 +98,51 @@ def test_locations(spark):
     assert column(spark, [(base, t) for t, _ in rows], urls.absolute_location("c0", "c1")) == [w for _, w in rows]
 
 
+def fold(path):
+    """Dot segments by a stack."""
+    stack, parts = [], path.split("/")[1:]
+    for k, x in enumerate(parts):
+        dots = x.lower().replace("%2e", ".")
+        if dots == "..":
+            stack[-1:] = []
+        elif dots != ".":
+            stack.append(x)
+        if dots in (".", "..") and k == len(parts) - 1:
+            stack.append("")
+    return "/" + "/".join(stack)
+
+
+def test_dot_segments(spark):
+    """All paths of up to four of these segments, in URLs and as locations."""
+    every = ["/" + "/".join(p) for n in range(1, 5) for p in itertools.product(["", ".", "..", "a", "%2E.", "..b", ".%2e%2e"], repeat=n)]
+    assert len(every) > 2500 and fold("/a/../../b/.") == "/b/"
+    assert column(spark, [(p,) for p in every], urls.fold_dots("c0")) == [fold(p) for p in every]
+    some = [p for p in every if not p.startswith("//")][::7]
+    assert column(spark, [(f"http://pear.net{p}?x=/../y#/./z",) for p in some], urls.ssurt("c0")) == [f"net,pear,//:http:{fold(p)}?x=/../y#/./z" for p in some]
+    base = "http://pear.net/k/m/n?q"
+    assert column(spark, [(base, f"{p}?x=/../y") for p in some], urls.absolute_location("c0", "c1")) == [f"http://pear.net{fold(p)}?x=/../y" for p in some]
+    relative = [p[1:] for p in some if p[1:]]
+    assert column(spark, [(base, f"{p}#/../y") for p in relative], urls.absolute_location("c0", "c1")) == [f"http://pear.net{fold('/k/m/' + p)}#/../y" for p in relative]
+    assert column(spark, [("mailto:a/../b",)], urls.ssurt("c0")) == [":mailto:a/../b"]
+
+
+def test_suffix_list(spark):
+    text = "// a comment\n// ===BEGIN ICANN DOMAINS===\ncom\nCO.uk  trailing words\n\n*.ck\r\n!www.ck\n\u516c\u53f8.cn\n// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\npages.dev\n// ===END PRIVATE DOMAINS===\nnet\n"
+    lists = spark.createDataFrame([(text,)], "value string")
+    public = {"com", "co.uk", "*.ck", "!www.ck", "xn--55qx5d.cn", "net"}
+    assert {r["rule"] for r in urls.suffix_rules(lists).collect()} == public | {"pages.dev"}
+    assert {r["rule"] for r in urls.suffix_rules(lists, private=False).collect()} == public
+    assert urls.suffix_rules(lists.limit(0)).collect() == []
+
+
+def test_many_rules_are_not_broadcast(spark, monkeypatch):
+    rules = spark.createDataFrame([("com",), ("uk",), ("co.uk",)], "rule string")
+    df = spark.createDataFrame([("uk,co,bbc,news,",)], "host string")
+    monkeypatch.setattr(urls, "FEW_RULES", 2)
+    found = urls.with_target(df, rules)
+    assert [r["target"] for r in found.collect()] == ["bbc.co.uk"]
+
+
 def test_default_scheme(spark):
     rows = [("example.com/", "http://example.com/"), ("localhost:8080/", "localhost:8080/"), ("HTTP://x", "http://HTTP://x"), ("https://x", "https://x")]
     assert column(spark, [(u,) for u, _ in rows], urls.with_default_scheme("c0")) == [w for _, w in rows]
@@ -111,4 +156,4 @@ def test_targets(spark):
 
 
 def test_url_ok(spark):
-    assert column(spark, [("http://a.com/",), ("http://bücher.de/",), ("http://a.com/%2e%2e/b",), ("http:\\\\a",)], urls.url_ok("c0")) == [True, False, False, False]
+    assert column(spark, [("http://a.com/",), ("http://bücher.de/",), ("http://a.com/%2e%2e/b",), ("http://a%2ecom/",), ("http:\\\\a",)], urls.url_ok("c0")) == [True, False, True, False, False]
