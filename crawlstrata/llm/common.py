@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,20 +9,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from crawlstrata.scratch import checkpoint_dir
+from crawlstrata.scratch import drop, written
 from crawlstrata.shipping import ship
 
+__all__ = ["bounded_sample", "drop", "free_names", "id_crc32", "map_arrow", "stash", "table", "utf8"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write df as Parquet below the shared checkpoint folder and read it again: a cut in the lineage that outlives executors. Zstandard, as texts take the most room."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df as Parquet below the shared checkpoint folder and read it again: a cut in the lineage that outlives executors. ``drop`` removes it when nothing reads it any more."""
+    return written(df)
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names with as many leading underscores as none of the columns begins with (whatever its case)."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return [prefix + n for n in names]
 
 
 def utf8(text: str) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from crawlstrata.llm.common import map_arrow, stash, table, utf8
+from crawlstrata.llm.common import drop, free_names, map_arrow, stash, table, utf8
 
 #: Shingles counted at once, so a very long text takes bounded memory.
 BLOCK = 1 << 16
@@ -115,7 +115,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = stash(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stash(small.where("u <> v").distinct())
+        before, edges = edges, stash(small.where("u <> v").distinct())
+        drop(before, large)
         now = state(edges)
         if now == seen:
             break
@@ -141,7 +142,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows get a number that is written down, so the choice of a row does not depend on how Spark deals the input.
     """
-    number, fp = "__row__", "__fp__"
+    number, fp = free_names(docs.columns, "row", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,8 +20,8 @@ task.
 Texts that are equal as a whole are analysed once; where they are long enough, every copy is repeated elsewhere and goes
 completely.
 
-Defined results: a null text is empty; texts shorter than ``length`` stay; repeated rows are copies of each other;
-an empty table gives none. Removal is judged on the input, not on what is left.
+Defined results: a null text is empty; texts shorter than ``length`` stay; repeated rows are copies of each other; a text of any
+length is analysed whole, in memory in proportion to its length; an empty table gives none; extra columns are kept or left out, whatever their names. Removal is judged on the input, not on what is left.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from crawlstrata.llm.common import map_arrow, stash, table, utf8
+from crawlstrata.llm.common import drop, free_names, map_arrow, stash, table, utf8
 
 #: A difference cover of the numbers modulo 32: every difference occurs between two of these.
 PERIOD, COVER = 32, (0, 1, 2, 3, 7, 11, 19)
@@ -245,9 +245,13 @@ def _pieces(rows: dict[tuple[int, bytes], list], rest: list[tuple], length: int)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "copies", "key", "first", "anchor", "body", "size", "digests"])
 
 
-def _places(named: DataFrame, least_hot: int) -> DataFrame:
-    """Columns: key, copies, k (place in names), name, hot (its bucket is to be split), for buckets of several suffixes. named: key, copies, names."""
-    counts = stash(named.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("m")).where("m > 1"))
+def _counts(named: DataFrame) -> DataFrame:
+    """Columns name, m: buckets of several suffixes and how many they have. named: key, copies, names."""
+    return stash(named.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("m")).where("m > 1"))
+
+
+def _places(named: DataFrame, counts: DataFrame, least_hot: int) -> DataFrame:
+    """Columns: key, copies, k (place in names), name, hot (its bucket is to be split), for buckets of several suffixes."""
     hot = counts.where(F.col("m") > least_hot).select("name")
     places = named.select("key", "copies", F.posexplode("names").alias("k", "name"))
     cold = places.join(counts.where(F.col("m") <= least_hot).select("name"), "name").withColumn("hot", F.lit(False))
@@ -265,8 +269,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
 
     marks = stash(map_arrow(texts, mark, "key binary, n long, names array<long>"))
     distinct = stash(marks.groupBy("key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("names").alias("names")))
+    drop(marks)
     named = distinct.where(F.size("names") > 0)
-    wanted = stash(_places(named, least_hot).groupBy("key").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("k", "hot")).alias("wanted")))
+    counts = _counts(named)
+    wanted = stash(_places(named, counts, least_hot).groupBy("key").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("k", "hot")).alias("wanted")))
+    drop(counts)
     # One row for each distinct text: copies go before the shuffle already.
     found = texts.dropDuplicates(["key"]).join(wanted, "key")
 
@@ -295,6 +302,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
             yield _pieces(rows, rest, length)
 
     pieces = stash(map_arrow(found.select("key", "text", "copies", "wanted"), cut, "name long, copies long, key binary, first long, anchor long, body binary, size long, digests array<binary>"))
+    drop(wanted)
     run = lambda a, n: F.struct(F.col(a).alias("a"), (F.col(a) + n).alias("b"))
     settled = pieces.where("body is null and digests is null").select("key", F.array(run("first", F.col("size"))).alias("spans"))
     windows = pieces.where("digests is not null").select("key", "first", "copies", F.posexplode("digests").alias("k", "digest"))
@@ -322,7 +330,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
     sorted_ = map_arrow(blocks.select("name", "copies", "key", "first", "anchor", "body"), sort, "key binary, spans array<struct<a:long,b:long>>")
     spans = sorted_.unionByName(settled).unionByName(split).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = distinct.where((F.col("copies") > 1) & (F.col("n") >= length)).select("key", F.lit(True).alias("whole"))
-    return stash(spans.join(whole, "key", "full").select("key", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans")))
+    found = stash(spans.join(whole, "key", "full").select("key", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans")))
+    drop(pieces, distinct)
+    return found
 
 
 def cut_spans(text: bytes, whole: bool, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -370,7 +380,8 @@ def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, gr
 
     A character of which a part was removed goes as a whole. A column n_chars, where there is one, is counted anew for changed texts.
     """
-    spans = repeated_spans(docs, text_col, length, gram).select(F.col("key").alias("__key__"), F.col("whole").alias("__whole__"), F.col("spans").alias("__spans__"))
+    key, whole_col, spans_col = free_names(docs.columns, "key", "whole", "spans")
+    spans = repeated_spans(docs, text_col, length, gram).select(F.col("key").alias(key), F.col("whole").alias(whole_col), F.col("spans").alias(spans_col))
     at = docs.columns.index(text_col)
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -391,7 +402,7 @@ def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, gr
                 columns[counted] = pa.array(sizes, columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2]).filter(pa.array(stay, pa.bool_()))
 
-    keyed = docs.withColumn("__key__", F.unhex(F.sha2(utf8(text_col), 256))).join(spans, "__key__", "left").select(*docs.columns, "__whole__", "__spans__")
+    keyed = docs.withColumn(key, F.unhex(F.sha2(utf8(text_col), 256))).join(spans, key, "left").select(*docs.columns, whole_col, spans_col)
     return map_arrow(keyed, apply, docs.schema)
 
 
@@ -432,7 +443,7 @@ def strip_repeated_words(docs: DataFrame, text_col: str = "text", words: int = 5
 
     The search of ``repeated_spans`` runs over word codes. A column n_chars, where there is one, is counted anew for changed texts.
     """
-    length, key, whole_col, spans_col = 4 * words, "__key__", "__whole__", "__spans__"
+    length, (key, whole_col, spans_col) = 4 * words, free_names(docs.columns, "key", "whole", "spans")
     at = docs.columns.index(text_col)
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -468,6 +479,7 @@ def strip_repeated_words(docs: DataFrame, text_col: str = "text", words: int = 5
 
     codes = stash(map_arrow(docs.select(utf8(text_col).alias("_text")), code, "code binary"))
     spans = repeated_spans(codes, "code", length, 32).select(F.col("key").alias(key), F.col("whole").alias(whole_col), F.col("spans").alias(spans_col))
+    drop(codes)
     keyed = map_arrow(docs, sign, StructType([*docs.schema.fields, StructField(key, BinaryType())]))
     return map_arrow(keyed.join(spans, key, "left").select(*docs.columns, whole_col, spans_col), apply, docs.schema)
 

@@ -50,3 +50,17 @@ def test_documents(spark):
     got = {x["doc_id"]: x["text"] or "" for x in S.strip_repeated_words(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert got == {r["doc_id"]: want[r["doc_id"]] for r in rows if want[r["doc_id"]] == (r["text"] or "") or want[r["doc_id"]].strip()}
     assert any(want[r["doc_id"]] != (r["text"] or "") for r in rows)
+
+
+def test_columns_of_any_name_stay(spark):
+    """Input columns with the names of helpers, also with underscores before them, are kept as they are."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(k, f"{word()} {passage} {word()}", "a", True, [k], b"b", 7) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key__ string, __whole__ boolean, __SPANS__ array<int>, _key binary, n_chars int")
+    got = S.strip_repeated_words(df)
+    assert got.columns == df.columns
+    assert sorted((x["doc_id"], x["__key__"], x["__whole__"], x["__SPANS__"], x["_key"], len(x["text"].split())) for x in got.collect()) == [(k, "a", True, [k], b"b", 2) for k in range(2)]
+    long = df.selectExpr("doc_id", "repeat(text, 20) as text", "__key__", "__whole__")
+    assert S.strip_repeats(long).columns == long.columns and S.strip_repeats(long).count() >= 0

@@ -100,12 +100,18 @@ def test_split_bound_does_not_grow(spark, monkeypatch):
     texts = [rnd(40_000) for _ in range(30)] + [rnd(60) + passage + rnd(500) for _ in range(10)]
     sent = []
     places = S._places
-    monkeypatch.setattr(S, "_places", lambda *a: sent.append(places(*a)) or sent[-1])
+
+    def noted(*a):
+        out = places(*a)
+        sent.append(out.collect())  # the tables it reads go later
+        return out
+
+    monkeypatch.setattr(S, "_places", noted)
     monkeypatch.setattr(S.repeated_spans, "__defaults__", ("text", 400, 64, 5))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in S.dedup(df, text=False).collect()}
     assert got == dict(enumerate(expected([t.encode() for t in texts])))
     total = sum(len(S.buckets(t.encode(), 400, 64)) for t in texts)
-    sizes = Counter((x["name"], x["hot"]) for x in sent[0].collect())
+    sizes = Counter((x["name"], x["hot"]) for x in sent[0])
     assert 5 < max(sizes.values()) < total // 500
     assert all(hot == (n > 5) for (_, hot), n in sizes.items())
