@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import id_crc32, map_arrow, stash, table, utf8
+from crawlstrata.llm.common import drop, id_crc32, map_arrow, stash, table, utf8
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 N1, N2, N3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
@@ -468,11 +468,11 @@ def anchors(ids: np.ndarray) -> np.ndarray:
     return np.stack((at + GRAM - 1, h[at].view(np.int64)))
 
 
-def _matches(coded: DataFrame) -> DataFrame:
+def _matches(coded: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Columns text, row, n_train, found (array of (place, words)): what follows a text's anchors in another training text.
 
     Equal texts are one: ``row`` is one of them and ``n_train`` says how many are training texts. Anchors that very many
-    texts share (at most ``MOST_HOT``, so they fit a broadcast) are not shuffled by their name.
+    texts share (at most ``MOST_HOT``, so they fit a broadcast) are not shuffled by their name. Also the tables that it reads.
     """
     texts = stash(coded.groupBy("text").agg(F.min("row").alias("row"), F.sum(F.col("train").cast("long")).alias("n_train")))
     whole = coded.select("row", "anchors", "ids").join(texts, "row")
@@ -503,11 +503,12 @@ def _matches(coded: DataFrame) -> DataFrame:
 
     given = whole.select(F.col("text").alias("source"), "ids").join(asked, "source").select("source", "ids", "asked")
     words = stash(map_arrow(given, follow, "anchor long, source long, hot boolean, words binary"))
+    drop(places, ends)
     salt = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
     cold = met.where("not hot").join(words.where("not hot"), ["anchor", "source"]).select("text", "k", "words")
     split = met.where("hot").withColumn("salt", F.pmod("text", F.lit(SALTS)).cast("int")).join(words.where("hot").withColumn("salt", salt), ["anchor", "source", "salt"])
     found = cold.unionByName(split.select("text", "k", "words")).groupBy("text").agg(F.collect_list(F.struct("k", "words")).alias("found"))
-    return texts.join(found, "text", "left")
+    return texts.join(found, "text", "left"), (texts, met, words)
 
 
 def matches(ids: np.ndarray, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -522,7 +523,7 @@ def matches(ids: np.ndarray, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
 
 def _predict(coded: DataFrame) -> DataFrame:
-    """Columns row, train, ids, guess: predicted words, plus one (null: none). A text with another training copy is foretold by that, from its first anchor on."""
+    """Written columns row, train, ids, guess: predicted words, plus one (null: none). A text with another training copy is foretold by that, from its first anchor on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
@@ -540,9 +541,12 @@ def _predict(coded: DataFrame) -> DataFrame:
                 out.append(pack(matches(ids, pieces) + 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["row", "train", "ids", "guess"])
 
-    both = coded.select("text", "row", "train", "ids").join(_matches(coded).drop("row"), "text")
+    met, read = _matches(coded)
+    both = coded.select("text", "row", "train", "ids").join(met.drop("row"), "text")
     both = both.select("row", "train", "ids", (F.col("n_train") - F.col("train").cast("long")).alias("copies"), "found")
-    return map_arrow(both, run, "row long, train boolean, ids binary, guess binary")
+    full = stash(map_arrow(both, run, "row long, train boolean, ids binary, guess binary"))
+    drop(*read)
+    return full
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -614,7 +618,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, row long, train boolean, n_tokens long, n_bytes long, known long, base double, ids binary, anchors array<long>, words array<binary>, times array<long>"
     rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(training, F.lit(False)).alias("train"), utf8(text_col).alias("_text"))
     coded = stash(map_arrow(rows, encode, schema).withColumn("text", F.xxhash64("ids")))
-    full = stash(_predict(coded))
+    full = _predict(coded)
     _train(mixer, full.where("train").select("ids", "guess"), _texts)
     speller = Speller()
     _train(speller, vocab.where("c = 1").select("word"), lambda batch: (batch.column(0).to_pylist(),))
