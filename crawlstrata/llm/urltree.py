@@ -1,9 +1,9 @@
 """URL filter: rules first, then a tree of path templates per host with labelled purity.
 
 The tree is built level by level. A path segment stays as it is if it is frequent below its parent; the others become a
-wildcard of their shape (digits, hexadecimal, any word, each with its file ending). At every level, sibling branches
-whose labelled shares of good pages are statistically alike (two-proportion test against the other siblings) are merged
-into one branch ``{any}``, below which the tree goes on. The purity of a branch is its labelled share of good pages, smoothed
+wildcard of their shape (digits, hexadecimal, any word, each with its file ending). At every level, sibling branches stand in
+order of their labelled shares of good pages, and neighbours that are statistically alike (two-proportion test) are merged into one
+branch ``{any0}``, ``{any1}``, ..., below which the tree goes on: bad siblings join each other, and good ones. The purity of a branch is its labelled share of good pages, smoothed
 by that of its parent, the host's by that of all; a template is rejected if its purity falls below a threshold.
 
 Every statistic counts all pages. A hot host is pre-aggregated by path segment before it is shuffled, and the few names
@@ -16,7 +16,7 @@ names no document is unlabelled; an empty table gives none; without labels nothi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlstrata.llm.common import stash, table
@@ -25,6 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of the query: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 SALTS = 8
+#: Parents with more than one of this many segments are joined by broadcast; there are fewer than this many.
+HOT_SHARE = 1000
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -59,6 +61,43 @@ def _salted(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFra
     return rows.join(few, [*on, "_salt"], how)
 
 
+def _with_totals(counts: DataFrame) -> DataFrame:
+    """Counts of segments with ``all_n``, the pages of all segments of their parent.
+
+    A parent with more than a thousandth of all segments (there are fewer than a thousand) is joined by broadcast, so that no task gets all of one.
+    """
+    totals = stash(counts.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count("*").alias("_segments")))
+    bound = (totals.agg(F.sum("_segments")).first()[0] or 0) / HOT_SHARE
+    hot = totals.where(F.col("_segments") > bound).drop("_segments")
+    cold = totals.where(F.col("_segments") <= bound).drop("_segments")
+    both = ["host", "template"]
+    return counts.join(F.broadcast(hot), both).unionByName(counts.join(F.broadcast(hot.select(*both)), both, "left_anti").join(cold, both))
+
+
+def merged(branches: DataFrame, alike: float) -> DataFrame:
+    """Columns host, template, _name, _branch, _labelled, _good: sibling branches (host, template, _name, labelled, good) in groups of alike ones.
+
+    Labelled siblings stand in order of their share of good pages; neighbours are told apart by a two-proportion test, and those that are not
+    are one branch ``{any}``, numbered from the worst. Unlabelled ones stay as they are.
+    """
+    share = F.col("good") / F.col("labelled")
+    order = Window.partitionBy("host", "template").orderBy("_share", "_name")
+    known = branches.where("labelled > 0").withColumn("_share", share)
+    known = known.withColumn("_l", F.lag("labelled").over(order)).withColumn("_g", F.lag("good").over(order))
+    p = (F.col("good") + F.col("_g")) / (F.col("labelled") + F.col("_l"))
+    spread = F.sqrt(p * (1 - p) * (1 / F.col("labelled") + 1 / F.col("_l")))
+    z = (F.col("_share") - F.col("_g") / F.col("_l")) / F.when(spread > 0, spread)
+    known = known.withColumn("_new", F.coalesce((z >= alike).cast("int"), F.lit(0)))
+    known = known.withColumn("_group", F.sum("_new").over(order))
+    group = Window.partitionBy("host", "template", "_group")
+    several = F.count("*").over(group) > 1
+    any_ = F.concat(F.lit("{any"), F.col("_group").cast("string"), F.lit("}"))
+    known = known.select("host", "template", "_name", F.when(several, any_).otherwise(F.col("_name")).alias("_branch"), F.sum("labelled").over(group).alias("_labelled"), F.sum("good").over(group).alias("_good"))
+    zero = F.lit(0).cast("long")
+    rest = branches.where("labelled = 0").select("host", "template", "_name", F.col("_name").alias("_branch"), zero.alias("_labelled"), zero.alias("_good"))
+    return known.unionByName(rest)
+
+
 def grow(paths: DataFrame, max_depth: int = 8, least_share: float = 0.02, least_count: int = 8, alike: float = 1.96, weight: float = 10.0) -> DataFrame:
     """Add ``template`` (array of strings) and ``purity`` to rows with id, host, path and good (0, 1 or null).
 
@@ -78,23 +117,11 @@ def grow(paths: DataFrame, max_depth: int = 8, least_share: float = 0.02, least_
     for level in range(1, depth + 1):
         here = F.try_element_at("_all", F.lit(level))
         counts = stash(rows.where(here.isNotNull()).groupBy("host", "template", here.alias("_segment")).agg(*sums))
-        totals = counts.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "good")])
-        counts = counts.join(totals, ["host", "template"])
+        counts = _with_totals(counts)
         often = (F.col("n") >= least_count) & (F.col("n") >= F.col("all_n") * least_share)
         kept = counts.where(often).select("host", "template", "_segment", F.col("_segment").alias("_literal"))
-        branches = counts.withColumn("_name", F.when(often, F.col("_segment")).otherwise(shape(F.col("_segment")))).groupBy("host", "template", "_name").agg(*add, F.first("all_labelled").alias("all_labelled"), F.first("all_good").alias("all_good"))
-        # A branch against its other siblings; without labels on both sides nothing tells them apart.
-        other, other_good = F.col("all_labelled") - F.col("labelled"), F.col("all_good") - F.col("good")
-        positive = lambda x: F.when(x > 0, x)
-        p = F.col("all_good") / positive(F.col("all_labelled"))
-        spread = F.sqrt(p * (1 - p) * (1 / positive(F.col("labelled")) + 1 / positive(other)))
-        z = (F.col("good") / positive(F.col("labelled")) - other_good / positive(other)) / positive(spread)
-        branches = branches.withColumn("_same", F.coalesce(F.abs(z) < alike, F.lit(True)))
-        pooled = branches.where("_same").groupBy("host", "template").agg(F.count("*").alias("_several"), F.sum("labelled").alias("_labelled"), F.sum("good").alias("_good"))
-        merged = F.col("_same") & (F.col("_several") > 1)
-        branches = branches.join(pooled, ["host", "template"], "left").select(
-            "host", "template", "_name", F.when(merged, "{any}").otherwise(F.col("_name")).alias("_branch"), F.when(merged, F.col("_labelled")).otherwise(F.col("labelled")).alias("_labelled"), F.when(merged, F.col("_good")).otherwise(F.col("good")).alias("_good")
-        )
+        branches = counts.withColumn("_name", F.when(often, F.col("_segment")).otherwise(shape(F.col("_segment")))).groupBy("host", "template", "_name").agg(*add)
+        branches = merged(branches, alike)
         rows = _salted(rows.withColumn("_segment", here), kept, ["host", "template", "_segment"], "left")
         rows = _salted(rows.withColumn("_name", F.coalesce("_literal", shape(F.col("_segment")))), branches, ["host", "template", "_name"], "left")
         deeper = F.col("_branch").isNotNull()
@@ -145,12 +172,12 @@ f{k} as (select c.host, c.template, c.seg from c{k} c join (select host, templat
 n{k} as (select t.*, case when len(t.segs) >= {k} then case when f.seg is not null then {here} else {wild} end end as name
  from t{k - 1} t left join f{k} f on f.host = t.host and f.template = t.template and f.seg = {here}),
 b{k} as (select host, template, name, count(good) as l, coalesce(sum(good), 0) as g from n{k} where name is not null group by all),
-a{k} as (select host, template, sum(l) as al, sum(g) as ag from b{k} group by all),
-z{k} as (select b.*, al - l as o, ag - g as og, ag / nullif(al, 0) as p from b{k} b join a{k} a on a.host = b.host and a.template = b.template),
-s{k} as (select *, coalesce(abs((g / nullif(l, 0) - og / nullif(o, 0)) / nullif(sqrt(p * (1 - p) * (1 / nullif(l, 0) + 1 / nullif(o, 0))), 0)) < 1.96, true) as same from z{k}),
-m{k} as (select host, template, count(*) as several, sum(l) as l, sum(g) as g from s{k} where same group by all),
-r{k} as (select s.host, s.template, s.name, case when same and several > 1 then '{{any}}' else s.name end as branch, case when same and several > 1 then m.l else s.l end as l, case when same and several > 1 then m.g else s.g end as g
- from s{k} s left join m{k} m on m.host = s.host and m.template = s.template),
+a{k} as (select *, g / l as share, lag(l) over w as pl, lag(g) over w as pg from (select *, g / l as sh from b{k} where l > 0) window w as (partition by host, template order by sh, name)),
+z{k} as (select *, (g + pg) / (l + pl) as p from a{k}),
+s{k} as (select *, coalesce(case when (share - pg / pl) / nullif(sqrt(p * (1 - p) * (1 / l + 1 / pl)), 0) >= 1.96 then 1 else 0 end, 0) as new from z{k}),
+g{k} as (select *, sum(new) over (partition by host, template order by share, name) as grp from s{k}),
+r{k} as (select host, template, name, case when count(*) over v > 1 then '{{any' || cast(grp as varchar) || '}}' else name end as branch, sum(l) over v as l, sum(g) over v as g from g{k} window v as (partition by host, template, grp)
+ union all select host, template, name, name, 0, 0 from b{k} where l = 0),
 t{k} as (select n.page_id, n.host, n.path, n.good, n.segs, case when n.name is null then n.template else list_append(n.template, r.branch) end as template, case when n.name is null then n.purity else (r.g + 10.0 * n.purity) / (r.l + 10.0) end as purity
  from n{k} n left join r{k} r on r.host = n.host and r.template = n.template and r.name = n.name)""")
     rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))

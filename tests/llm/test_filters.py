@@ -1,3 +1,5 @@
+import random
+
 import re
 
 import numpy as np
@@ -242,10 +244,50 @@ def test_bad_template_goes_and_siblings_stay(spark):
             labels.append((k, int(kind != "spam") if k % 25 else 1 - int(kind != "spam")))
     df = spark.createDataFrame(pages, "page_id int, url string")
     rows = {r["page_id"]: r for r in urltree.judge(df, spark.createDataFrame(labels, "doc long, good int")).collect()}
-    assert {r["template"] for r in rows.values()} == {"{any}/spam/{number}.html", "{any}/{any}/{number}.html"} or {r["template"].split("/")[0] for r in rows.values()} == {"{any}"}
+    # Of the labels of blog 4 % are turned round, of news and shop 20 %.
+    assert {r["template"] for r in rows.values()} == {"{any0}/spam/{number}.html", "{any0}/{any1}/{number}.html", "{any0}/blog/{number}.html"}
     assert all(rows[k]["verdict"] == ("block" if k % 4 == 3 else "allow") for k, _ in pages)
 
 
+def test_bad_siblings_join_each_other_and_unlabelled_ones_stay_alone(spark):
+    kinds, pages, labels = ("news", "spam", "blog", "scam", "new"), [], []
+    for k in range(1500):
+        kind = kinds[k % 5]
+        pages.append((k, f"http://h.org/{kind}/{k}.html"))
+        if kind != "new" and k % 2:
+            labels.append((k, int(kind in ("news", "blog")) if k % 25 else k % 2))
+    df = spark.createDataFrame(pages, "page_id int, url string")
+    rows = {r["page_id"]: r for r in urltree.judge(df, spark.createDataFrame(labels, "doc long, good int")).collect()}
+    branch = {kinds[k]: {r["template"].split("/")[0] for i, r in rows.items() if i % 5 == k} for k in range(5)}
+    assert branch == {"news": {"{any1}"}, "blog": {"{any1}"}, "spam": {"{any0}"}, "scam": {"{any0}"}, "new": {"new"}}
+    assert all(r["verdict"] == ("block" if k % 5 in (1, 3) else "allow") for k, r in rows.items() if k % 5 != 4)
+
+
+def test_url_tree_against_its_sql_with_rejections(spark):
+    """Pages of hosts with bad sections, one of them with a third of all pages: the result is that of the SQL, and many pages are rejected."""
+    import duckdb
+
+    draw = random.Random(12)
+    pages, labels = [], []
+    for k in range(1500):
+        host = "hot.org" if k % 3 == 0 else f"h{draw.randrange(4)}.org"
+        kind = draw.choice(("a", "b", "c", "d"))
+        pages.append((k, f"http://{host}/{kind}/{draw.choice(('x', 'y'))}/{k}{draw.choice(('', '/', '.html'))}"))
+        if draw.random() < 0.5:
+            bad = kind in "ab" and host == "hot.org" or kind == "c" and host == "h1.org"
+            labels.append((k, int(draw.random() < (0.2 if bad else 0.9)), int(draw.random() < 0.05)))
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar)")
+    con.execute("create table labels(doc_id bigint, quality int, toxic int)")
+    con.executemany("insert into pages values (?, ?)", pages)
+    con.executemany("insert into labels values (?, ?, ?)", labels)
+    want = {r[0]: r[1:] for r in con.execute(urltree.ORACLE_SQL["op4_path_template_tree"]).fetchall()}
+    good = spark.createDataFrame([(k, int(q == 1 and t == 0)) for k, q, t in labels], "doc long, good int")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urltree.judge(spark.createDataFrame(pages, "page_id long, url string"), good).collect()}
+    assert got == want
+    assert 150 < sum(v[3] == "block" for v in got.values()) < 500
+
+
 def test_url_odd(spark):
     """Clashing names, a very long url, repeated and null urls."""
     long = "http://h.org/" + "a/" * 40000 + "7"
