@@ -1,6 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
-A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. The
+Spans of hit words are reported (``contamination``), cut out beyond limits of length and coverage (``strip_contaminated``), or
+take their document with them (``drop_contaminated``). A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. The
 automaton of all items is built once from the (bounded) item table. Documents stream through it word by word; at
 each word the length of the longest match that ends there says which windows end there.
 
@@ -11,7 +12,9 @@ processed whole at any length, one at a time, in the order they come; an empty t
 
 from __future__ import annotations
 
+import hashlib
 import pickle
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +23,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import map_arrow, stash, table, utf8
+from crawlstrata.llm.common import free_names, map_arrow, stash, table, utf8
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space; bytes from 0x80 on stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
+#: Text of the items in one automaton. It takes about 140 times as much memory, on the driver and in each Python worker.
+BLOCK_BYTES = 2 << 20
+
 
 def words(text: bytes) -> list[bytes]:
     """The normalised words of a text's bytes."""
@@ -141,12 +147,25 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> list
 
 
 def _shared(block: DataFrame, item_id: str, text: str, window: int) -> Broadcast:
-    """The automaton of a block of items, pickled, on all executors."""
+    """The automaton of a block of items, pickled, on all executors, and its name."""
     pairs = block.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), utf8(text)).collect()
-    return block.sparkSession.sparkContext.broadcast(pickle.dumps(ItemAutomaton([(a, words(bytes(b))) for a, b in pairs], window)))
+    made = pickle.dumps(ItemAutomaton([(a, words(bytes(b))) for a, b in pairs], window))
+    return block.sparkSession.sparkContext.broadcast((hashlib.blake2b(made).hexdigest(), made))
+
+
+_LOADED: dict[str, ItemAutomaton] = {}
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def _loaded(model: Broadcast) -> ItemAutomaton:
+    """The automaton of a broadcast; a worker keeps the last one from one task to the next."""
+    name, made = model.value
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = pickle.loads(made)
+    return _LOADED[name]
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns: id, n_words, spans (array of [start, end) in words), items (sorted array of item ids as text).
 
     The automaton goes to the executors as a broadcast of a size proven beforehand: items beyond ``block_bytes`` of
@@ -162,7 +181,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         model = _shared(block, item_id, item_text, window)
 
         def scan(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            automaton = pickle.loads(model.value)
+            automaton = _loaded(model)
             for batch in batches:
                 n_words, spans, names = [], [], []
                 for text in batch.column(2):
@@ -206,7 +225,7 @@ def verdict(found: DataFrame, share: int = 20) -> DataFrame:
     return hit.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all columns, whose share of hit words stays below the limit.
 
     With one automaton a task drops rows as it reads them. With several, rows get a number, by which the spans of all
@@ -217,7 +236,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         model = _shared(items, item_id, item_text, window)
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = pickle.loads(model.value)
+            automaton = _loaded(model)
             for batch in batches:
                 keep = []
                 for x in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()):
@@ -227,14 +246,80 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return map_arrow(docs, clean, docs.schema)
-    number = "row_"
-    while number in map(str.lower, docs.columns):
-        number += "_"
+    (number,) = free_names(docs.columns, "row")
     numbered = stash(docs.withColumn(number, F.monotonically_increasing_id()))
     bad = verdict(contamination(numbered, items, number, text_col, item_id, item_text, window, block_bytes), share).where("contaminated").select(number)
     return numbered.join(bad, number, "left_anti").select(*docs.columns)
 
 
+def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without these spans of its words; what stands between words stays."""
+    # Folding keeps the place of every byte.
+    places = [m.span() for m in re.finditer(rb"[^\x20]+", text.translate(FOLD))]
+    left, at = [], 0
+    for a, b in spans:
+        left.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    left.append(text[at:])
+    return b"".join(left)
+
+
+def exceeding(spans: list[tuple[int, int]], n_words: int, longest: int, share: int) -> list[tuple[int, int]]:
+    """Spans that are to be cut: all where one in ``share`` words or more is hit, else those of more than ``longest`` words."""
+    hit = sum(b - a for a, b in spans)
+    return spans if hit and hit * share >= n_words else [(a, b) for a, b in spans if b - a > longest]
+
+
+def strip_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, longest: int = 50, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all columns, without the spans that exceed the limits of length and coverage; rows without a word left go.
+
+    Spans are cut if they are longer than ``longest`` words, and all of a document of whose words one in ``share`` is hit. A column n_chars, where there
+    is one, is counted anew for changed texts. A text without hits, or without words, stays as it is.
+    """
+    at = docs.columns.index(text_col)
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def cut(batch: pa.RecordBatch, found: Iterator[list[tuple[int, int]]]) -> pa.RecordBatch:
+        """The batch (columns of docs) with cut texts, from all spans of each row."""
+        columns = batch.columns[: len(docs_fields)]
+        texts, sizes, keep = columns[at].to_pylist(), columns[counted].to_pylist() if counted is not None else [], []
+        for k, spans in enumerate(found):
+            gone = exceeding(spans, len(words((texts[k] or "").encode())), longest, share) if spans else []
+            if gone:
+                body = cut_words(texts[k].encode(), gone)
+                texts[k] = body.decode()
+                if sizes:
+                    sizes[k] = len(texts[k])
+            keep.append(not gone or bool(words(texts[k].encode())))
+        columns[at] = pa.array(texts, columns[at].type)
+        if counted is not None:
+            columns[counted] = pa.array(sizes, columns[counted].type)
+        return pa.RecordBatch.from_arrays(columns, docs_fields).filter(pa.array(keep, pa.bool_()))
+
+    docs_fields = docs.columns
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    if len(blocks) == 1:
+        model = _shared(items, item_id, item_text, window)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _loaded(model)
+            for batch in batches:
+                texts = batch.column(at).cast(pa.binary())
+                yield cut(batch, (automaton.scan(words(x.as_py() or b""))[0] for x in texts))
+
+        return map_arrow(docs, run, docs.schema)
+    number, spans_col = free_names(docs.columns, "row", "spans")
+    numbered = stash(docs.withColumn(number, F.monotonically_increasing_id()))
+    spans = contamination(numbered, items, number, text_col, item_id, item_text, window, block_bytes).where(F.size("spans") > 0).select(number, F.col("spans").alias(spans_col))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(len(docs_fields)).to_pylist()
+            yield cut(batch, ([(s["start"], s["end"]) for s in r or []] for r in rows))
+
+    return map_arrow(numbered.join(spans, number, "left").select(*docs.columns, spans_col), apply, docs.schema)
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document; contaminated if a twentieth of its words or more is hit."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from crawlstrata.llm import decontaminate
@@ -68,3 +69,62 @@ def test_odd(spark, odd):
     assert all(not r["items"] for r in decontaminate.contamination(odd, items.limit(0)).collect())
     assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
     assert decontaminate.drop_contaminated(odd, items).count() == 8
+
+
+def planted(seed=3):
+    """Items, and documents with spans of 5 to 90 words of them between words of their own."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(7))
+    items = [(f"i{k}", " ".join(word() for _ in range(100))) for k in range(6)] + [("short", "three short words")]
+    docs = []
+    for k in range(60):
+        parts = []
+        for _ in range(draw.randrange(1, 4)):
+            parts.append(", ".join(word() for _ in range(draw.choice((5, 40, 900)))))
+            n, at = draw.choice((0, 5, 13, 30, 60, 90)), draw.randrange(10)
+            parts.append(" - ".join(draw.choice(items)[1].upper().split()[at : at + n]))
+        docs.append((k, "\n".join(parts) + " \u00fc", 7, "r", 1))
+    return items, [*docs, (100, None, 0, "r", 1), (101, "", 0, "r", 1), (102, "Three, short words!", 0, "r", 1), (103, "?!", 0, "r", 1)]
+
+
+def test_spans_are_cut_beyond_the_limits(spark):
+    """Against windows looked up one by one, with one automaton and with several; helper names and n_chars."""
+    items, docs = planted()
+    tokens = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    windows = set()
+    for _, t in items:
+        w = tokens.findall(low(t))
+        n = min(13, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    want, cut = {}, 0
+    for i, text, n_chars, *_ in docs:
+        found = list(tokens.finditer(low(text or "")))
+        w = [m[0] for m in found]
+        hit = [False] * len(w)
+        for n in (3, 13):
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit[k : k + n] = [True] * n
+        runs, k = [], 0
+        while k < len(w):
+            end = k
+            while end < len(w) and hit[end]:
+                end += 1
+            runs += [(k, end)] if end > k else []
+            k = max(end, k + 1)
+        gone = runs if sum(hit) and sum(hit) * 20 >= len(w) else [r for r in runs if r[1] - r[0] > 50]
+        left = text
+        for a, b in reversed(gone):
+            left = left[: found[a].start()] + left[found[b - 1].end() :]
+        cut += bool(gone) and len(gone) < len(runs)
+        if not gone or tokens.findall(low(left)):
+            want[i] = (left, len(left) if gone else n_chars)
+    assert cut and 102 not in want and want[100] == (None, 0) and want[103] == ("?!", 0)
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars int, _row string, _spans int").repartition(3)
+    table = spark.createDataFrame(items, "item_id string, text string")
+    for block_bytes in (decontaminate.BLOCK_BYTES, 900):
+        out = decontaminate.strip_contaminated(df, table, block_bytes=block_bytes)
+        assert out.schema.names == df.schema.names
+        assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == want
+    assert decontaminate.strip_contaminated(df, table.limit(0)).count() == len(docs) and decontaminate.strip_contaminated(df.limit(0), table).collect() == []
