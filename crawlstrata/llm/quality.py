@@ -70,15 +70,18 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, dictionary_bytes: int = 32 << 10, sample_bytes: int = 2048) -> CompressionModel:
-    """Fit on at most 4 * ``per_class`` labelled rows among those that ``learn`` (a condition on the id) admits."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, dictionary_bytes: int = 32 << 10, sample_bytes: int = 2048, most_bytes: int = 16 << 10) -> CompressionModel:
+    """Fit on at most 4 * ``per_class`` labelled rows among those that ``learn`` (a condition on the id) admits.
+
+    Of these rows only texts of at most ``most_bytes`` are learned from, so the driver holds 4 * per_class * most_bytes (94 MB) at most.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy(id_col).agg(F.min(label_col).cast("int").alias("_good"))
     of = lambda y: bounded_sample(known.where(F.col("_good") == y), id_col, 2 * per_class)
     chosen = of(0).unionByName(of(1))
-    rows = docs.select(id_col, utf8(text_col).alias("_text")).join(F.broadcast(chosen), id_col).select("_good", F.xxhash64(id_col).alias("_order"), "_text").toArrow()
+    rows = docs.select(id_col, utf8(text_col).alias("_text")).where(F.octet_length("_text") <= most_bytes).join(F.broadcast(chosen), id_col).select("_good", F.xxhash64(id_col).alias("_order"), "_text").toArrow()
     order = np.lexsort((rows["_order"].to_numpy(),))
     texts = [rows["_text"][int(k)].as_py() for k in order]
     labels_ = rows["_good"].to_numpy()[order]
