@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from crawlstrata.plans.filters import REPLAY_NAMES, all_filters
 MATCH_TYPES = ("exact", "verbatim", "prefix", "host", "domain")
 SORTS = ("asc", "reverse", "closest")
 OUTPUTS = ("json", "cdxj")
+ONE_ROW = pa.table({"one": [1]})
 
 
 @dataclass(frozen=True)
@@ -63,8 +65,8 @@ class SearchRequest:
 
 
 def _values(spark: SparkSession, **columns: Column) -> dict[str, object]:
-    """Literals that column functions give: a one-row job on the driver."""
-    return spark.range(1).select(*[c.alias(k) for k, c in columns.items()]).first().asDict()
+    """Literals that column functions give. The one row is local, so the optimizer folds them and no job runs."""
+    return spark.createDataFrame(ONE_ROW).select(*[c.alias(k) for k, c in columns.items()]).collect()[0].asDict()
 
 
 def url_scope(spark: SparkSession, url: str) -> dict[str, str]:

@@ -63,10 +63,12 @@ _searched("closest_order_verbatim", f"select rid, key {JOIN} {SAME} and c.psu =
 _searched("fields_projected", f"select uri, hsc, mct {JOIN} {SAME}", columns=("uri", "hsc", "mct"), fields=("uri", "hsc", "mct"))
 
 
-@query("replay_prefix_cap", over(f"select rid, key {JOIN} c.host = r.host and starts_with(c.path, '/') order by key limit 1000"))
+@query("replay_prefix_cap", over("select rid, key from cap where host = (select host from cap group by host order by count(*) desc, host limit 1) and starts_with(path, '/') order by key limit 1000"))
 def replay_prefix_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = "/".join(page_url(spark, sf_dir).split("/")[:3]) + "/"
-    return search(captures(spark, sf_dir), SearchRequest(url=host, match_type="prefix").for_replay()).select("rid", "key")
+    """A prefix search of the host with the most captures, which has more than the cap."""
+    held = captures(spark, sf_dir)
+    host = held.groupBy("host").count().orderBy(F.desc("count"), "host").select(urls.desurt_domain("host")).first()[0]
+    return search(held, SearchRequest(url=f"http://{host}/", match_type="prefix").for_replay()).select("rid", "key")
 
 
 @query("replay_closest_verbatim", over(f"select rid, key {JOIN} {SAME} and c.psu = r.psu order by {NEAR} limit 3"))
