@@ -27,10 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlstrata.llm.common import bounded_sample, map_arrow, stash, table, utf8
+from crawlstrata.llm.common import bounded_sample, drop, map_arrow, stash, table, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -96,19 +96,50 @@ def lines_of(text: bytes, common: frozenset[int] = frozenset()) -> tuple[list[in
     return sizes, found, repeated
 
 
-def common_lines(docs: DataFrame, text_col: str = "text", share: int = SHARE, least: int = LEAST) -> frozenset[int]:
-    """Hashes of the lines that stand in one of ``share`` distinct texts, and in ``least`` at least."""
+def common_lines(docs: DataFrame, text_col: str = "text", share: int = SHARE, least: int = LEAST, most_covered: float = 0.5) -> frozenset[int]:
+    """Hashes of the lines that stand in one of ``share`` distinct texts, and in ``least`` at least.
+
+    A text of whose words more than ``most_covered`` stand in lines that others have too is a near copy of them, and does not count: else the prose
+    that near copies share would be boilerplate.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(0)]
-            lines = [np.unique(np.array([line_hash(x) for x in t.split(b"\n") if x.strip()], np.uint64)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(t) for t in texts], pa.uint64()).view(pa.int64()), pa.array(lines, pa.list_(pa.int64()))], ["text", "lines"])
-
-    texts = stash(map_arrow(docs.select(utf8(text_col).alias("_text")), run, "text long, lines array<long>").dropDuplicates(["text"]))
+            names, lines, sizes = [], [], []
+            for x in batch.column(0):
+                words: dict[int, int] = {}
+                for line in x.as_py().split(b"\n"):
+                    if n := len(line.split()):
+                        h = line_hash(line)
+                        words[h] = words.get(h, 0) + n
+                names.append(xxhash.xxh64_intdigest(x.as_py()))
+                lines.append(np.array(list(words), np.uint64).view(np.int64))
+                sizes.append(list(words.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.uint64()).view(pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], ["text", "lines", "sizes"])
+
+    texts = stash(map_arrow(docs.select(utf8(text_col).alias("_text")), run, "text long, lines array<long>, sizes array<long>").dropDuplicates(["text"]))
     most = max(least, texts.count() // share)
-    found = texts.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("line").toArrow()
-    return frozenset(found["line"].to_numpy().view(np.uint64).tolist())
+
+    def often(lines: DataFrame) -> np.ndarray:
+        found = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("line").toArrow()
+        return np.sort(found["line"].to_numpy())
+
+    shared = docs.sparkSession.sparkContext.broadcast(often(texts.select(F.explode("lines").alias("line"))))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shared lines of texts that mostly have lines of their own."""
+        for batch in batches:
+            out = [np.zeros(0, np.int64)]
+            for lines, sizes in zip(batch.column(0), batch.column(1), strict=True):
+                found, n = lines.values.to_numpy(), sizes.values.to_numpy()
+                known = np.isin(found, shared.value, assume_unique=True)
+                if n[known].sum() <= most_covered * n.sum():
+                    out.append(found[known])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["line"])
+
+    found = often(map_arrow(texts.select("lines", "sizes"), own, "line long"))
+    drop(texts)
+    return frozenset(found.view(np.uint64).tolist())
 
 
 @dataclass
@@ -190,9 +221,12 @@ def fit(sequences: list[list[list[int]]], labels: list[list[int]], steps: int =
     return LineCrf(w[: 2 * WIDTH].reshape(2, WIDTH).copy(), w[2 * WIDTH : 2 * WIDTH + 4].reshape(2, 2).copy(), w[-2:].copy())
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", common: frozenset[int] = frozenset(), per_class: int = 800, chunk: int = 64) -> LineCrf:
-    """Fit on at most 2 * ``per_class`` documents; features of their lines, not texts, reach the driver."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_good"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", common: frozenset[int] = frozenset(), per_class: int = 800, chunk: int = 64, learn: Column | None = None) -> LineCrf:
+    """Fit on at most 2 * ``per_class`` documents, among those that ``learn`` (a condition on the id) admits; features of their lines, not texts, reach the driver."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    if learn is not None:
+        known = known.where(learn)
+    known = known.groupBy(id_col).agg(F.min(label_col).cast("int").alias("_good"))
     of = lambda y: bounded_sample(known.where(F.col("_good") == y), id_col, per_class)
     rows = docs.select(id_col, utf8(text_col).alias("_text")).join(F.broadcast(of(0).unionByName(of(1))), id_col).select("_good", F.xxhash64(id_col).alias("_order"), "_text")
 
@@ -215,11 +249,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             marks.append([int(bad[-1] or COMMON in x) for x in sequences[-1]])
     if len(set(bad)) < 2:
         return LineCrf(np.zeros((2, WIDTH)), np.zeros((2, 2)), np.array([1.0, 0.0]))
-    first = fit(sequences, marks)
+    # Every second sequence does not say which lines are common, so that the field learns how such lines look.
+    blind = [[[f for f in x if f != COMMON] for x in s] if k % 2 else s for k, s in enumerate(sequences)]
+    first = fit(blind, marks)
     lean = first.emission[0] - first.emission[1]
+    lean[COMMON] = 0
     for k in np.flatnonzero(bad):
         marks[k] = [int(COMMON in x or lean[x].sum() < 0) for x in sequences[k]]
-    return fit(sequences, marks)
+    return fit(blind, marks)
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
