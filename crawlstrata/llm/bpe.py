@@ -7,7 +7,8 @@ one token. Each place is given up at most once, so the time is linear, and the r
 the merges in order. Decoding gathers token strings from one buffer with an offset table.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; equal texts give equal ids; bytes
-that are not UTF-8 are read as U+FFFD. Texts are encoded whole; long ones take memory in proportion to their length.
+that are not UTF-8 are read as U+FFFD. Repeated rows are encoded each, an empty table gives none, and extra columns are left out. Texts are encoded
+whole; long ones take memory in proportion to their length.
 """
 
 from __future__ import annotations

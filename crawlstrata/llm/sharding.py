@@ -3,7 +3,7 @@
 A key and the number of shards decide the shard; there is no ring table. With one shard more, a key either stays
 or moves to the new shard, so only 1/(n+1) of the rows move.
 
-Defined results: a null key counts as key 0; rows with equal keys share a shard; an empty table gives an empty
+Defined results: a null key counts as key 0; a null text has no bytes, and one of any length counts whole; rows with equal keys share a shard; an empty table gives an empty
 result. Slots number the rows of each shard from 0 without gaps in the order of the given columns (nulls first);
 rows equal in all of these take neighbouring slots in any order. Only the named columns are read, so further
 columns of the input don't matter, whatever their names.

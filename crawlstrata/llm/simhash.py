@@ -8,7 +8,8 @@ Links make connected components by alternating large-star and small-star steps (
 Equal fingerprints are one node: a group of copies of any size is aggregated before the search and is never paired.
 
 Defined results: a null or empty text has fingerprint 0, linked like any other; rows with a null id get the smallest
-id that their component holds (null if it holds none); repeated rows repeat in the result; an empty table gives none.
+id that their component holds (null if it holds none); repeated rows repeat in the result; a text of any length is read whole, in memory in
+proportion to its length; a bit set in exactly half of the shingles is 0; an empty table gives none; extra columns are kept or left out, whatever their names.
 """
 
 from __future__ import annotations
