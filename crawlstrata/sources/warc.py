@@ -25,6 +25,8 @@ SCHEMA = "path string, filename string, offset long, length long, type string, h
 CHUNK = 1 << 20
 #: Bytes of files that a task reads, and bytes and rows that it hands over at once.
 TASK_BYTES, BATCH_BYTES, BATCH_ROWS = 256 << 20, 16 << 20, 1000
+#: Bytes that are read at once where single records are looked up.
+LOOKUP_CHUNK = 1 << 16
 
 
 def open_stream(path: str):
@@ -36,11 +38,11 @@ def open_stream(path: str):
 class _Plain:
     """Bytes of a file with the place of the next one."""
 
-    def __init__(self, f, at: int = 0) -> None:
-        self.f, self.buffer, self.at = f, b"", at
+    def __init__(self, f, at: int = 0, chunk: int = CHUNK) -> None:
+        self.f, self.buffer, self.at, self.chunk = f, b"", at, chunk
 
     def fill(self) -> bool:
-        more = self.f.read(CHUNK)
+        more = self.f.read(self.chunk)
         self.buffer += more
         return bool(more)
 
@@ -56,8 +58,8 @@ class _Plain:
 class _Gzip(_Plain):
     """The same over gzip members; ``place`` is that of the member in which the next byte lies."""
 
-    def __init__(self, f, at: int = 0) -> None:
-        super().__init__(f)
+    def __init__(self, f, at: int = 0, chunk: int = CHUNK) -> None:
+        super().__init__(f, chunk=chunk)
         self.raw, self.raw_at = b"", at
         self.member = zlib.decompressobj(31)
         self.starts = [(0, at)]  # (bytes unpacked before, place of the member)
@@ -66,7 +68,7 @@ class _Gzip(_Plain):
     def fill(self) -> bool:
         while True:
             if not self.raw:
-                self.raw = self.f.read(CHUNK)
+                self.raw = self.f.read(self.chunk)
                 if not self.raw:
                     if self.member.eof or not self.starts or self.starts[-1][0] == self.unpacked:
                         return False
@@ -98,11 +100,11 @@ class Record:
     block: bytes
 
 
-def _stream(f, offset: int = 0) -> _Plain:
+def _stream(f, offset: int = 0, chunk: int = CHUNK) -> _Plain:
     f.seek(offset)
     magic = f.read(2)
     f.seek(offset)
-    return (_Gzip if magic == b"\x1f\x8b" else _Plain)(f, offset)
+    return (_Gzip if magic == b"\x1f\x8b" else _Plain)(f, offset, chunk)
 
 
 def read_records(s: _Plain) -> Iterator[Record]:
@@ -303,6 +305,43 @@ def to_captures(records: DataFrame) -> DataFrame:
     return out.where("cle is not null and ssu is not null and sts is not null")
 
 
+def placed_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns rid, headers, block, error of rows (rid, path, offset), handed over in batches of bounded rows and bytes."""
+    types = [pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+    current, f, rows, size = None, None, [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["rid", "headers", "block", "error"])
+
+    try:
+        for batch in batches:
+            for rid, path, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    if path is None or offset is None:
+                        raise FileNotFoundError("no file or offset")
+                    if path != current:
+                        if f:
+                            f.close()
+                        current, f = path, open_stream(path)
+                    record = next(read_records(_stream(f, offset, LOOKUP_CHUNK)))
+                    rows.append((rid, list(record.headers.items()), record.block, None))
+                    size += len(record.block)
+                except StopIteration:
+                    rows.append((rid, None, None, "no record at this offset"))
+                except (OSError, ValueError, EOFError, zlib.error) as e:
+                    rows.append((rid, None, None, str(e)))
+                    if isinstance(e, OSError):
+                        current = None
+                if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield made()
+                    rows, size = [], 0
+        if rows:
+            yield made()
+    finally:
+        if f:
+            f.close()
+
+
 def extract_records(captures: DataFrame, files: DataFrame) -> DataFrame:
     """Columns rid, headers, block, error of captures (rid, filename, offset), read from their files.
 
@@ -310,34 +349,5 @@ def extract_records(captures: DataFrame, files: DataFrame) -> DataFrame:
     """
     ship(captures.sparkSession)
     placed = captures.select("rid", "filename", "offset").join(files.select(F.col("name").alias("filename"), "path"), "filename", "left")
-    placed = placed.repartition("path").sortWithinPartitions("path", "offset")
-
-    def load(batches):
-        import pandas as pd
-
-        current, f = None, None
-        try:
-            for batch in batches:
-                rows = []
-                for rid, path, offset in zip(batch["rid"], batch["path"], batch["offset"], strict=True):
-                    try:
-                        if path is None or pd.isna(offset):
-                            raise FileNotFoundError("no file or offset")
-                        if path != current:
-                            if f:
-                                f.close()
-                            current, f = path, open_stream(path)
-                        record = next(read_records(_stream(f, int(offset))))
-                        rows.append((rid, record.headers, record.block, None))
-                    except StopIteration:
-                        rows.append((rid, None, None, "no record at this offset"))
-                    except (OSError, ValueError, EOFError, zlib.error) as e:
-                        rows.append((rid, None, None, str(e)))
-                        if isinstance(e, OSError):
-                            current = None
-                yield pd.DataFrame(rows, columns=["rid", "headers", "block", "error"])
-        finally:
-            if f:
-                f.close()
-
-    return placed.mapInPandas(load, "rid string, headers map<string,string>, block binary, error string")
+    placed = placed.repartition("path").sortWithinPartitions("path", "offset").select("rid", "path", "offset")
+    return placed.mapInArrow(placed_records, "rid string, headers map<string,string>, block binary, error string")
