@@ -98,7 +98,7 @@ def resolve_revisits(captures: DataFrame, among: DataFrame | None = None) -> Dat
     revisits = revisits.select("rid", "roi", "rou", F.coalesce(F.unix_timestamp("rod"), F.col("unix")).alias("at"))
     named = revisits.where("roi is not null")
     originals = ranges.asked_only(captures.select(F.col("rid").alias("roi"), F.col("rid").alias("original"), F.col("ref").alias("original_ref")), named, ["roi"])
-    by_id = named.join(originals, "roi", "left")
+    by_id = named.join(originals.hint("merge"), "roi", "left")
     by_id = by_id.select("rid", "original", "original_ref", F.when(F.col("original").isNull(), "not_found").otherwise("ok").alias("outcome"))
     dated = revisits.where("roi is null and rou is not null")
     found = closest(scoped(dated, "rou").select("rid", "at", "host", "path", "psu"), captures.where("srt <> 'revisit' or roi is not null"), verbatim=True)
@@ -109,10 +109,13 @@ def resolve_revisits(captures: DataFrame, among: DataFrame | None = None) -> Dat
 
 
 def merge_revisits(records: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Records (rid, headers, block) of revisits with the payload of their originals: headers from the revisit, block from the original."""
-    pairs = resolved.where("outcome = 'ok'").select("rid", "original")
-    revisit = records.select("rid", "headers")
-    original = records.select(F.col("rid").alias("original"), "block")
+    """Records (rid, headers, block) of revisits with the payload of their originals: headers from the revisit, block from the original.
+
+    The planner takes records for as small as the list of files that they come from; the hints keep it from sending all blocks through the driver.
+    """
+    pairs = resolved.where("outcome = 'ok'").select("rid", "original").hint("merge")
+    revisit = records.select("rid", "headers").hint("merge")
+    original = records.select(F.col("rid").alias("original"), "block").hint("merge")
     return pairs.join(revisit, "rid").join(original, "original").select("rid", "original", "headers", "block")
 
 
