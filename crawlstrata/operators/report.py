@@ -13,6 +13,7 @@ from crawlstrata.functions.keys import mime_group
 from crawlstrata.functions.urls import with_target
 from crawlstrata.operators import ranges
 from crawlstrata.plans.search import SearchRequest, search
+from crawlstrata.scratch import written
 
 SUMS = {"content_length": "cle", "payload_length": "ple", "record_length": "rle"}
 
@@ -40,7 +41,7 @@ def totals(captures: DataFrame, suffixes: DataFrame) -> DataFrame:
     """One row: records, domains, targets, target_captures, urls and byte sums. Distinct counts come from one pre-aggregation per (host, path)."""
     pages = captures.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in SUMS.items()])
     hosts = pages.groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("urls"), F.sum(F.when(F.col("path") == "/", F.col("n")).otherwise(0)).alias("roots"), *[F.sum(k).alias(k) for k in SUMS])
-    targets = with_target(hosts, suffixes).groupBy("target").agg(F.sum("n").alias("n"), F.sum("urls").alias("urls"), F.sum("roots").alias("roots"), F.count("*").alias("hosts"), *[F.sum(k).alias(k) for k in SUMS])
+    targets = with_target(written(hosts), suffixes).groupBy("target").agg(F.sum("n").alias("n"), F.sum("urls").alias("urls"), F.sum("roots").alias("roots"), F.count("*").alias("hosts"), *[F.sum(k).alias(k) for k in SUMS])
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return targets.agg(zero("n").alias("records"), zero("hosts").alias("domains"), F.count("*").alias("targets"), zero("roots").alias("target_captures"), zero("urls").alias("urls"), *[zero(k).alias(k) for k in SUMS])
 
@@ -63,7 +64,7 @@ def report_data(captures: DataFrame, suffixes: DataFrame) -> DataFrame:
 
     Captures are counted once per (host, path, values), so the distinct counts and maps need no further pass over them.
     """
-    fine = captures.groupBy("host", "path", *[c.alias(k) for k, c in breakdowns().items()]).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in SUMS.values()])
+    fine = written(captures.groupBy("host", "path", *[c.alias(k) for k, c in breakdowns().items()]).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in SUMS.values()]))
     maps = [fine.groupBy(F.lit(k).alias("what"), F.col(k).alias("value")).agg(F.sum("n").alias("n")) for k in breakdowns()]
     counts = maps[0]
     for m in maps[1:]:
@@ -73,7 +74,7 @@ def report_data(captures: DataFrame, suffixes: DataFrame) -> DataFrame:
     pages = fine.groupBy("host", "path").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS.values()])
     hosts = pages.groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("urls"), F.sum(F.when(F.col("path") == "/", F.col("n")).otherwise(0)).alias("roots"), *[F.sum(c).alias(c) for c in SUMS.values()])
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    whole = with_target(hosts, suffixes).agg(zero("n").alias("records"), F.count("*").alias("domains"), F.count_distinct("target").alias("targets"), zero("roots").alias("target_captures"), zero("urls").alias("urls"), *[zero(c).alias(k) for k, c in SUMS.items()])
+    whole = with_target(written(hosts), suffixes).agg(zero("n").alias("records"), F.count("*").alias("domains"), F.count_distinct("target").alias("targets"), zero("roots").alias("target_captures"), zero("urls").alias("urls"), *[zero(c).alias(k) for k, c in SUMS.items()])
     return whole.withColumn("_one", F.lit(1)).join(joined.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
