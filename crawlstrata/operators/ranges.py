@@ -13,9 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from crawlstrata.scratch import written
+from crawlstrata.scratch import drop, written
 
 PART = "_part"
+#: Rows of a range, about: what a task sorts and holds.
+PART_ROWS = 100_000
 #: Bits of the map of asked values, and bits of one row of it (as Spark's bitmap functions have it).
 MAP_BITS, ROW_BITS = 1 << 26, 1 << 15
 
@@ -25,6 +27,24 @@ def spread(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     return written(rows.repartitionByRange(*scope, *order).withColumn(PART, F.spark_partition_id()))
 
 
+def spread_large(rows: DataFrame, scope: list[str], order: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """The same, with as many ranges as the rows fill, so that a range doesn't grow with the table.
+
+    Rows are written first: dealing by range reads them twice, and they may be dear to compute.
+    """
+    flat = written(rows)
+    n = max(-(-flat.count() // part_rows), 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    parts = written(flat.repartitionByRange(n, *scope, *order).withColumn(PART, F.spark_partition_id()))
+    drop(flat)
+    parts.ranges = n
+    return parts
+
+
+def dealt(parts: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows of ``spread_large`` for windows ``within`` a scope: as many tasks as ranges."""
+    return parts.repartition(parts.ranges, PART, *scope)
+
+
 def within(scope: list[str]) -> WindowSpec:
     """Rows of a scope in one part."""
     return Window.partitionBy(PART, *scope)

@@ -41,7 +41,7 @@ def _united(requests: DataFrame, captures: DataFrame, scope: list[str], request:
     held = ranges.asked_only(captures, requests, scope)
     asked = requests.select(*scope, F.col("at").alias("_t"), F.lit(0).alias("_side"), F.lit("").alias("_key"), F.xxhash64(*requests.columns).alias("_tie"), request.alias("_request"))
     held = held.select(*scope, F.col("unix").alias("_t"), F.lit(1).alias("_side"), F.col("key").alias("_key"), F.lit(0).cast("long").alias("_tie"), capture.alias("_capture"))
-    return ranges.spread(asked.unionByName(held, allowMissingColumns=True), scope, ["_t", "_side", "_key", "_tie"])
+    return ranges.spread_large(asked.unionByName(held, allowMissingColumns=True), scope, ["_t", "_side", "_key", "_tie"])
 
 
 def closest(requests: DataFrame, captures: DataFrame, verbatim: bool = False, answer: tuple[str, ...] = ("rid", "key", "ref", "unix")) -> DataFrame:
@@ -53,18 +53,24 @@ def closest(requests: DataFrame, captures: DataFrame, verbatim: bool = False, an
     """
     scope = ["host", "path", *(["psu"] if verbatim else [])]
     columns = list(dict.fromkeys([*answer, "unix", "key"]))
-    both = _united(requests, captures, scope, F.struct(*requests.columns), F.struct(*columns))
+    # What stands in the columns of the order is not written twice.
+    own = {"unix": F.col("_t"), "key": F.col("_key")}
+    mine = {"at": F.col("_t"), **{c: F.col(c) for c in scope}}
+    rest = lambda names, known: F.struct(F.lit(True).alias("_"), *[c for c in names if c not in known])
+    both = _united(requests, captures, scope, rest(requests.columns, mine), rest(columns, own))
+    capture = F.when(F.col("_side") == 1, F.struct(*[own.get(c, F.col(f"_capture.{c}")).alias(c) for c in columns]))
     place = F.when(F.col("_side") == 1, F.struct("_t", "_key"))
-    edge = ranges.carried(both, scope, {"_first": F.min_by("_capture", place), "_last": F.max_by("_capture", place)}, {"_earlier": ("_last", "last"), "_later": ("_first", "first")})
-    up = ranges.within(scope).orderBy("_t", "_side", "_key").rowsBetween(Window.unboundedPreceding, 0)
-    down = ranges.within(scope).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_key")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_before", F.last("_capture", ignorenulls=True).over(up)).withColumn("_after", F.last("_capture", ignorenulls=True).over(down))
+    edge = ranges.carried(both, scope, {"_first": F.min_by(capture, place), "_last": F.max_by(capture, place)}, {"_earlier": ("_last", "last"), "_later": ("_first", "first")})
+    held = ranges.dealt(both, scope).withColumn("_held", capture).drop("_capture")
+    known = ", ".join((ranges.PART, *scope))
+    beside = lambda f: F.expr(f"{f}(_held, 1) ignore nulls over (partition by {known} order by _t, _side, _key)")
+    seen = held.select("*", beside("lag").alias("_before"), beside("lead").alias("_after"))
     seen = ranges.with_carried(seen.where("_side = 0"), edge, scope)
-    seen = seen.select("_request", "_t", F.coalesce("_before", "_earlier").alias("_before"), F.coalesce("_after", "_later").alias("_after"))
+    seen = seen.select(*scope, "_request", "_t", F.coalesce("_before", "_earlier").alias("_before"), F.coalesce("_after", "_later").alias("_after"))
     back, ahead = F.col("_t") - F.col("_before.unix"), F.col("_after.unix") - F.col("_t")
     forward = F.col("_before").isNull() | (ahead < back)
     nearest = F.when(F.col("_after").isNotNull() & forward, F.col("_after")).otherwise(F.col("_before"))
-    return seen.select("_request.*", nearest.alias("nearest"))
+    return seen.select(*[mine.get(c, F.col(f"_request.{c}")).alias(c) for c in requests.columns], nearest.alias("nearest"))
 
 
 def closest_k(requests: DataFrame, captures: DataFrame, k: int, verbatim: bool = False) -> DataFrame:
@@ -77,7 +83,7 @@ def closest_k(requests: DataFrame, captures: DataFrame, k: int, verbatim: bool =
     both = _united(requests.select(*scope, "at", "request"), captures, scope, F.col("request"), F.col("rid"))
     edge = ranges.carried(both, scope, {"_n": F.sum("_side")}, {"_passed": ("_n", "sum")})
     order = ranges.within(scope).orderBy("_t", "_side", "_key").rowsBetween(Window.unboundedPreceding, 0)
-    both = ranges.with_carried(both.withColumn("_own", F.sum("_side").over(order)), edge, scope).withColumn("_number", F.col("_own") + F.coalesce("_passed", F.lit(0)))
+    both = ranges.with_carried(ranges.dealt(both, scope).withColumn("_own", F.sum("_side").over(order)), edge, scope).withColumn("_number", F.col("_own") + F.coalesce("_passed", F.lit(0)))
     numbers = F.sequence(F.greatest(F.col("_number") - (k - 1), F.lit(1)), F.col("_number") + k)
     wanted = both.where("_side = 0").select(*scope, F.col("_request").alias("request"), F.col("_t").alias("at"), F.explode(numbers).alias("_number"))
     found = wanted.join(both.where("_side = 1").select(*scope, "_number", F.col("_t").alias("unix"), F.col("_key").alias("key"), F.col("_capture").alias("rid")), [*scope, "_number"])
