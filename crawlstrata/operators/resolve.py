@@ -141,7 +141,10 @@ def replay_plan(requests: DataFrame, captures: DataFrame, location: str = "locat
     The nearest capture answers; a revisit through its original, a redirect through the capture of its target. Only
     revisits and redirects that are hit are resolved. Outcomes: ok, not_found, refers_to_not_found, redirect, redirect_not_found, error.
     """
-    asked = scoped(requests.select("request", "url", "at"))
+    # Every step below reads the captures again.
+    captures = written(captures.select("rid", "uri", "key", "ref", "unix", "host", "path", "psu", "srt", "roi", "rou", "rod", "hsc", F.col(location).alias("_location")))
+    location = "_location"
+    asked = scoped(requests.select("request", "url", "at")).drop("url")
     hit = written(closest(asked, captures, verbatim=True, answer=("rid", "ref")).select("request", F.col("nearest.rid").alias("rid"), F.col("nearest.ref").alias("ref")))
     hits = hit.where("rid is not null").select("rid")
     originals = resolve_revisits(captures, hits).withColumnRenamed("outcome", "revisit_outcome")
