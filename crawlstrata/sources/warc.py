@@ -25,6 +25,8 @@ SCHEMA = "path string, filename string, offset long, length long, type string, h
 CHUNK = 1 << 20
 #: Bytes of files that a task reads, and bytes and rows that it hands over at once.
 TASK_BYTES, BATCH_BYTES, BATCH_ROWS = 256 << 20, 16 << 20, 1000
+#: So many files, if each has a task of its own, are dealt without ranges.
+FEW = 64
 #: Bytes that are read at once where single records are looked up.
 LOOKUP_CHUNK = 1 << 16
 
@@ -210,6 +212,8 @@ def packed(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     spark = files.sparkSession
     total, n = files.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     tasks = max(1, min(n, max(-(-total // task_bytes), spark.sparkContext.defaultParallelism)))
+    if n <= min(tasks, FEW):
+        return files.select("path", "size", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "path")) - 1).alias("task"), F.lit(tasks).alias("tasks"))
     parts = ranges.spread(files.select("path", (-F.col("size")).alias("_less")), [], ["_less", "path"])
     # One row for each part.
     counts = parts.groupBy(ranges.PART).agg(F.count("*").alias("_n"))
@@ -229,6 +233,12 @@ def read_warc(spark: SparkSession, files: DataFrame | list[str], task_bytes: int
         files = paths.join(known, "path", "left").select("path", F.coalesce("size", F.lit(0)).alias("size"))
     dealt = written(packed(files, task_bytes))
     first = dealt.select("tasks").first()
+    return read_in_place(dealt.repartitionById(first[0] if first else 1, "task"))
+
+
+def read_in_place(files: DataFrame) -> DataFrame:
+    """All records of the files (column path), as they are dealt: each task reads those of its partition."""
+    ship(files.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -243,7 +253,7 @@ def read_warc(spark: SparkSession, files: DataFrame | list[str], task_bytes: int
         if rows:
             yield _rows(rows)
 
-    return dealt.repartitionById(first[0] if first else 1, "task").select("path").mapInArrow(read, SCHEMA)
+    return files.select("path").mapInArrow(read, SCHEMA)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

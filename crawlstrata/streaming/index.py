@@ -10,6 +10,9 @@ their earlier rows, so that rows of other files that had lost their key to them
 ``compact`` folds batches into segments: sorted files of one key range each, named in a manifest. Only the segments whose range has
 new keys (or rows of replaced files) are written again. Readers merge the rows of pending batches with segments by key, and
 only where a pending key or a replaced file touches them; without pending batches they read the segments' winning rows as they are.
+
+A stream folds by ``fold``: pending batches become a run, together with the last runs as long as those hold no more batches, and with the segments once
+the rest holds as many batches as they do. So a row is written again once for each doubling of the index, not at every fold. Readers take a run as a pending batch.
 """
 
 from __future__ import annotations
@@ -21,31 +24,41 @@ import re
 import uuid
 import zlib
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from crawlstrata.functions.keys import with_keys
 from crawlstrata.operators import lists, store
 from crawlstrata.scratch import drop, hadoop, written
 from crawlstrata.sources.files import file_info
-from crawlstrata.sources.warc import http_records, read_warc, to_captures
+from crawlstrata.sources.warc import http_records, read_in_place, read_warc, to_captures
 
 #: Rows of a segment, about.
 SEGMENT_ROWS = 1_000_000
+#: So many paths of a batch are looked up in one task and in few jobs.
+FEW_PATHS = 64
+FILES = "name string, path string, size long, last_modified timestamp"
 
 
 @dataclass
 class State:
-    """The index after entry ``number``: the last fold, and the batches that are not in it."""
+    """The index after entry ``number``: the last fold, and the batches that are not in it. A fold holds segments and, after them, runs."""
 
     number: int = 0
     fold: dict = field(default_factory=dict)
     pending: list[dict] = field(default_factory=list)
     streams: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def parts(self) -> list[dict]:
+        """What is not in segments: runs and pending batches, the oldest first."""
+        return [*self.fold.get("runs", []), *self.pending]
+
 
 def _local(system, p) -> str | None:
     return p.toUri().getPath() if system.getUri().getScheme() == "file" else None
@@ -97,7 +110,13 @@ def state(spark: SparkSession, base: str) -> State:
     p, system = hadoop(spark, f"{base}/log")
     if not system.exists(p):
         return State()
-    names = [s.getPath().getName() for s in system.listStatus(p)]
+    local = _local(system, p)
+    if local:
+        names = os.listdir(local)
+    else:  # one call, however many entries there are
+        jvm = spark._jvm
+        paths = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(system.listStatus(p))
+        names = [x.rsplit("/", 1)[-1] for x in jvm.org.apache.hadoop.util.StringUtils.join("\n", jvm.java.util.Arrays.asList(paths)).split("\n")]
     numbers = sorted((int(n[:12]) for n in names if re.fullmatch(r"[0-9]{12}\.json", n)), reverse=True)
     out = State(max(numbers, default=0))
     for n in numbers:
@@ -129,16 +148,36 @@ def _segment_rows(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     return spark.read.parquet(*paths) if paths else None
 
 
-def _pending(spark: SparkSession, s: State) -> tuple[DataFrame | None, DataFrame | None]:
-    """Captures of pending batches with the number of their entry, and replaced files (filename, _gone: the entry before which their rows go)."""
-    rows = gone = None
-    for e in s.pending:
-        mine = spark.read.parquet(f"{e['data']}/captures").withColumn("_n", F.lit(e["number"]).cast("long"))
-        rows = mine if rows is None else rows.unionByName(mine)
-        if e["replace"]:
-            files = spark.read.parquet(f"{e['data']}/files").select(F.col("name").alias("filename"), F.lit(e["number"]).cast("long").alias("_gone"))
-            gone = files if gone is None else gone.unionByName(files)
-    return rows, gone and gone.groupBy("filename").agg(F.max("_gone").alias("_gone"))
+def _part_rows(spark: SparkSession, part: dict) -> DataFrame:
+    """Captures of a pending batch or a run, with the number of their entry."""
+    reader = spark.read.schema(StructType.fromJson(part["schema"])) if "schema" in part else spark.read
+    if "data" in part:
+        return reader.parquet(f"{part['data']}/captures").withColumn("_n", F.lit(part["number"]).cast("long"))
+    return reader.parquet(part["captures"])
+
+
+def _part_files(spark: SparkSession, part: dict) -> DataFrame:
+    """Files of a pending batch or a run, with the number of their entry."""
+    if "data" in part:
+        return spark.read.schema(FILES).parquet(f"{part['data']}/files").withColumn("_n", F.lit(part["number"]).cast("long"))
+    return spark.read.schema(f"{FILES}, _n long").parquet(part["files"])
+
+
+def _part_gone(spark: SparkSession, part: dict) -> DataFrame | None:
+    """Files that a pending batch or a run replaced (filename, _gone: the entry before which their rows go)."""
+    if "data" in part:
+        return _part_files(spark, part).select(F.col("name").alias("filename"), F.col("_n").alias("_gone")) if part["replace"] else None
+    return spark.read.schema("filename string, _gone long").parquet(part["gone"]) if part["gone"] else None
+
+
+def _union(tables: list[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.unionByName, tables) if tables else None
+
+
+def _pending(spark: SparkSession, parts: list[dict]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Captures of pending batches and runs, and the files that they replaced."""
+    gone = _union([g for part in parts if (g := _part_gone(spark, part)) is not None])
+    return _union([_part_rows(spark, part) for part in parts]), gone and gone.groupBy("filename").agg(F.max("_gone").alias("_gone"))
 
 
 def _alive(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
@@ -152,21 +191,22 @@ WRITES = ("file_time", "filename", "offset", "_n")
 IN_FILE = ("file_time", "offset", "_n")
 
 
+def _all_files(spark: SparkSession, s: State) -> DataFrame:
+    """Files of the fold and after it, with the number of their entry (0: in the fold's own table)."""
+    held = [spark.read.schema(FILES).parquet(s.fold["files"]).withColumn("_n", F.lit(0).cast("long"))] if s.fold.get("files") else []
+    return _union(held + [_part_files(spark, part) for part in s.parts])
+
+
 def load(spark: SparkSession, base: str, table: str) -> DataFrame | None:
     """The table captures, ids or files as of now; None before the first batch."""
     s = state(spark, base)
     if not s.number:
         return None
     if table == "files":
-        parts = [spark.read.parquet(s.fold["files"]).withColumn("_n", F.lit(0).cast("long"))] if s.fold.get("files") else []
-        parts += [spark.read.parquet(f"{e['data']}/files").withColumn("_n", F.lit(e["number"]).cast("long")) for e in s.pending]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return store.latest(rows, ["name"], [F.col("_n")]).drop("_n")
+        return store.latest(_all_files(spark, s), ["name"], [F.col("_n")]).drop("_n")
     manifest = _segments(spark, s)
     held = _segment_rows(spark, [r["path"] for r in manifest.collect()] if manifest else [])
-    new, gone = _pending(spark, s)
+    new, gone = _pending(spark, s.parts)
     if new is None:
         if held is None:
             return spark.read.parquet(s.fold["empty"]) if table == "captures" else lists.ids(spark.read.parquet(s.fold["empty"]))
@@ -196,14 +236,14 @@ def _finder(lows: list[str]):
 
 
 def compact(spark: SparkSession, base: str, segment_rows: int = SEGMENT_ROWS) -> int:
-    """Fold pending batches into the segments that they touch; the number of old segments written again (0 too if there is nothing to do).
+    """Fold runs and pending batches into the segments that they touch; the number of old segments written again (0 too if there is nothing to do).
 
     The manifest has one row for each segment, that is one for about ``segment_rows`` captures, and passes through the driver.
     """
     s = state(spark, base)
-    if not s.pending:
+    if not s.parts:
         return 0
-    new, gone = _pending(spark, s)
+    new, gone = _pending(spark, s.parts)
     known = _segments(spark, s)
     old = sorted((r["low"], r["path"], r["rows"]) for r in known.collect()) if known else []
     of = _finder([low for low, *_ in old])("key")
@@ -229,17 +269,48 @@ def compact(spark: SparkSession, base: str, segment_rows: int = SEGMENT_ROWS) ->
     calm.unionByName(fresh).coalesce(1).write.parquet(f"{data}/manifest")
     some = spark.read.parquet(f"{data}/manifest").isEmpty()
     new.drop("_n").limit(0).write.parquet(f"{data}/empty")
-    load(spark, base, "files").write.parquet(f"{data}/files")
-    entry = {"kind": "fold", "upto": s.pending[-1]["number"], "manifest": None if some else f"{data}/manifest", "empty": f"{data}/empty", "files": f"{data}/files", "streams": s.streams}
+    store.latest(_all_files(spark, s), ["name"], [F.col("_n")]).drop("_n").write.parquet(f"{data}/files")
+    batches = s.fold.get("batches", 0) + sum(part.get("batches", 1) for part in s.parts)
+    entry = {"manifest": None if some else f"{data}/manifest", "empty": f"{data}/empty", "files": f"{data}/files", "batches": batches}
+    return len(touched) if _publish_fold(spark, base, s, entry, data) else 0
+
+
+def _publish_fold(spark: SparkSession, base: str, s: State, entry: dict, data: str) -> bool:
+    """Make a fold of all pending batches of a state the index's; False if another fold was first."""
+    entry = entry | {"kind": "fold", "upto": s.pending[-1]["number"] if s.pending else s.fold["upto"], "streams": s.streams}
     number = s.number + 1
     while not publish(spark, base, number, entry):
         now = state(spark, base)
-        if now.fold != s.fold:  # another fold was first; this one's tables are of no use
+        if now.fold != s.fold:  # this one's tables are of no use
             p, system = hadoop(spark, data)
             system.delete(p, True)
-            return 0
+            return False
         number = now.number + 1
-    return len(touched)
+    return True
+
+
+def fold(spark: SparkSession, base: str, segment_rows: int = SEGMENT_ROWS) -> None:
+    """Fold pending batches into a run, together with the last runs that hold no more batches than what comes after them; into segments (``compact``) once they hold as many batches as those."""
+    s = state(spark, base)
+    if not s.pending:
+        return
+    runs, taken, batches = list(s.fold.get("runs", [])), list(s.pending), len(s.pending)
+    while runs and runs[-1]["batches"] <= batches:
+        taken.insert(0, runs.pop())
+        batches += taken[0]["batches"]
+    if not runs and s.fold.get("batches", 0) <= batches:
+        compact(spark, base, segment_rows)
+        return
+    data = f"{base}/data/{uuid.uuid4().hex}"
+    new, gone = _pending(spark, taken)
+    # Rows of one key and file may go, as all entries that could hide one of them and not the other are in this run.
+    kept = store.latest(_alive(new, gone), ["key", "filename"], [F.col(c) for c in IN_FILE])
+    store.write_captures(kept, f"{data}/captures")
+    store.latest(_union([_part_files(spark, part) for part in taken]), ["name"], [F.col("_n")]).write.parquet(f"{data}/files")
+    if gone is not None:
+        gone.write.parquet(f"{data}/gone")
+    run = {"captures": f"{data}/captures", "files": f"{data}/files", "gone": f"{data}/gone" if gone is not None else None, "schema": kept.schema.jsonValue(), "batches": batches}
+    _publish_fold(spark, base, s, {k: v for k, v in s.fold.items() if k != "number"} | {"runs": [*runs, run]}, data)
 
 
 def clear(spark: SparkSession, base: str) -> None:
@@ -261,27 +332,40 @@ def index_files(spark: SparkSession, base: str, paths: DataFrame | list[str], in
 
     With ``replace_file`` what a changed file held before goes. ``stream`` and ``batch`` name a batch that may be delivered again.
     """
-    if stream and state(spark, base).streams.get(stream, -1) >= batch:
+    s = state(spark, base)
+    if stream and s.streams.get(stream, -1) >= batch:
         return 0
+    data = f"{base}/data/{uuid.uuid4().hex}"
     asked = spark.createDataFrame([(p,) for p in paths], "path string") if isinstance(paths, list) else paths.select("path")
+    few = asked.limit(FEW_PATHS + 1).collect()
+    if len(few) <= FEW_PATHS:
+        asked = spark.createDataFrame(few, "path string").coalesce(1)
     files = store.match_files(file_info(asked.distinct()), includes, excludes)
     files = store.latest(files, ["name"], [F.col("last_modified"), F.col("path")])
-    known = load(spark, base, "files")
-    fresh = written(store.new_or_changed(files, known) if known is not None else files)
+    if s.number:
+        known = _all_files(spark, s)
+        known = known.coalesce(1) if len(few) <= FEW_PATHS else known
+        files = store.new_or_changed(files, store.latest(known, ["name"], [F.col("_n")]))
+    files.write.parquet(f"{data}/files")
+    fresh = spark.read.schema(FILES).parquet(f"{data}/files")
     n = fresh.count()
     if not n:
-        drop(fresh)
+        p, system = hadoop(spark, data)
+        system.delete(p, True)
         return 0
     times = fresh.select(F.col("name").alias("filename"), F.col("last_modified").alias("file_time"))
-    rows = with_keys(to_captures(http_records(read_warc(spark, fresh)))).join(times, "filename")
+    # One file is read by one task, which may as well put its captures in order.
+    records = read_in_place(fresh.coalesce(1)) if n == 1 else read_warc(spark, fresh)
+    rows = with_keys(to_captures(http_records(records))).join(F.broadcast(times) if n <= FEW_PATHS else times, "filename")
     if max_key_bytes:
         rows = rows.where(F.octet_length("key") <= max_key_bytes)
-    data = f"{base}/data/{uuid.uuid4().hex}"
-    store.write_captures(store.latest(rows, ["key", "filename"], [F.col("offset")]), f"{data}/captures")
-    fresh.write.parquet(f"{data}/files")
-    drop(fresh)
-    entry = {"kind": "batch", "data": data, "replace": replace_file, "stream": stream, "batch": batch}
-    number = current(spark, base) + 1
+    rows = store.latest(rows, ["key", "filename"], [F.col("offset")])
+    if n == 1:
+        rows.sortWithinPartitions("key").write.parquet(f"{data}/captures")
+    else:
+        store.write_captures(rows, f"{data}/captures")
+    entry = {"kind": "batch", "data": data, "replace": replace_file, "stream": stream, "batch": batch, "schema": rows.schema.jsonValue()}
+    number = s.number + 1
     while not publish(spark, base, number, entry):
         s = state(spark, base)
         if stream and s.streams.get(stream, -1) >= batch:
@@ -301,7 +385,7 @@ def start_indexing(paths: DataFrame, base: str, checkpoint: str, max_wait: str |
         spark = df.sparkSession
         index_files(spark, base, df, stream=stream, batch=batch, **options)
         if len(state(spark, base).pending) >= compact_after:
-            compact(spark, base)
+            fold(spark, base)
 
     writer = paths.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=max_wait) if max_wait else writer.trigger(availableNow=True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlstrata.streaming import index
-from crawlstrata.streaming.index import clear, compact, current, index_files, load, publish, start_indexing, state
+from crawlstrata.streaming.index import clear, compact, current, fold, index_files, load, publish, start_indexing, state
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 2\r\n\r\nok"
 
@@ -178,3 +178,35 @@ def test_clear(spark, tmp_path):
     clear(spark, base)
     assert [held(spark, base, t) for t in ("captures", "ids", "files")] == [[], [], []]
     assert index_files(spark, base, [path]) == 1 and held(spark, base) == [("/a", "1", "a.warc")]
+
+
+def test_folds_of_a_stream_leave_larger_segments_alone(spark, tmp_path):
+    """Segments of four batches: a fold of two more becomes a run, and the next one brings all together. A file that a batch of the run replaces loses its rows all along."""
+    base = str(tmp_path / "base")
+    paths = [warc(tmp_path / f"{k}.warc", [(f"r{k}", f"p{k}", 1), (f"s{k}", "same", 1)]) for k in range(7)]
+    index_files(spark, base, paths[:1])
+    index_files(spark, base, paths[1:2])
+    index_files(spark, base, paths[2:3])
+    index_files(spark, base, paths[3:4])
+    fold(spark, base)
+    first = state(spark, base).fold
+    assert first["batches"] == 4 and not first.get("runs")
+    index_files(spark, base, paths[4:5])
+    warc(tmp_path / "0.warc", [("again", "p0", 1)], when=1_600_000_001)
+    index_files(spark, base, paths[:1], replace_file=True)
+    want = [("/p0", "again", "0.warc"), *[(f"/p{k}", f"r{k}", f"{k}.warc") for k in range(1, 5)], ("/same", "s4", "4.warc")]
+    assert held(spark, base) == want
+    fold(spark, base)
+    s = state(spark, base)
+    assert s.fold["manifest"] == first["manifest"] and [r["batches"] for r in s.fold["runs"]] == [2] and s.pending == []
+    assert held(spark, base) == want and held(spark, base, "files") == [f"{k}.warc" for k in range(5)]
+    # The file that had won its key is replaced by less: the next one's row, in the segments, comes back.
+    warc(tmp_path / "4.warc", [("r4", "p4", 1)], when=1_600_000_001)
+    index_files(spark, base, paths[4:5], replace_file=True)
+    index_files(spark, base, paths[5:6])
+    want[-1:] = [("/p5", "r5", "5.warc"), ("/same", "s5", "5.warc")]
+    assert held(spark, base) == want
+    fold(spark, base)
+    s = state(spark, base)
+    assert s.fold["manifest"] != first["manifest"] and s.fold["batches"] == 8 and not s.fold.get("runs") and s.pending == []
+    assert held(spark, base) == want and held(spark, base, "files") == [f"{k}.warc" for k in range(6)]
