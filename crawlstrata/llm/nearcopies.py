@@ -10,9 +10,10 @@ exactly, so no link of the components is lost. First the nodes of each band valu
 them: pairs in proportion to the nodes, no key in one task. That ties nearly all of a crowd of near copies together. Band values in which nodes are still
 apart are compared by their rarest shingles: two sets of similarity s share one of the first n - s * n + 1 of their shingles, in any order; with the rarest
 in front, sets that only have common passages do not meet. There only nodes outside the
-largest component of a shingle meet the others: of a shingle with few nodes in a join, of a larger one in blocks of bounded size, in which bitmaps (below)
-are compared and only pairs that can be similar leave the task. That last comparison of bitmaps grows with (nodes outside) x (nodes) of a shingle.
-Pairs that cannot be similar are not compared: a bitmap of each set (a bit for each value of the low bits of its hashes) shows how
+largest component of a shingle meet the others: of a shingle with few nodes in a join, of a larger one in blocks of bounded size, in which the sets themselves
+are compared. A block gives links only, and of them only those that tie together what was apart in it: fewer than it has nodes. The comparisons inside
+blocks grow with (nodes outside) x (nodes) of a shingle.
+Elsewhere pairs that cannot be similar are not compared: a bitmap of each set (a bit for each value of the low bits of its hashes) shows how
 many members at least the other set lacks, so no similar pair is lost. Each set is hashed once, however often it is compared.
 
 Defined results: texts without words (or null) are copies of each other; of each component the row of the smallest id stays
@@ -42,8 +43,8 @@ _draw = np.random.default_rng(11)
 MASKS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 #: Words of 64 bits in the bitmap of a set.
 WORDS = 16
-#: Nodes of a random group of a band value, nodes of a shingle that meet in a join, nodes on each side of a block of a larger one, and counters of shingles.
-GROUP, FEW, BLOCK = 4, 16, 1024
+#: Nodes of a random group of a band value, nodes of a shingle that meet in a join, nodes and their shingles on each side of a block of a larger one, and counters of shingles.
+GROUP, FEW, BLOCK, BLOCK_SHINGLES = 4, 16, 1024, 1 << 20
 SLOTS = 1 << 18
 FACTORS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -121,31 +122,72 @@ def across(rows: DataFrame) -> DataFrame:
     return rows.join(ahead, "key").where("root <> other_root").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def across_blocks(rows: DataFrame, facts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """The pairs of ``across`` that can be similar by their bitmaps. A key is dealt into blocks of about ``block`` nodes a side, whatever its size. facts: node, n, bits."""
+def spanning(ours: list[np.ndarray], theirs: list[np.ndarray], component: np.ndarray, other: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (place in ours, place in theirs) of similar sets of different components, as many as tie together all that such pairs tie. component and other: those of ours and theirs."""
+    ends = np.cumsum([len(s) for s in theirs])
+    sizes = np.diff(ends, prepend=0)
+    values, at = np.unique(np.concatenate(theirs), return_inverse=True)
+    _, label = np.unique(np.concatenate((component, other)), return_inverse=True)
+    label, of = label[: len(ours)], label[len(ours) :]
+    # The label of each component, and of those that it was tied to.
+    tied = np.arange(len(ours) + len(theirs))
+    found, member = [], np.zeros(len(values), bool)
+    for i, s in enumerate(ours):
+        if (tied[of] == tied[label[i]]).all():
+            continue
+        places = np.minimum(np.searchsorted(values, s), len(values) - 1)
+        places = places[values[places] == s]
+        member[places] = True
+        both = np.add.reduceat(member[at], ends - sizes, dtype=np.int64)
+        member[places] = False
+        near = np.flatnonzero(both >= least * (len(s) + sizes - both) - 1e-9)
+        while len(near := near[tied[of[near]] != tied[label[i]]]):
+            found.append((i, int(near[0])))
+            tied[tied == tied[of[near[0]]]] = tied[label[i]]
+    return found
+
+
+def across_blocks(rows: DataFrame, facts: DataFrame, least: float, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Of the pairs of ``across``, similar ones that tie together all that similar ones tie. A key is dealt into blocks of about ``block`` nodes and ``block_shingles`` shingles a side, whatever its size. facts: node, n, bits, set.
+
+    Without the column set, all those pairs that can be similar by their bitmaps.
+    """
     kind = rows.schema["node"].dataType.simpleString()
-    known = rows.join(facts, "node").withColumn("h", F.xxhash64("node")).withColumn("component", F.xxhash64("root"))
-    columns = [*[F.ceil(F.col(c) / block).cast("int").alias(k) for c, k in (("outside", "n_i"), ("nodes", "n_j"))], (F.col("root") != F.col("top")).alias("out")]
-    known = known.select("key", "node", "n", "bits", "h", "component", *columns)
+    exact = "set" in facts.columns
+    content = "set" if exact else "bits"
+    out = F.col("root") != F.col("top")
+    sized = rows.join(facts.select("node", "n"), "node")
+    shares = sized.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum(F.when(out, F.col("n")).otherwise(0)).alias("out_n"))
+    known = rows.join(shares, "key").join(facts.select("node", "n", content), "node").withColumn("h", F.xxhash64("node")).withColumn("component", F.xxhash64("root"))
+    parts = lambda nodes, n: F.greatest(F.ceil(F.col(nodes) / block), F.ceil(F.col(n) / block_shingles)).cast("int")
+    known = known.select("key", "node", "n", content, "h", "component", parts("outside", "out_n").alias("n_i"), parts("nodes", "all_n").alias("n_j"), out.alias("out"))
     dealt = lambda n: F.pmod("h", F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    facts_of = ["key", "node", "n", "bits", "component"]
+    facts_of = ["key", "node", "n", content, "component"]
     left = known.where("out").select(*facts_of, F.lit(True).alias("left"), dealt("n_i").alias("i"), every("n_j").alias("j"))
     right = known.select(*facts_of, F.lit(False).alias("left"), dealt("n_j").alias("j"), every("n_i").alias("i"))
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pa.Table.from_batches(list(batches)).combine_chunks()
-        bits = found["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
         n, component, is_left = found["n"].to_numpy(), found["component"].to_numpy(), found["left"].to_numpy()
         ours, theirs = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        nodes = found["node"].combine_chunks()
+        made = lambda a, b: pa.RecordBatch.from_arrays([nodes.take(pa.array(a, pa.int64())), nodes.take(pa.array(b, pa.int64()))], ["a", "b"])
+        if not len(ours) or not len(theirs):
+            return
+        if exact:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in found["set"]]
+            pairs = spanning([sets[k] for k in ours], [sets[k] for k in theirs], component[ours], component[theirs], least)
+            yield made(ours[[i for i, _ in pairs]], theirs[[j for _, j in pairs]])
+            return
+        bits = found["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
         for k in range(0, len(ours), 64):
             a = ours[k : k + 64]
             x, y = bits[a][:, None], bits[theirs][None]
             both = np.minimum(n[a][:, None] - np.bitwise_count(x & ~y).sum(axis=2, dtype=np.int64), n[theirs][None] - np.bitwise_count(y & ~x).sum(axis=2, dtype=np.int64))
             near = (both * (1 + least) >= least * (n[a][:, None] + n[theirs][None]) - 1e-6) & (component[a][:, None] != component[theirs][None])
             i, j = np.nonzero(near)
-            nodes = found["node"].combine_chunks()
-            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a[i])), nodes.take(pa.array(theirs[j]))], ["a", "b"])
+            yield made(a[i], theirs[j])
 
     ship(rows.sparkSession)
     pairs = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
@@ -227,8 +269,8 @@ def links(nodes: DataFrame, texts: DataFrame, least: float, size: int) -> DataFr
     if not apart.isEmpty():
         crowd = apart.select("node").distinct()
         asked = stash(undecided(rare_shingles(sets.join(crowd, "node", "left_semi"), least), roots))
-        pairs = across(asked.where(F.col("nodes") <= FEW)).unionByName(across_blocks(asked.where(F.col("nodes") > FEW), facts, least)).distinct()
-        edges = edges.unionByName(near(pairs))
+        tied = stash(across_blocks(asked.where(F.col("nodes") > FEW), facts.join(sets, "node"), least))
+        edges = edges.unionByName(near(across(asked.where(F.col("nodes") <= FEW)))).unionByName(tied)
         drop(asked)
     drop(sets, roots, apart)
     return edges

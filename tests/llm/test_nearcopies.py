@@ -180,3 +180,24 @@ def test_rarest_shingles_meet_for_every_similar_pair(spark):
         rare.setdefault(x["node"], set()).add(x["key"])
     near = [(a, b) for b in range(60) for a in range(b) if nearcopies.similar(sets[a], sets[b], 0.8)]
     assert len(near) > 100 and all(rare[a] & rare[b] for a, b in near)
+
+
+def test_blocks_give_links_that_span_and_no_more(spark):
+    """A family of sets of similarity about 0.73, which are no links, with near ones among them, under many keys: blocks of sets give the components of brute force, and fewer rows than they have nodes."""
+    draw = np.random.default_rng(12)
+    base = np.unique(draw.integers(0, 1 << 64, 400, np.uint64))
+    changed = lambda s, k: np.unique(np.concatenate([np.delete(s, draw.permutation(len(s))[:k]), draw.integers(0, 1 << 64, k, np.uint64)]))
+    sets = [changed(base, 32) for _ in range(70)]
+    sets += [changed(sets[k % 7], 20) for k in range(30)]
+    n = len(sets)
+    pairs = [(a, b) for b in range(n) for a in range(b) if nearcopies.similar(sets[a], sets[b], 0.8)]
+    want = closure(range(n), pairs)
+    assert len(want) == 70 and len(pairs) > 60
+    keys = 5
+    rows = spark.createDataFrame([(key, k, k, 0, n, n - 1) for k in range(n) for key in range(keys)], "key long, node int, root int, top int, nodes long, outside long")
+    facts = spark.createDataFrame([(k, len(s), nearcopies.bitmap(s).tolist(), bytearray(s.tobytes())) for k, s in enumerate(sets)], "node int, n long, bits array<long>, set binary")
+    maybe = nearcopies.across_blocks(rows, facts.drop("set"), 0.8).count()
+    for limits in ((1024, 1 << 20), (16, 1 << 20), (1024, 8000)):
+        found = [(x["a"], x["b"]) for x in nearcopies.across_blocks(rows, facts, 0.8, *limits).collect()]
+        assert set(found) <= set(pairs) and closure(range(n), found) == want
+        assert len(found) < n and maybe > 5 * len(found)
