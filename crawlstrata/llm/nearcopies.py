@@ -164,13 +164,17 @@ def across_blocks(rows: DataFrame, facts: DataFrame, least: float, block: int =
     dealt = lambda n: F.pmod("h", F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     facts_of = ["key", "node", "n", content, "component"]
-    left = known.where("out").select(*facts_of, F.lit(True).alias("left"), dealt("n_i").alias("i"), every("n_j").alias("j"))
-    right = known.select(*facts_of, F.lit(False).alias("left"), dealt("n_j").alias("j"), every("n_i").alias("i"))
+    sides = lambda left, right: [left.alias("left"), F.lit(right).alias("right")]
+    # Where a key is one block, a node is sent once for both sides.
+    single = known.where("n_i = 1 and n_j = 1").select(*facts_of, *sides(F.col("out"), True), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    several = known.where("n_i > 1 or n_j > 1")
+    left = several.where("out").select(*facts_of, *sides(F.lit(True), False), dealt("n_i").alias("i"), every("n_j").alias("j"))
+    right = several.select(*facts_of, *sides(F.lit(False), True), dealt("n_j").alias("j"), every("n_i").alias("i"))
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pa.Table.from_batches(list(batches)).combine_chunks()
-        n, component, is_left = found["n"].to_numpy(), found["component"].to_numpy(), found["left"].to_numpy()
-        ours, theirs = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        n, component = found["n"].to_numpy(), found["component"].to_numpy()
+        ours, theirs = (np.flatnonzero(found[k].to_numpy()) for k in ("left", "right"))
         nodes = found["node"].combine_chunks()
         made = lambda a, b: pa.RecordBatch.from_arrays([nodes.take(pa.array(a, pa.int64())), nodes.take(pa.array(b, pa.int64()))], ["a", "b"])
         if not len(ours) or not len(theirs):
@@ -190,7 +194,7 @@ def across_blocks(rows: DataFrame, facts: DataFrame, least: float, block: int =
             yield made(a[i], theirs[j])
 
     ship(rows.sparkSession)
-    pairs = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
+    pairs = single.unionByName(left).unionByName(right).groupBy("key", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
