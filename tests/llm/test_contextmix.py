@@ -159,3 +159,46 @@ def test_same_scores_whatever_the_partitions(spark, documents):
     a, b = ({r["doc_id"]: r["score"] for r in contextmix.score(documents.repartition(n, "doc_id"), training, class_col="lang").collect()} for n in (1, 5))
     # Which of two earlier texts a match comes from may differ.
     assert np.mean([abs(a[i] - b[i]) < 1e-3 * abs(a[i]) for i in a]) > 0.9
+
+
+def test_anchors_of_many_texts_at_once():
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(0, 50, n) for n in (0, 1, 5, 6, 400, 7, 0, 3000, 20)]
+    for together in (1, 500, 1 << 14):
+        found = contextmix.anchors_of(texts, together)
+        assert len(found) == len(texts) and all(np.array_equal(a, contextmix.anchors(t)) for a, t in zip(found, texts, strict=True))
+
+
+def test_code_takes_little_memory():
+    """The paths of all words are not held as a matrix of words by greatest depth."""
+    import tracemalloc
+
+    counts = [2**k for k in range(60)] + [1] * 60_000
+    tracemalloc.start()
+    code = contextmix.Code(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    for symbol in (0, 30, 59, 60, 60_059):
+        steps = code.steps[code.offset[symbol] :][: code.length[symbol]]
+        assert (steps >> 1 & 127).tolist() == list(range(len(steps)))
+        assert sum(int(b) << (63 - k) for k, b in enumerate(steps & 1) if k < 64) == int(code.left[symbol])
+
+
+def test_equal_words_in_equal_contexts_are_decided_once(monkeypatch):
+    code = contextmix.Code([3, 2, *range(40, 0, -1)])
+    mixer = contextmix.WordMixer(code, np.array([1, 1] + [0] * 40), 1, 10)
+    text = np.append(np.tile(np.arange(2, 42), 50), contextmix.END)
+    texts, predicted, decided = [text] * 20, [np.full(len(text), -1)] * 20, []
+    decide = contextmix.WordMixer._decide
+    monkeypatch.setattr(contextmix.WordMixer, "_decide", lambda self, *a: (out := decide(self, *a), decided.append(len(out[1])))[0])
+    slots = contextmix.Tally(2 * mixer.n_slots)
+    mixer.tally(slots, texts, predicted)
+    total = 20 * int(code.length[text].sum())
+    assert slots.total().sum() == 2 * total and sum(decided) * 10 < total
+    mixer.mixer.seen = contextmix.evidence(slots.total().reshape(-1, 2))
+    cells = contextmix.Tally(mixer.mixer.n_cells)
+    mixer.observe(cells, texts, predicted)
+    assert cells.total().sum() == total
+    mixer.mixer.learn(cells.total())
+    assert np.allclose(mixer.score(texts, predicted, True), mixer.score(texts[:1], predicted[:1], True)[0])
