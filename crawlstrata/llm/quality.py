@@ -55,14 +55,15 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -40, 40)))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's method."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, counts: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset of a logistic curve by Newton's method. counts: how often each (x, y) occurs."""
     features = np.column_stack((x, np.ones(len(x))))
+    n = np.ones(len(x)) if counts is None else counts
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -40, 40)))
-        slope = features.T @ (y - p) - ridge * w
-        curve = (features * (p * (1 - p))[:, None]).T @ features + ridge * np.eye(2)
+        slope = features.T @ (n * (y - p)) - ridge * w
+        curve = (features * (n * p * (1 - p))[:, None]).T @ features + ridge * np.eye(2)
         move = np.linalg.solve(curve, slope)
         w += np.clip(move, -5, 5)
         if np.abs(move).max() < 1e-9:

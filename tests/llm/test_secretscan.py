@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -104,3 +105,28 @@ def test_gradient():
             sums.append(float(slope @ net.forward(codes)[0]))
         net.weights[name][at] = kept
         assert abs((sums[0] - sums[1]) / 2e-6 - grad[name][at]) < 1e-4
+
+
+def test_all_candidates_are_learned_from(scanned, monkeypatch):
+    """Every distinct window is in a group that learns, or in the tally that calibrates, whatever their number; groups are bounded and none lacks findings."""
+    from pyspark.sql import functions as F
+
+    learned, counted = [], []
+    round_, tally = S._round, S._tally
+    monkeypatch.setattr(S, "_round", lambda dealt, *a: (learned.append(dealt.groupBy("group").agg(F.count("*").alias("n"), F.count_if("found").alias("found"), F.count_distinct("window").alias("d")).collect()), round_(dealt, *a))[1])
+    monkeypatch.setattr(S, "_tally", lambda *a: (counted.append(tally(*a)), counted[-1])[1])
+    few = scanned.where("row % 4 = 0")
+    model = S.train(few, group=2000, steps=20)
+    assert model and len(model.thresholds) == S.CLASSES
+    seen = {(bytes(c["windows"][: S.WINDOW]), c["found"]) for r in few.select("candidates").collect() for c in r.candidates}
+    rest = sum(1 for w, found in seen if not found and zlib.crc32(w) % 4 != 3)
+    groups = [r for rows in learned for r in rows]
+    assert len(groups) == len({r.group for r in groups}) > 3 and sum(r.n - r.found for r in groups) == rest
+    assert all(r.found > 0 and r.n < 3000 for r in groups)
+    assert sum(counted[0]["n"].to_pylist()) == 4 * sum(zlib.crc32(w) % 4 == 3 for w, _ in seen)
+
+
+def test_curve_and_threshold_by_counts():
+    x, y, n = np.array([-2.0, -1, 0, 1, 2]), np.array([0.0, 0, 1, 0, 1]), np.array([5, 3, 2, 1, 7])
+    assert np.allclose(S.fit_curve(x, y, 1e-2, n), S.fit_curve(np.repeat(x, n), np.repeat(y, n), 1e-2))
+    assert S.threshold(x, 0.6, n) == S.threshold(np.repeat(x, n), 0.6)
