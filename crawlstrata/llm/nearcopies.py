@@ -1,11 +1,14 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, found with MinHash bands.
+"""Near copies by exact Jaccard similarity of five-word shingles, found by multi-index SimHash search and, where that does not reach, MinHash bands.
 
-A text is the set of its lower-cased word shingles (a text of fewer words is one shingle). Two texts of similarity s agree
-in one of ``BANDS`` bands of ``ROWS`` MinHash values with probability 1 - (1 - s^ROWS)^BANDS: all but 7 in a million pairs of
-similarity 0.8. SimHash fingerprints of such pairs differ by 10 bits on average and by 18 and more at times; balls of that
-radius around segments would meet most of a large table, so op10's search does not reach them.
+A text is the set of its lower-cased word shingles (a text of fewer words is one shingle). Texts of equal sets are one node.
 
-Texts of equal sets are one node. Of the nodes that share a band value, every two that are not tied together already are compared,
+First op10's search (``simhash``) runs over op10's fingerprints: each fingerprint meets the nearest smaller one at most ``RADIUS`` bits away, by balls
+around ``SEGMENTS`` segments; nodes of one fingerprint meet the smallest of them. Those whose sets are similar are linked. That ties many near copies with one
+comparison a node, but not all: fingerprints of similar texts can differ by 18 bits and more, and balls of that radius around segments would meet most of a large table.
+
+So MinHash bands follow, for what is not tied together by then. Two texts of similarity s agree in one of ``BANDS`` bands of ``ROWS`` MinHash values
+with probability 1 - (1 - s^ROWS)^BANDS: all but 7 in a million pairs of similarity 0.8.
+Of the nodes that share a band value, every two that are not tied together already are compared,
 exactly, so no link of the components is lost. First the nodes of each band value are dealt at random into groups of about four and compared within
 them: pairs in proportion to the nodes, no key in one task. That ties nearly all of a crowd of near copies together. Band values in which nodes are still
 apart are compared by their rarest shingles: two sets of similarity s share one of the first n - s * n + 1 of their shingles, in any order; with the rarest
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from crawlstrata.llm.common import drop, free_names, map_arrow, stash, utf8
-from crawlstrata.llm.simhash import components
+from crawlstrata.llm.simhash import components, fingerprint, nearest
 from crawlstrata.shipping import ship
 
 BANDS, ROWS = 30, 5
+#: Bits that fingerprints in op10's search differ by at most, and segments of a fingerprint there.
+RADIUS, SEGMENTS = 5, 3
 #: Shingles hashed by all functions at once: bounds memory, and fits the cache.
 CHUNK = 256
 _draw = np.random.default_rng(11)
@@ -230,8 +235,19 @@ def rare_shingles(sets: DataFrame, least: float) -> DataFrame:
     return map_arrow(sets.select("node", "set"), first, f"key long, node {kind}")
 
 
-def links(nodes: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame | None:
-    """Columns a < b: near nodes, enough of them for the components of all near nodes that share a band value. nodes: node, n (size of its set), bits (its bitmap), bands (its names); texts: node, text (binary)."""
+def close(nodes: DataFrame) -> DataFrame:
+    """Columns a, b: nodes whose fingerprints are near, at most two rows a node: a node with the smallest of its fingerprint, and that one with the one of the nearest smaller fingerprint. nodes: node, fp."""
+    named = stash(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.select("node", "fp").join(named, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda name: named.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_node"))
+    other = nearest(named, radius=RADIUS, segments=SEGMENTS).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    found = stash(equal.unionByName(other))
+    drop(named)
+    return found
+
+
+def links(nodes: DataFrame, texts: DataFrame, least: float, size: int, met: DataFrame | None = None) -> DataFrame | None:
+    """Columns a, b: near nodes, enough of them for the components of the near ones of ``met`` (columns a, b) and of all near nodes that share a band value. nodes: node, n (size of its set), bits (its bitmap), bands (its names); texts: node, text (binary)."""
     node = texts.schema["node"].dataType
     kind = f"a {node.simpleString()}, b {node.simpleString()}"
 
@@ -250,7 +266,10 @@ def links(nodes: DataFrame, texts: DataFrame, least: float, size: int) -> DataFr
     places = nodes.select(F.explode("bands").alias("key"), "node")
     several = places.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key")
     open_ = stash(places.join(several, "key", "left_semi"))
-    sets = stash(map_arrow(texts.join(open_.select("node").distinct(), "node", "left_semi"), hashed, f"node {node.simpleString()}, set binary"))
+    asked = open_.select("node")
+    if met is not None:
+        asked = asked.unionByName(met.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = stash(map_arrow(texts.join(asked.distinct(), "node", "left_semi"), hashed, f"node {node.simpleString()}, set binary"))
     facts = nodes.select("node", "n", "bits")
     side = lambda df, name, **columns: df.select(F.col("node").alias(name), *[F.col(c).alias(k) for k, c in columns.items()])
 
@@ -260,12 +279,18 @@ def links(nodes: DataFrame, texts: DataFrame, least: float, size: int) -> DataFr
         both = known.join(side(sets, "a", x="set"), "a").join(side(sets, "b", y="set"), "b")
         return stash(map_arrow(both.select("a", "b", "x", "y"), compare, kind))
 
-    rows = stash(undecided(open_, None))
-    drop(open_)
+    first, roots = None, None
+    if met is not None:
+        first = near(met)
+        roots = stash(components(first))
+    rows = stash(undecided(open_, roots))
+    drop(open_, roots)
     if rows.isEmpty():
         drop(rows, sets)
-        return None
+        return first
     edges = near(grouped(rows))
+    if first is not None:
+        edges = first.unionByName(edges)
     roots = stash(components(edges))
     # A key that was one group is done.
     apart = stash(undecided(rows.where(F.col("nodes") > GROUP).select("key", "node"), roots))
@@ -285,24 +310,27 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows get a number that is written down, so the choice of a row does not depend on how Spark deals the input.
     """
-    number, names, digest, n, bits = free_names(docs.columns, "row", "bands", "set", "n", "bits")
+    number, names, digest, n, bits, fp = free_names(docs.columns, "row", "bands", "set", "n", "bits", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
             found = [shingles(x.as_py() or b"", size) for x in texts]
+            batch = batch.append_column(fp, pa.array([fingerprint(x.as_py() or b"") for x in texts], pa.int64()))
             batch = batch.append_column(n, pa.array([len(f) for f in found], pa.int64()))
             batch = batch.append_column(bits, pa.array([bitmap(f) for f in found], pa.list_(pa.int64())))
             batch = batch.append_column(names, pa.array([bands(f) for f in found], pa.list_(pa.int64())))
             yield batch.append_column(digest, pa.array([hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found], pa.binary()))
 
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    helpers = [StructField(n, LongType()), StructField(bits, ArrayType(LongType())), StructField(names, ArrayType(LongType())), StructField(digest, BinaryType())]
+    helpers = [StructField(fp, LongType()), StructField(n, LongType()), StructField(bits, ArrayType(LongType())), StructField(names, ArrayType(LongType())), StructField(digest, BinaryType())]
     marked = stash(map_arrow(numbered, run, StructType([*numbered.schema.fields, *helpers])))
     best = F.min(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col(number).alias("row"))).alias("node")
-    nodes = stash(marked.groupBy(digest).agg(best, F.first(n).alias("n"), F.first(bits).alias("bits"), F.first(names).alias("bands")).select("node", "n", "bits", "bands"))
+    nodes = stash(marked.groupBy(digest).agg(best, F.first(n).alias("n"), F.first(bits).alias("bits"), F.first(names).alias("bands"), F.min(fp).alias("fp")).select("node", "n", "bits", "bands", "fp"))
     texts = marked.select(F.col(number).alias("row"), utf8(text_col).alias("text")).join(nodes.select("node", F.col("node.row").alias("row")), "row").select("node", "text")
-    edges = links(nodes, texts, least, size)
+    met = close(nodes)
+    edges = links(nodes, texts, least, size, met)
+    drop(met)
     chosen = nodes.select("node")
     if edges is not None:
         chosen = chosen.join(components(edges).where("node <> root").select("node"), "node", "left_anti")

@@ -64,13 +64,11 @@ def ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << k for k in which) for r in range(radius + 1) for which in combinations(range(bits), r)]
 
 
-def links(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2, bits: int = 64, crowded: int = 4000) -> DataFrame:
-    """Columns a < b: distinct fingerprints at most ``radius`` bits apart. ``nodes`` holds each fingerprint once.
+def meetings(nodes: DataFrame, fp: str, radius: int, segments: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Columns a, segment, value: the segments of each fingerprint; and b, segment, value: the balls around them. Fingerprints within ``radius`` bits meet in both.
 
     With radius = m * q + r for m segments, of two near fingerprints one of the first r + 1 segments is within q bits,
-    or one of the others is within q - 1. Comparing all that meet at a segment value would grow with the square of a
-    crowd of near copies; so fingerprints at a value that more than ``crowded`` share enumerate their whole ball instead,
-    whose size does not depend on the crowd.
+    or one of the others is within q - 1.
     """
     q, r = divmod(radius, segments)
     cuts = [bits * k // segments for k in range(segments + 1)]
@@ -85,6 +83,16 @@ def links(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2,
         probes.append(F.array(*[F.struct(F.lit(k).alias("segment"), value.bitwiseXOR(F.lit(m).cast("long")).alias("value")) for m in ball(width, near)]))
     index = nodes.select(F.col(fp).alias("a"), F.explode(F.array(*keys)).alias("at")).select("a", "at.segment", "at.value")
     asked = nodes.select(F.col(fp).alias("b"), F.explode(F.concat(*probes)).alias("at")).select("b", "at.segment", "at.value")
+    return index, asked
+
+
+def links(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2, bits: int = 64, crowded: int = 4000) -> DataFrame:
+    """Columns a < b: distinct fingerprints at most ``radius`` bits apart. ``nodes`` holds each fingerprint once.
+
+    Comparing all that meet at a segment value would grow with the square of a crowd of near copies; so fingerprints at a
+    value that more than ``crowded`` share enumerate their whole ball instead, whose size does not depend on the crowd.
+    """
+    index, asked = meetings(nodes, fp, radius, segments, bits)
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     crowds = stash(index.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("segment", "value"))
     if crowds.isEmpty():
@@ -97,6 +105,25 @@ def links(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2,
     return found.unionByName(more).distinct()
 
 
+def nearest(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2, bits: int = 64, crowd: int = 256) -> DataFrame:
+    """Columns a < b: each fingerprint with the nearest smaller one at most ``radius`` bits away (of equally near ones the smallest), if there is one.
+
+    For callers that have another way for the links left out: one row a fingerprint, whatever the crowds, and a segment value that more than
+    ``crowd`` fingerprints share is dealt at random into parts of about that size, which do not meet there.
+    """
+    index, asked = meetings(nodes, fp, radius, segments, bits)
+    at = ["segment", "value"]
+    crowds = stash(index.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(*at, F.ceil(F.col("n") / crowd).alias("parts")))
+    if crowds.isEmpty():
+        drop(crowds)
+    else:
+        dealt = lambda df, name: df.join(crowds, at, "left").select(name, *at, F.coalesce(F.pmod(F.xxhash64(name), F.col("parts")), F.lit(0)).alias("part"))
+        index, asked, at = dealt(index, "a"), dealt(asked, "b"), [*at, "part"]
+    differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    found = index.join(asked, at).where((F.col("a") < F.col("b")) & (differ <= radius))
+    return found.groupBy("b").agg(F.min(F.struct(differ.alias("bits"), "a")).alias("least")).select("least.a", "b")
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Columns node, root: every node of the edges (a, b) with the smallest node of its component."""
     edges = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())

@@ -201,3 +201,20 @@ def test_blocks_give_links_that_span_and_no_more(spark):
         found = [(x["a"], x["b"]) for x in nearcopies.across_blocks(rows, facts, 0.8, *limits).collect()]
         assert set(found) <= set(pairs) and closure(range(n), found) == want
         assert len(found) < n and maybe > 5 * len(found)
+
+
+def test_search_of_fingerprints_ties_near_copies_without_bands(spark, monkeypatch):
+    """Where no two texts share a band value, op10's search still links near copies, and texts of near fingerprints that are not similar stay."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(300)]
+    texts = [" ".join(base)] + [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(20, 300, 40)]
+    phrase = [word() for _ in range(11)] * 30
+    apart = [" ".join(phrase + [word() for _ in range(20)]) for _ in range(2)]
+    n, fps = len(texts), [nearcopies.fingerprint(t.encode()) for t in texts + apart]
+    differ = lambda a, b: (fps[a] ^ fps[b]).bit_count()
+    assert all(0 < differ(0, k) <= nearcopies.RADIUS for k in range(1, n)) and differ(n, n + 1) <= nearcopies.RADIUS
+    assert closure(range(n + 2), near_pairs(range(n + 2), texts + apart)) == {0, n, n + 1}
+    monkeypatch.setattr(nearcopies, "bands", lambda found: found[:30].view(np.int64) ^ found.sum().view(np.int64))
+    df = spark.createDataFrame(list(enumerate(texts + apart)), "doc_id long, text string")
+    assert {x["doc_id"] for x in nearcopies.deduplicate(df).collect()} == {0, n, n + 1}

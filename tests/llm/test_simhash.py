@@ -1,3 +1,4 @@
+import random
 import re
 
 import xxhash
@@ -56,6 +57,20 @@ def test_links_and_chains(spark):
     assert {f: roots.get(f, f) for _, f in fps} == dict(zip([f for _, f in fps], want, strict=True))
 
 
+def test_nearest(spark):
+    """Each fingerprint with the nearest smaller one; crowds dealt into parts leave out links but give none that brute force does not give, and one row a fingerprint at most."""
+    r = random.Random(3)
+    base = [r.getrandbits(64) - (1 << 63) for _ in range(6)]
+    fps = {b ^ sum(1 << k for k in r.sample(range(63), r.randrange(7))) for b in base for _ in range(60)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for radius, segments in ((2, 2), (5, 3)):
+        near = {(a, b): (a ^ b).bit_count() for a in fps for b in fps if a < b and (a ^ b).bit_count() <= radius}
+        want = {b: min((d, a) for (a, c), d in near.items() if c == b)[1] for _, b in near}
+        assert {x["b"]: x["a"] for x in simhash.nearest(df, radius=radius, segments=segments).collect()} == want
+        parts = [(x["a"], x["b"]) for x in simhash.nearest(df, radius=radius, segments=segments, crowd=20).collect()]
+        assert set(parts) <= near.keys() and len({b for _, b in parts}) == len(parts) > len(want) / 3
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
