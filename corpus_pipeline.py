@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard similarity 0.8) stays."""
+    """One document of each group of near duplicates (five-word shingles, Jaccard similarity 0.8) stays; found by op10's search first, then by MinHash bands."""
     return nearcopies.deduplicate(docs)
 
 
