@@ -152,7 +152,8 @@ def index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One path a batch, folded after every two batches: how many batches, files and captures the index has."""
     paths = warc_files(spark, sf_dir)
     work = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
-    spark.createDataFrame([(p,) for p in paths], "path string").write.option("maxRecordsPerFile", 1).text(f"{work}/inbox")
+    # One task writes them all: where there are more tasks than paths the first one has none, and writes an empty file, which the stream takes for a batch.
+    spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1).write.option("maxRecordsPerFile", 1).text(f"{work}/inbox")
     start_indexing(text_path_stream(spark, f"{work}/inbox", max_files=1), f"{work}/tables", f"{work}/checkpoint", max_wait=None, compact_after=2).awaitTermination()
     batches = max(state(spark, f"{work}/tables").streams.values()) + 1
     held = load(spark, f"{work}/tables", "captures").agg(F.count("*").alias("captures"))

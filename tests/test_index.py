@@ -210,3 +210,13 @@ def test_folds_of_a_stream_leave_larger_segments_alone(spark, tmp_path):
     s = state(spark, base)
     assert s.fold["manifest"] != first["manifest"] and s.fold["batches"] == 8 and not s.fold.get("runs") and s.pending == []
     assert held(spark, base) == want and held(spark, base, "files") == [f"{k}.warc" for k in range(6)]
+
+
+def test_index_batches_with_fewer_files_than_cores(spark, monkeypatch):
+    """A batch is a file's path, whatever the number of cores: there is no batch without a path."""
+    from crawlstrata.queries import archive
+
+    made = archive.warc_files
+    monkeypatch.setattr(archive, "warc_files", lambda spark, sf_dir: made(spark, sf_dir)[: spark.sparkContext.defaultParallelism - 1])
+    found = archive.index_batches(spark, "/root/testdata/sf0.001").first()
+    assert found["batches"] == found["files"] == spark.sparkContext.defaultParallelism - 1
