@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from crawlstrata.llm.common import drop, free_names, map_arrow, stash, table, utf8
+from crawlstrata.llm.common import drop, free_names, map_arrow, merged, stash, table, utf8
 
 #: Shingles counted at once, so a very long text takes bounded memory.
 BLOCK = 1 << 16
+#: Up to so many edges Spark may broadcast a side of the joins of components.
+FEW_EDGES = 100_000
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
@@ -96,12 +98,12 @@ def links(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2,
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     crowds = stash(index.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("segment", "value"))
     if crowds.isEmpty():
-        return index.join(asked, ["segment", "value"]).where(near).select("a", "b").distinct()
-    found = index.join(crowds, ["segment", "value"], "left_anti").join(asked, ["segment", "value"]).where(near).select("a", "b")
+        return index.join(merged(asked), ["segment", "value"]).where(near).select("a", "b").distinct()
+    found = index.join(crowds, ["segment", "value"], "left_anti").join(merged(asked), ["segment", "value"]).where(near).select("a", "b")
     inside = index.join(crowds, ["segment", "value"], "left_semi").select("a").distinct()
     masks = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in ball(bits, radius)[1:]])
     reached = inside.select("a", F.explode(masks).alias("mask")).select("a", F.col("a").bitwiseXOR(F.col("mask")).alias("b"))
-    more = reached.join(nodes.select(F.col(fp).alias("b")), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = reached.join(merged(nodes.select(F.col(fp).alias("b"))), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.unionByName(more).distinct()
 
 
@@ -120,7 +122,7 @@ def nearest(nodes: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2
         dealt = lambda df, name: df.join(crowds, at, "left").select(name, *at, F.coalesce(F.pmod(F.xxhash64(name), F.col("parts")), F.lit(0)).alias("part"))
         index, asked, at = dealt(index, "a"), dealt(asked, "b"), [*at, "part"]
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    found = index.join(asked, at).where((F.col("a") < F.col("b")) & (differ <= radius))
+    found = index.join(merged(asked), at).where((F.col("a") < F.col("b")) & (differ <= radius))
     return found.groupBy("b").agg(F.min(F.struct(differ.alias("bits"), "a")).alias("least")).select("least.a", "b")
 
 
@@ -137,12 +139,13 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             break
         # Large star: every larger neighbour of u is linked to the least of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        side = merged if seen[0] > FEW_EDGES else lambda df: df
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: smaller neighbours of u, and u itself, are linked to the least of them.
         large = stash(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         before, edges = edges, stash(small.where("u <> v").distinct())
         drop(before, large)
         now = state(edges)
@@ -159,10 +162,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = stash(fingerprints(docs, id_col, text_col, size))
     nodes = stash(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(links(nodes, radius=radius, segments=segments)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = nodes.join(merged(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    named = placed.join(merged(least), "root").select("fp", "component_id")
+    return marked.join(merged(named), "fp").select(id_col, "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
@@ -182,8 +185,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col(number).alias("row"))).alias("best")
     nodes = stash(marked.groupBy(F.col(fp).alias("fp")).agg(best))
     roots = components(links(nodes, radius=radius, segments=segments)).withColumnRenamed("node", "fp")
-    chosen = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(number))
-    return marked.join(chosen, number, "left_semi").select(*docs.columns)
+    chosen = nodes.join(merged(roots), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(number))
+    return marked.join(merged(chosen), number, "left_semi").select(*docs.columns)
 
 
 def op10_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

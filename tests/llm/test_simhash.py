@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from crawlstrata.llm import simhash
 from tests_llm_data import SF
@@ -85,3 +86,12 @@ def test_odd(spark, odd):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, 0, 2, 5, 7]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0 and simhash.deduplicate(odd.limit(0)).count() == 0
+
+
+def test_search_collects_nothing_that_grows(spark):
+    """Spark takes the exploded balls for as large as their fingerprints, however many there are of each; the joins are merged all the same."""
+    nodes = spark.range(64).select(F.xxhash64("id").alias("fp"))
+    for found in (simhash.links(nodes), simhash.links(nodes, crowded=0), simhash.nearest(nodes, radius=5, segments=3)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "Inner" in line]
