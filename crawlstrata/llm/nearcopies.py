@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from crawlstrata.llm.common import drop, free_names, map_arrow, stash, utf8
+from crawlstrata.llm.common import drop, free_names, map_arrow, merged, stash, utf8
 from crawlstrata.llm.simhash import components, fingerprint, nearest
 from crawlstrata.shipping import ship
 
@@ -106,11 +106,11 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 def undecided(places: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Columns key, node, root, top, nodes, outside: the nodes at keys that several components share, with their component, the largest one of the key, and how many nodes the key has, and has outside that one."""
-    placed = places.withColumn("root", F.col("node")) if roots is None else places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = places.withColumn("root", F.col("node")) if roots is None else places.join(merged(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     tops = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("nodes"), F.count("*").alias("roots")).where("roots > 1")
     tops = tops.select("key", F.col("top.root").alias("top"), "nodes", (F.col("nodes") - F.col("top.size")).alias("outside"))
-    return placed.join(tops, "key").select("key", "node", "root", "top", "nodes", "outside")
+    return placed.join(merged(tops), "key").select("key", "node", "root", "top", "nodes", "outside")
 
 
 def grouped(rows: DataFrame, size: int = GROUP) -> DataFrame:
@@ -118,13 +118,13 @@ def grouped(rows: DataFrame, size: int = GROUP) -> DataFrame:
     group = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("nodes") / size))
     dealt = rows.select("key", group.alias("group"), "node", "root")
     others = dealt.select("key", "group", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    return dealt.join(others, ["key", "group"]).where("node < other and root <> other_root").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    return dealt.join(merged(others), ["key", "group"]).where("node < other and root <> other_root").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def across(rows: DataFrame) -> DataFrame:
     """Columns a < b: pairs, of different components, of a node outside the largest component of its key and any other node there."""
     ahead = rows.where("root <> top").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    return rows.join(ahead, "key").where("root <> other_root").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return rows.join(merged(ahead), "key").where("root <> other_root").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def spanning(ours: list[np.ndarray], theirs: list[np.ndarray], component: np.ndarray, other: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -161,9 +161,9 @@ def across_blocks(rows: DataFrame, facts: DataFrame, least: float, block: int =
     exact = "set" in facts.columns
     content = "set" if exact else "bits"
     out = F.col("root") != F.col("top")
-    sized = rows.join(facts.select("node", "n"), "node")
+    sized = rows.join(merged(facts.select("node", "n")), "node")
     shares = sized.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum(F.when(out, F.col("n")).otherwise(0)).alias("out_n"))
-    known = rows.join(shares, "key").join(facts.select("node", "n", content), "node").withColumn("h", F.xxhash64("node")).withColumn("component", F.xxhash64("root"))
+    known = rows.join(merged(shares), "key").join(merged(facts.select("node", "n", content)), "node").withColumn("h", F.xxhash64("node")).withColumn("component", F.xxhash64("root"))
     parts = lambda nodes, n: F.greatest(F.ceil(F.col(nodes) / block), F.ceil(F.col(n) / block_shingles)).cast("int")
     known = known.select("key", "node", "n", content, "h", "component", parts("outside", "out_n").alias("n_i"), parts("nodes", "all_n").alias("n_j"), out.alias("out"))
     dealt = lambda n: F.pmod("h", F.col(n)).cast("int")
@@ -238,9 +238,9 @@ def rare_shingles(sets: DataFrame, least: float) -> DataFrame:
 def close(nodes: DataFrame) -> DataFrame:
     """Columns a, b: nodes whose fingerprints are near, at most two rows a node: a node with the smallest of its fingerprint, and that one with the one of the nearest smaller fingerprint. nodes: node, fp."""
     named = stash(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    equal = nodes.select("node", "fp").join(named, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    equal = nodes.select("node", "fp").join(merged(named), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     of = lambda name: named.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_node"))
-    other = nearest(named, radius=RADIUS, segments=SEGMENTS).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    other = nearest(named, radius=RADIUS, segments=SEGMENTS).join(merged(of("a")), "a").join(merged(of("b")), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     found = stash(equal.unionByName(other))
     drop(named)
     return found
@@ -265,18 +265,18 @@ def links(nodes: DataFrame, texts: DataFrame, least: float, size: int, met: Data
 
     places = nodes.select(F.explode("bands").alias("key"), "node")
     several = places.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key")
-    open_ = stash(places.join(several, "key", "left_semi"))
+    open_ = stash(places.join(merged(several), "key", "left_semi"))
     asked = open_.select("node")
     if met is not None:
         asked = asked.unionByName(met.select(F.explode(F.array("a", "b")).alias("node")))
-    sets = stash(map_arrow(texts.join(asked.distinct(), "node", "left_semi"), hashed, f"node {node.simpleString()}, set binary"))
+    sets = stash(map_arrow(texts.join(merged(asked.distinct()), "node", "left_semi"), hashed, f"node {node.simpleString()}, set binary"))
     facts = nodes.select("node", "n", "bits")
     side = lambda df, name, **columns: df.select(F.col("node").alias(name), *[F.col(c).alias(k) for k, c in columns.items()])
 
     def near(pairs: DataFrame) -> DataFrame:
-        known = pairs.join(side(facts, "a", n_a="n", bits_a="bits"), "a").join(side(facts, "b", n_b="n", bits_b="bits"), "b")
+        known = pairs.join(merged(side(facts, "a", n_a="n", bits_a="bits")), "a").join(merged(side(facts, "b", n_b="n", bits_b="bits")), "b")
         known = known.where(may_be_similar(least, "n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
-        both = known.join(side(sets, "a", x="set"), "a").join(side(sets, "b", y="set"), "b")
+        both = known.join(merged(side(sets, "a", x="set")), "a").join(merged(side(sets, "b", y="set")), "b")
         return stash(map_arrow(both.select("a", "b", "x", "y"), compare, kind))
 
     first, roots = None, None
@@ -297,8 +297,8 @@ def links(nodes: DataFrame, texts: DataFrame, least: float, size: int, met: Data
     drop(rows)
     if not apart.isEmpty():
         crowd = apart.select("node").distinct()
-        asked = stash(undecided(rare_shingles(sets.join(crowd, "node", "left_semi"), least), roots))
-        tied = stash(across_blocks(asked.where(F.col("nodes") > FEW), facts.join(sets, "node"), least))
+        asked = stash(undecided(rare_shingles(sets.join(merged(crowd), "node", "left_semi"), least), roots))
+        tied = stash(across_blocks(asked.where(F.col("nodes") > FEW), facts.join(merged(sets), "node"), least))
         edges = edges.unionByName(near(across(asked.where(F.col("nodes") <= FEW)))).unionByName(tied)
         drop(asked)
     drop(sets, roots, apart)
@@ -327,11 +327,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = stash(map_arrow(numbered, run, StructType([*numbered.schema.fields, *helpers])))
     best = F.min(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col(number).alias("row"))).alias("node")
     nodes = stash(marked.groupBy(digest).agg(best, F.first(n).alias("n"), F.first(bits).alias("bits"), F.first(names).alias("bands"), F.min(fp).alias("fp")).select("node", "n", "bits", "bands", "fp"))
-    texts = marked.select(F.col(number).alias("row"), utf8(text_col).alias("text")).join(nodes.select("node", F.col("node.row").alias("row")), "row").select("node", "text")
+    texts = marked.select(F.col(number).alias("row"), utf8(text_col).alias("text")).join(merged(nodes.select("node", F.col("node.row").alias("row"))), "row").select("node", "text")
     met = close(nodes)
     edges = links(nodes, texts, least, size, met)
     drop(met)
     chosen = nodes.select("node")
     if edges is not None:
-        chosen = chosen.join(components(edges).where("node <> root").select("node"), "node", "left_anti")
-    return marked.join(chosen.select(F.col("node.row").alias(number)), number, "left_semi").select(*docs.columns)
+        chosen = chosen.join(merged(components(edges).where("node <> root").select("node")), "node", "left_anti")
+    return marked.join(merged(chosen.select(F.col("node.row").alias(number))), number, "left_semi").select(*docs.columns)

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 from crawlstrata.llm import nearcopies
+from pyspark.sql import functions as F
 from tests_llm_data import SF
 
 
@@ -218,3 +219,13 @@ def test_search_of_fingerprints_ties_near_copies_without_bands(spark, monkeypatc
     monkeypatch.setattr(nearcopies, "bands", lambda found: found[:30].view(np.int64) ^ found.sum().view(np.int64))
     df = spark.createDataFrame(list(enumerate(texts + apart)), "doc_id long, text string")
     assert {x["doc_id"] for x in nearcopies.deduplicate(df).collect()} == {0, n, n + 1}
+
+
+def test_no_join_of_nodes_is_broadcast(spark):
+    """Bands, bitmaps and sets are larger than Spark takes them for: sides with a row a node or more are merged, not collected."""
+    rows = spark.range(50).select(F.col("id").alias("node"), F.xxhash64(F.lit(1), F.col("id") % 5).alias("key"))
+    sizes = rows.select("node", F.lit(3).alias("n"), F.array(F.lit(1).cast("long")).alias("bits"))
+    apart = nearcopies.undecided(rows, rows.select("node", F.col("node").alias("root")))
+    for made in (apart, nearcopies.grouped(apart), nearcopies.across(apart), nearcopies.across_blocks(apart, sizes, 0.8)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
