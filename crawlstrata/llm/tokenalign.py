@@ -5,8 +5,8 @@ one, in doubling steps from where its share of the list would put it and then by
 lockstep. Common ends cut both lists into groups; for each A token the ranks of its start and end among B's ends give
 the range of B tokens that it overlaps. A link is a pair of an A and a B occurrence that end together.
 
-Corpus counts of linked id pairs: each block of texts names its distinct pairs once, Spark sums them, and each block asks
-back for its own pairs only. The few pairs that stand in more than a thousandth of all places are joined by broadcast (there
+Corpus counts of linked id pairs: each block of texts names its distinct pairs once, a row each, Spark sums them, and each block asks
+back for its own pairs only: they meet its texts in a Python worker, one block after the other. The few pairs that stand in more than a thousandth of all places are joined by broadcast (there
 are at most a thousand of them), all others by a shuffle, so no key brings many rows to one task.
 
 Defined results: a null or empty text, and one whose tokens spell other bytes than space + text (bytes that are not UTF-8,
@@ -26,12 +26,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from crawlstrata.llm.bpe import byte_alphabet
-from crawlstrata.llm.common import map_arrow, stash, table, utf8
+from crawlstrata.llm.common import map_arrow, merged, stash, table, utf8
+from crawlstrata.shipping import ship
 
 #: Bytes of text that are aligned together (more, if one text has more).
 BLOCK_BYTES = 1 << 20
+#: Rows that a worker hands over at once.
+BATCH = 1 << 14
 #: Pairs in more than one of this many places are joined by broadcast; there are at most this many of them.
 HOT_SHARE = 1000
 
@@ -255,7 +259,10 @@ def align(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text_
 
 
 def link_counts(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (see the module)."""
+    """Columns: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (see the module).
+
+    Blocks are rows of texts and rows of pairs in every table, which stream: only a Python worker holds one block at a time, whatever a task has of them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -265,22 +272,20 @@ def link_counts(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id",
             x = aligner.align(texts)
             linked = x.a[x.last_a].astype(np.int64) << 32 | x.b[x.last_b]
             pairs, places, counts = np.unique(linked, return_inverse=True, return_counts=True)
-            one = [np.array([0, len(ids)], np.int32), np.array([0, len(pairs)], np.int32)]
-            of = lambda values, n=0: pa.ListArray.from_arrays(pa.array(one[n]), values)
-            columns = [
-                pa.array([task << 32 | k]),
-                of(pa.array(ids)),
-                *[of(pa.array(v, pa.int64())) for v in (x.n_a, x.n_b, x.groups())],
-                of(pa.array(aligner.group_digests(x), pa.string())),
-                pa.array([places.astype("<i4").tobytes()], pa.binary()),
-                of(pa.array(pairs, pa.int64()), 1),
-                of(pa.array(counts, pa.int64()), 1),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
-
-    schema = f"block long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, digests array<string>, places binary, pairs array<long>, counts array<long>"
-    aligned = stash(map_arrow(docs.select(id_col, utf8(text_col).alias("_text")), run, schema))
-    asked = aligned.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("at", "x")).select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
+            groups = x.groups()
+            ends = np.cumsum(groups)
+            of_texts = [pa.array([places[b - n : b].astype("<i4").tobytes() for b, n in zip(ends.tolist(), groups.tolist(), strict=True)], pa.binary())]
+            of_texts = [pa.array(ids, keys), *[pa.array(v, pa.int64()) for v in (x.n_a, x.n_b, groups)], pa.array(aligner.group_digests(x), pa.string()), *of_texts]
+            of_pairs = [pa.array(np.arange(len(pairs)), pa.int32()), pa.array(pairs, pa.int64()), pa.array(counts, pa.int64())]
+            none = lambda columns, n: [pa.nulls(n, c.type) for c in columns]
+            for n, columns in ((len(ids), [*none(of_pairs, len(ids)), *of_texts]), (len(pairs), [*of_pairs, *none(of_texts, len(pairs))])):
+                made = pa.RecordBatch.from_arrays([pa.array(np.full(n, task << 32 | k), pa.int64()), *columns], names)
+                yield from (made.slice(at, BATCH) for at in range(0, n, BATCH))
+
+    of_block = f"{id_col} {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, places binary"
+    names, keys = [f"c{k}" for k in range(10)], to_arrow_type(docs.schema[id_col].dataType)
+    aligned = stash(map_arrow(docs.select(id_col, utf8(text_col).alias("_text")), run, f"_block long, _at int, _pair long, _n long, {of_block}"))
+    asked = aligned.where("_pair is not null").select(F.col("_block").alias("block"), F.col("_at").alias("at"), F.col("_pair").alias("pair"), F.col("_n").alias("n"))
     b_id = F.col("pair").bitwiseAND((1 << 32) - 1)
     totals = stash(asked.groupBy("pair").agg(F.sum("n").alias("total"), F.count("*").alias("places")))
     highest = totals.groupBy(b_id.alias("b")).agg(F.max("total").alias("highest"))
@@ -289,28 +294,21 @@ def link_counts(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id",
     bound = (totals.agg(F.sum("places")).first()[0] or 0) / HOT_SHARE
     hot = known.where(F.col("places") > bound).select("pair", "total", "best")
     cold = known.where(F.col("places") <= bound).select("pair", "total", "best")
-    answers = asked.join(F.broadcast(hot), "pair").unionByName(asked.join(F.broadcast(hot.select("pair")), "pair", "left_anti").join(cold, "pair"))
-    answered = answers.groupBy("block").agg(F.collect_list(F.struct("at", "total", "best")).alias("answers"))
-    told = answered.select(F.col("block").alias("of"), F.transform("answers", lambda x: x["at"]).alias("at"), F.transform("answers", lambda x: x["total"]).alias("total"), F.transform("answers", lambda x: x["best"].cast("int")).alias("best"))
-    both = aligned.join(told, F.col("block") == F.col("of"), "left").select("ids", "n_a", "n_b", "n_groups", "digests", "places", "at", "total", "best")
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, n_a, n_b, groups, digests = (batch.column(c)[k].values for c in range(5))
-                n = groups.to_numpy()
-                places = np.frombuffer(batch.column(5)[k].as_py(), "<i4")
-                total, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if len(places):
-                    at = batch.column(6)[k].values.to_numpy()
-                    total, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                    total[at], best[at] = batch.column(7)[k].values.to_numpy(), batch.column(8)[k].values.to_numpy()
-                ends = np.concatenate(([0], np.cumsum(n)))
-                of = lambda values: np.diff(np.concatenate(([0], np.cumsum(values[places])))[ends])
-                columns = [ids, n_a, n_b, groups, groups, pa.array(of(best), pa.int64()), pa.array(of(total), pa.int64()), digests]
-                yield pa.RecordBatch.from_arrays(columns, [f"c{j}" for j in range(len(columns))])
-
-    return map_arrow(both, sums, f"{id_col} {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    answers = asked.join(F.broadcast(hot), "pair").unionByName(asked.join(F.broadcast(hot.select("pair")), "pair", "left_anti").join(merged(cold), "pair"))
+    texts = aligned.where("_pair is null").drop("_at", "_pair", "_n")
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, total, best = right["at"].to_numpy(), np.zeros(right.num_rows, np.int64), np.zeros(right.num_rows, np.int64)
+        total[at], best[at] = right["total"].to_numpy(), right["best"].to_numpy()
+        _, ids, n_a, n_b, groups, digests, places = left.columns
+        places = np.frombuffer(b"".join(places.to_pylist()), "<i4")
+        ends = np.concatenate(([0], np.cumsum(groups.to_numpy())))
+        of = lambda values: pa.array(np.diff(np.concatenate(([0], np.cumsum(values[places])))[ends]), pa.int64())
+        return pa.Table.from_arrays([ids, n_a, n_b, groups, groups, of(best), of(total), digests], [id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    ship(docs.sparkSession)
+    told = answers.select(F.col("block").alias("_block"), "at", "total", F.col("best").cast("long").alias("best"))
+    return texts.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(sums, f"{id_col} {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def op12_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

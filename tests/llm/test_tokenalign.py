@@ -5,10 +5,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from tokenizers import Tokenizer
 
 from crawlstrata.llm import tokenalign as T
 from crawlstrata.llm.bpe import byte_alphabet
+from crawlstrata.llm.common import stash
 
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
@@ -117,3 +120,13 @@ def test_hot_pairs_by_broadcast_and_others_agree(spark, monkeypatch, tokens):
     for share in (1, 3, 100000):
         monkeypatch.setattr(T, "HOT_SHARE", share)
         assert order(tuple(r) for r in T.link_counts(docs, T.Tokenizers.default(), block_bytes=40).select(*COLUMNS).collect()) == want
+
+
+def test_no_row_holds_a_whole_block(spark, monkeypatch):
+    """Rows between the steps are those of a text or a pair, and none is gathered from a block's pairs: a task's memory does not grow with the blocks that it has."""
+    kept = []
+    monkeypatch.setattr(T, "stash", lambda df: kept.append(stash(df)) or kept[-1])
+    found = T.link_counts(spark.createDataFrame([(k, f"some words {k} and more of them") for k in range(300)], "doc_id long, text string"), T.Tokenizers.default())
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    assert kept and not [f for df in kept for f in df.schema if isinstance(f.dataType, ArrayType)]
+    assert kept[0].agg(F.max(F.octet_length("places"))).first()[0] <= 4 * 20 and found.count() == 300
