@@ -52,13 +52,14 @@ def _batch(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f"c{k}" for k in range(len(types))])
 
 
-def file_info(paths: DataFrame) -> DataFrame:
-    """name, path, size and last_modified of the files of a table (column path) that exist."""
+def file_info(paths: DataFrame, missing: bool = False) -> DataFrame:
+    """name, path, size and last_modified of the files of a table (column path) that exist; with ``missing`` a row of its path alone for each other one."""
     ship(paths.sparkSession)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(x[0], p, x[2], x[3]) for p in batch.column(0).to_pylist() if p and (x := look_at(p)) and not x[1]]
+            seen = [(p, look_at(p) if p else None) for p in batch.column(0).to_pylist()]
+            rows = [(x[0], p, x[2], x[3]) if x and not x[1] else (None, p, None, None) for p, x in seen if missing or x and not x[1]]
             yield _batch(rows, [pa.string(), pa.string(), pa.int64(), pa.int64()])
 
     found = paths.select("path").mapInArrow(look, "name string, path string, size long, us long")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from crawlstrata.functions.once import once
 from crawlstrata.functions.urls import ssurt, url_ok
 from crawlstrata.operators import ranges
 from crawlstrata.scratch import written
@@ -281,6 +282,11 @@ def _http_field(head: Column, name: str) -> Column:
 
 def to_captures(records: DataFrame) -> DataFrame:
     """Capture rows of HTTP records; rows without a valid length, URL or date are dropped, missing fields are null."""
+    return records.select(*_capture_columns()).where("cle is not null and ssu is not null and sts is not null")
+
+
+@once
+def _capture_columns() -> list[Column]:
     h = F.col("headers")
     head = _http_head(F.col("block"))
     status = F.regexp_extract(head, r"^HTTP/[0-9.]+[ ]+([0-9]{3})", 1)
@@ -291,7 +297,7 @@ def to_captures(records: DataFrame) -> DataFrame:
     number = lambda c: F.when(c.rlike("^[0-9]{1,18}$"), F.nullif(c.cast("long"), F.lit(0).cast("long")))
     bare = lambda c: F.nullif(F.regexp_replace(c, "^<|>$", ""), F.lit(""))
     uri = bare(h["warc-target-uri"])
-    out = records.select(
+    return [
         uri.alias("uri"),
         F.lit(None).cast("string").alias("sha"),
         F.nullif(h["warc-payload-digest"], F.lit("")).alias("dig"),
@@ -311,8 +317,7 @@ def to_captures(records: DataFrame) -> DataFrame:
         F.col("type").alias("srt"),
         F.nullif(_http_field(head, "Location"), F.lit("")).alias("location"),
         url_ok(uri).alias("url_ok"),
-    )
-    return out.where("cle is not null and ssu is not null and sts is not null")
+    ]
 
 
 def placed_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

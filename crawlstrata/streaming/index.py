@@ -43,6 +43,10 @@ SEGMENT_ROWS = 1_000_000
 #: So many paths of a batch are looked up in one task and in few jobs.
 FEW_PATHS = 64
 FILES = "name string, path string, size long, last_modified timestamp"
+#: So many files of an entry stand in the log itself: name, path, size, time in microseconds, number of the entry. More are a table.
+FEW_FILES = 256
+#: Batches of so many bytes on disk together become a run in one task.
+ONE_TASK = 32 << 20
 
 
 @dataclass
@@ -156,8 +160,35 @@ def _part_rows(spark: SparkSession, part: dict) -> DataFrame:
     return reader.parquet(part["captures"])
 
 
+def _listed(spark: SparkSession, rows: list[list]) -> DataFrame:
+    """Files that stand in the log, with the number of their entry."""
+    made = spark.createDataFrame([tuple(r) for r in rows], "name string, path string, size long, us long, _n long").coalesce(1)
+    return made.select("name", "path", "size", F.timestamp_micros("us").alias("last_modified"), "_n")
+
+
+def _rows_of(part: dict) -> list[list] | None:
+    """Files of a fold, a run or a batch that stand in the log; a batch's get its number."""
+    rows = part.get("rows")
+    return [[*r, part["number"]] for r in rows] if rows and "data" in part else rows
+
+
+def _newest(entries: list[dict]) -> list[list] | None:
+    """One row for each name in a few entries, that of the greatest number; None if some are in tables or they are too many."""
+    found: dict[str, list] = {}
+    for e in entries:
+        rows = _rows_of(e)
+        if rows is None:
+            return None
+        for r in rows:
+            if r[0] not in found or r[4] >= found[r[0]][4]:
+                found[r[0]] = r
+    return list(found.values()) if len(found) <= FEW_FILES else None
+
+
 def _part_files(spark: SparkSession, part: dict) -> DataFrame:
     """Files of a pending batch or a run, with the number of their entry."""
+    if part.get("rows") is not None:
+        return _listed(spark, _rows_of(part))
     if "data" in part:
         return spark.read.schema(FILES).parquet(f"{part['data']}/files").withColumn("_n", F.lit(part["number"]).cast("long"))
     return spark.read.schema(f"{FILES}, _n long").parquet(part["files"])
@@ -192,9 +223,50 @@ IN_FILE = ("file_time", "offset", "_n")
 
 
 def _all_files(spark: SparkSession, s: State) -> DataFrame:
-    """Files of the fold and after it, with the number of their entry (0: in the fold's own table)."""
-    held = [spark.read.schema(FILES).parquet(s.fold["files"]).withColumn("_n", F.lit(0).cast("long"))] if s.fold.get("files") else []
-    return _union(held + [_part_files(spark, part) for part in s.parts])
+    """Files of the fold and after it, with the number of their entry (0: of the fold's own)."""
+    return _union(_held_files(spark, s) + [_part_files(spark, part) for part in s.parts])
+
+
+def _held_files(spark: SparkSession, s: State) -> list[DataFrame]:
+    if s.fold.get("rows") is not None:
+        return [_listed(spark, s.fold["rows"])]
+    return [spark.read.schema(FILES).parquet(s.fold["files"]).withColumn("_n", F.lit(0).cast("long"))] if s.fold.get("files") else []
+
+
+def _few(asked: DataFrame, includes: list[str] | None, excludes: list[str] | None) -> list[list] | None:
+    """Files (name, path, size, time in microseconds) of a few paths that exist and match, one of each name, looked at in one job; None if there are more paths."""
+    at = F.unix_micros("last_modified").alias("us")
+    seen = file_info(asked.limit(FEW_PATHS + 1), missing=True).select("name", "path", "size", at).collect()
+    if len(seen) > FEW_PATHS:
+        return None
+    seen = [r for r in seen if r["name"] is not None]
+    if seen and (includes or excludes):
+        seen = store.match_files(asked.sparkSession.createDataFrame(seen, "name string, path string, size long, us long"), includes, excludes).collect()
+    last: dict[str, list] = {}
+    for r in seen:
+        if r["name"] not in last or (r["us"], r["path"]) > (last[r["name"]][3], last[r["name"]][1]):
+            last[r["name"]] = list(r)
+    return list(last.values())
+
+
+def _unknown(spark: SparkSession, s: State, few: list[list]) -> list[list]:
+    """Those of a few files that are new or changed. Entries whose files are in tables are asked for these names only, in one job."""
+    entries = ([s.fold] if s.fold.get("rows") is not None else []) + [part for part in s.parts if part.get("rows") is not None]
+    known = [(r[0], r[4], r[2], r[3]) for e in entries for r in _rows_of(e)]
+    tables = ([] if s.fold.get("rows") is not None else _held_files(spark, s)) + [_part_files(spark, part) for part in s.parts if part.get("rows") is None]
+    if tables and few:
+        names = F.col("name").isin([r[0] for r in few])
+        known += [tuple(r) for r in _union([t.where(names) for t in tables]).select("name", "_n", "size", F.unix_micros("last_modified")).coalesce(1).collect()]
+    last: dict[str, tuple] = {}
+    for r in known:
+        if r[0] not in last or r[1] >= last[r[0]][1]:
+            last[r[0]] = r
+    return [r for r in few if r[0] not in last or last[r[0]][2:] != (r[2], r[3])]
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    p, system = hadoop(spark, path)
+    return system.getContentSummary(p).getLength()
 
 
 def load(spark: SparkSession, base: str, table: str) -> DataFrame | None:
@@ -269,9 +341,11 @@ def compact(spark: SparkSession, base: str, segment_rows: int = SEGMENT_ROWS) ->
     calm.unionByName(fresh).coalesce(1).write.parquet(f"{data}/manifest")
     some = spark.read.parquet(f"{data}/manifest").isEmpty()
     new.drop("_n").limit(0).write.parquet(f"{data}/empty")
-    store.latest(_all_files(spark, s), ["name"], [F.col("_n")]).drop("_n").write.parquet(f"{data}/files")
+    files = _newest(([s.fold] if s.fold.get("rows") is not None or s.fold.get("files") else []) + s.parts)
+    if files is None:
+        store.latest(_all_files(spark, s), ["name"], [F.col("_n")]).drop("_n").write.parquet(f"{data}/files")
     batches = s.fold.get("batches", 0) + sum(part.get("batches", 1) for part in s.parts)
-    entry = {"manifest": None if some else f"{data}/manifest", "empty": f"{data}/empty", "files": f"{data}/files", "batches": batches}
+    entry = {"manifest": None if some else f"{data}/manifest", "empty": f"{data}/empty", "files": f"{data}/files" if files is None else None, "rows": files and [[*r[:4], 0] for r in files], "batches": batches}
     return len(touched) if _publish_fold(spark, base, s, entry, data) else 0
 
 
@@ -304,12 +378,19 @@ def fold(spark: SparkSession, base: str, segment_rows: int = SEGMENT_ROWS) -> No
     data = f"{base}/data/{uuid.uuid4().hex}"
     new, gone = _pending(spark, taken)
     # Rows of one key and file may go, as all entries that could hide one of them and not the other are in this run.
-    kept = store.latest(_alive(new, gone), ["key", "filename"], [F.col(c) for c in IN_FILE])
-    store.write_captures(kept, f"{data}/captures")
-    store.latest(_union([_part_files(spark, part) for part in taken]), ["name"], [F.col("_n")]).write.parquet(f"{data}/files")
+    small = sum(part.get("bytes", ONE_TASK + 1) for part in taken) <= ONE_TASK
+    rows = _alive(new, gone)
+    kept = store.latest(rows.coalesce(1) if small else rows, ["key", "filename"], [F.col(c) for c in IN_FILE])
+    if small:
+        kept.sortWithinPartitions("key").write.parquet(f"{data}/captures")
+    else:
+        store.write_captures(kept, f"{data}/captures")
+    files = _newest(taken)
+    if files is None:
+        store.latest(_union([_part_files(spark, part) for part in taken]), ["name"], [F.col("_n")]).write.parquet(f"{data}/files")
     if gone is not None:
         gone.write.parquet(f"{data}/gone")
-    run = {"captures": f"{data}/captures", "files": f"{data}/files", "gone": f"{data}/gone" if gone is not None else None, "schema": kept.schema.jsonValue(), "batches": batches}
+    run = {"captures": f"{data}/captures", "files": f"{data}/files" if files is None else None, "rows": files, "bytes": _bytes(spark, f"{data}/captures"), "gone": f"{data}/gone" if gone is not None else None, "schema": kept.schema.jsonValue(), "batches": batches}
     _publish_fold(spark, base, s, {k: v for k, v in s.fold.items() if k != "number"} | {"runs": [*runs, run]}, data)
 
 
@@ -337,26 +418,34 @@ def index_files(spark: SparkSession, base: str, paths: DataFrame | list[str], in
         return 0
     data = f"{base}/data/{uuid.uuid4().hex}"
     asked = spark.createDataFrame([(p,) for p in paths], "path string") if isinstance(paths, list) else paths.select("path")
-    few = asked.limit(FEW_PATHS + 1).collect()
-    if len(few) <= FEW_PATHS:
-        asked = spark.createDataFrame(few, "path string").coalesce(1)
-    files = store.match_files(file_info(asked.distinct()), includes, excludes)
-    files = store.latest(files, ["name"], [F.col("last_modified"), F.col("path")])
-    if s.number:
-        known = _all_files(spark, s)
-        known = known.coalesce(1) if len(few) <= FEW_PATHS else known
-        files = store.new_or_changed(files, store.latest(known, ["name"], [F.col("_n")]))
-    files.write.parquet(f"{data}/files")
-    fresh = spark.read.schema(FILES).parquet(f"{data}/files")
-    n = fresh.count()
-    if not n:
-        p, system = hadoop(spark, data)
-        system.delete(p, True)
-        return 0
-    times = fresh.select(F.col("name").alias("filename"), F.col("last_modified").alias("file_time"))
+    few = _few(asked, includes, excludes)
+    if few is not None:
+        few = _unknown(spark, s, few) if s.number else few
+        n = len(few)
+        if not n:
+            return 0
+        fresh = _listed(spark, [[*r, 0] for r in few]).drop("_n")
+    else:
+        files = store.match_files(file_info(asked.distinct()), includes, excludes)
+        files = store.latest(files, ["name"], [F.col("last_modified"), F.col("path")])
+        if s.number:
+            files = store.new_or_changed(files, store.latest(_all_files(spark, s), ["name"], [F.col("_n")]))
+        files.write.parquet(f"{data}/files")
+        fresh = spark.read.schema(FILES).parquet(f"{data}/files")
+        n = fresh.count()
+        if not n:
+            p, system = hadoop(spark, data)
+            system.delete(p, True)
+            return 0
     # One file is read by one task, which may as well put its captures in order.
     records = read_in_place(fresh.coalesce(1)) if n == 1 else read_warc(spark, fresh)
-    rows = with_keys(to_captures(http_records(records))).join(F.broadcast(times) if n <= FEW_PATHS else times, "filename")
+    rows = with_keys(to_captures(http_records(records)))
+    if few is not None:
+        # A map is looked up without a join, which would have Spark plan anew for each batch, and without other code for other times.
+        times = F.create_map(*[F.lit(x).cast(kind) for r in few for x, kind in ((r[0], "string"), (r[3], "long"))])
+        rows = rows.withColumn("file_time", F.timestamp_micros(F.element_at(times, F.col("filename"))))
+    else:
+        rows = rows.join(fresh.select(F.col("name").alias("filename"), F.col("last_modified").alias("file_time")), "filename")
     if max_key_bytes:
         rows = rows.where(F.octet_length("key") <= max_key_bytes)
     rows = store.latest(rows, ["key", "filename"], [F.col("offset")])
@@ -364,7 +453,9 @@ def index_files(spark: SparkSession, base: str, paths: DataFrame | list[str], in
         rows.sortWithinPartitions("key").write.parquet(f"{data}/captures")
     else:
         store.write_captures(rows, f"{data}/captures")
-    entry = {"kind": "batch", "data": data, "replace": replace_file, "stream": stream, "batch": batch, "schema": rows.schema.jsonValue()}
+    entry = {"kind": "batch", "data": data, "replace": replace_file, "stream": stream, "batch": batch, "schema": rows.schema.jsonValue(), "bytes": _bytes(spark, f"{data}/captures")}
+    if few is not None:
+        entry["rows"] = few
     number = s.number + 1
     while not publish(spark, base, number, entry):
         s = state(spark, base)

@@ -220,3 +220,37 @@ def test_index_batches_with_fewer_files_than_cores(spark, monkeypatch):
     monkeypatch.setattr(archive, "warc_files", lambda spark, sf_dir: made(spark, sf_dir)[: spark.sparkContext.defaultParallelism - 1])
     found = archive.index_batches(spark, "/root/testdata/sf0.001").first()
     assert found["batches"] == found["files"] == spark.sparkContext.defaultParallelism - 1
+
+
+def test_a_batch_of_a_stream_takes_few_jobs(spark, tmp_path):
+    """A job that looks at the file and one that writes its captures; a fold of two such batches is one job. Starts of jobs are most of what a batch of one file takes."""
+    base = str(tmp_path / "base")
+    paths = [warc(tmp_path / f"{k}.warc", [(f"r{k}", f"p{k}", 1), (f"s{k}", "same", 1)]) for k in range(4)]
+    index_files(spark, base, paths[:1])
+    compact(spark, base)
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, name)
+        run()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    assert jobs("first", lambda: index_files(spark, base, paths[1:2])) <= 3
+    index_files(spark, base, paths[2:3])
+    compact(spark, base)
+    index_files(spark, base, paths[3:])
+    assert jobs("fold", lambda: fold(spark, base)) <= 2
+    assert state(spark, base).fold["runs"] and held(spark, base) == [*[(f"/p{k}", f"r{k}", f"{k}.warc") for k in range(4)], ("/same", "s3", "3.warc")]
+
+
+def test_files_beyond_the_log_are_a_table(spark, tmp_path, monkeypatch):
+    """Of many files the log holds none; those of a later batch are looked up in the table."""
+    monkeypatch.setattr(index, "FEW_FILES", 2)
+    base = str(tmp_path / "base")
+    paths = [warc(tmp_path / f"{k}.warc", [(f"r{k}", f"p{k}", 1)]) for k in range(4)]
+    index_files(spark, base, paths[:3])
+    compact(spark, base)
+    assert state(spark, base).fold["rows"] is None and index_files(spark, base, paths) == 1
+    warc(tmp_path / "0.warc", [("again", "p0", 1)], when=1_700_000_000)
+    assert index_files(spark, base, [*paths, str(tmp_path / "none.warc")], excludes=["1"]) == 1
+    assert [r for _, r, _ in held(spark, base)] == ["again", "r1", "r2", "r3"] and held(spark, base, "files") == [f"{k}.warc" for k in range(4)]
